@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import licenses, quality, urls
-from mnemoframe.llm.common import materialize, table
+from mnemoframe.llm import decontam, licenses, quality, simhash, urls
+from mnemoframe.llm.common import hex64, materialize, table
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,4 +43,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op8_url_filter, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_simhash_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
