@@ -1,3 +1,34 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+_BASE32 = """list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * i + 1, 5))::bigint >> (15 - 5 * j)) & 31)::int, 1)), 'string_agg', '')), 'string_agg', '')"""
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, strlen(html)::bigint AS payload_bytes, {_BASE32.replace("substr(h,", "substr(p.h,")} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM p JOIN w ON p.h = w.h
+"""
+
+_HOST = r"coalesce(lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)), '')"
+_PATH = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
+_QUERY = r"""array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&')"""
+
+ORACLE["op8_url_filter"] = f"""
+WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS q FROM pages),
+c AS (SELECT page_id, url, host, path, CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '')
+             || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical_url FROM p),
+bad AS (SELECT DISTINCT canonical_url FROM c WHERE canonical_url <> '' AND
+        try_cast(nullif(regexp_extract(url, '^[^?#]*/([0-9]{{1,18}})(?:[./?#]|$)', 1), '') AS bigint) IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (SELECT c.page_id, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.verdict, length(r.h || r.p)) AS ruled
+      FROM c JOIN r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p) GROUP BY c.page_id)
+SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.ruled, CASE WHEN b.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       c.canonical_url, b.canonical_url IS NOT NULL AS listed
+FROM c LEFT JOIN m ON c.page_id = m.page_id LEFT JOIN bad b ON c.canonical_url = b.canonical_url
+"""

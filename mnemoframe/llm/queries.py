@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import decontam, licenses, quality, simhash, urls
+from mnemoframe.llm import decontam, licenses, quality, simhash, urls, warc
 from mnemoframe.llm.common import hex64, materialize, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    number = lambda c: F.regexp_extract(c, "([0-9-]+)>$", 1).try_cast("bigint")
+    return read.select(
+        number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to_id").alias("refers_to")
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -43,4 +51,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_simhash_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op5_simhash_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
