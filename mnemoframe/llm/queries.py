@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import decontam, licenses, quality, simhash, urls, warc
+from mnemoframe.llm import decontam, licenses, pii, quality, simhash, urls, warc
 from mnemoframe.llm.common import hex64, materialize, table
 
 
@@ -24,6 +24,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.col("base.kind")
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -51,4 +59,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op5_simhash_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_pii, op5_simhash_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
