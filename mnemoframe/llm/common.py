@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: The vocabulary file that the SentencePiece stage uses unless told otherwise.
-DEFAULT_PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+DEFAULT_PIECES = "file:///opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import decontam, licenses, lines, pii, quality, simhash, urls, warc
+from mnemoframe.llm import decontam, licenses, lines, pii, quality, simhash, spm, urls, warc
 from mnemoframe.llm.common import hex64, materialize, table
 
 
@@ -32,6 +32,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = spm.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), spm.model_bytes(spark))
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), spm.digest(F.col("ids")).alias("ids_sha256"), F.col("same").alias("round_trip"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -64,4 +69,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_pii, op5_simhash_dedup, op7_line_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_pii, op4_sentencepiece, op5_simhash_dedup, op7_line_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
