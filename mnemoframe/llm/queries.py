@@ -10,7 +10,7 @@ from mnemoframe.llm.common import hex64, materialize, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    read = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
     number = lambda c: F.regexp_extract(c, "([0-9-]+)>$", 1).try_cast("bigint")
     return read.select(
         number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to_id").alias("refers_to")

@@ -22,13 +22,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import batches, new_path
+from mnemoframe.llm.common import batches, materialize, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 #: Bytes that a reading task asks for at once, and that it decodes of a candidate at first.
 BLOCK, PROBE = 1 << 20, 512
 RECORD = "file string, start bigint, warc_type string, record_id string, refers_to_id string, target_uri string, payload_digest string, payload_length bigint, payload binary"
+#: Groups of equal payloads up to which they are broadcast (some 10 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -46,8 +48,11 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     """
     rows = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("id"), F.col(f"`{url}`").cast("string").alias("uri"), F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.col("payload")))
-    # The groups of repeats alone are joined back; most payloads have none.
+    # The groups of repeats alone are joined back: most payloads have none. While there are few, they are broadcast, so that payloads stay where they are.
     winners = rows.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    winners = materialize(winners, "repeats")
+    if winners.count() <= BROADCAST_ROWS:
+        winners = F.broadcast(winners)
     refers = F.when((F.length("payload") >= least_bytes) & (F.col("first") != F.col("id")), F.col("first"))
     return rows.join(winners, "digest", "left").select("id", "uri", "payload", "digest", refers.alias("refers_to"))
 
@@ -147,9 +152,10 @@ def _read_range(f, size: int, start: int, end: int) -> Iterator[dict]:
         at = found[1]
 
 
-def read_warc(spark: SparkSession, path: str, range_bytes: int = 16 << 20) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, range_bytes: int = 16 << 20, payloads: bool = True) -> DataFrame:
     """The records of all files under ``path``, which may be any gzip-per-record WARC files: the columns of RECORD.
 
+    payloads: False leaves that column null once length and digest are taken from it.
     A revisit has no payload; its length is that of its HTTP header. An empty folder gives no rows; bytes that aren't
     members are skipped. One row of input is one range, so tasks follow the archive's size, not its number of files.
     """
@@ -168,8 +174,8 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = 16 << 20) -> Da
                     rows: list[dict] = []
                     held = 0
                     for r in _read_range(f, size, start, end):
-                        rows.append(r | {"file": file})
-                        held += len(r["payload"] or b"")
+                        rows.append(r | {"file": file} | ({} if payloads else {"payload": None}))
+                        held += len(rows[-1]["payload"] or b"")
                         if held > 8 << 20 or len(rows) >= 1000:
                             yield pa.RecordBatch.from_pydict({n: pa.array([x[n] for x in rows], kinds.get(n, pa.string())) for n in names})
                             rows, held = [], 0
@@ -179,8 +185,8 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = 16 << 20) -> Da
     return ranges.mapInArrow(read, RECORD)
 
 
-def round_trip(pages: DataFrame, **columns) -> DataFrame:
+def round_trip(pages: DataFrame, payloads: bool = True, **columns) -> DataFrame:
     """Write ``pages`` to an archive in the shared folder and read it back."""
     path = new_path(pages.sparkSession, "warc")
     write_warc(pages, path, **columns)
-    return read_warc(pages.sparkSession, path)
+    return read_warc(pages.sparkSession, path, payloads=payloads)
