@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import decontam, licenses, lines, pii, quality, simhash, spm, urls, warc
+from mnemoframe.llm import decontam, licenses, lines, lm, pii, quality, simhash, spm, urls, warc
 from mnemoframe.llm.common import hex64, materialize, table
 
 
@@ -42,6 +42,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), report=True)
     return found.select("doc_id", "n_lines", "n_dropped", "n_chars", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
@@ -69,4 +73,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_pii, op4_sentencepiece, op5_simhash_dedup, op7_line_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_pii, op4_sentencepiece, op5_simhash_dedup, op6_lm_score, op7_line_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
