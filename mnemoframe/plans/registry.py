@@ -1,12 +1,523 @@
-"""All queries by name, and their SQL."""
+"""All queries by name, each an operator over whole tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+from collections.abc import Callable, Sequence
+from datetime import date
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mnemoframe.functions import privacy, text
+from mnemoframe.operators import distill, evaluation, graph, recall, search, tables
+from mnemoframe.operators import index as ix
+from mnemoframe.plans import views
+from mnemoframe.plans.oracles import ORACLE as ORACLE
+from mnemoframe.plans.views import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+TODAY = date(2024, 2, 15)
+POLICY = privacy.Policy(overrides=frozenset({("src1", "1"), ("src2", "2"), ("src3", "3")}))
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def first_item(spark: SparkSession, sf_dir: str) -> str:
+    """The text of the benchmark item with the smallest id: a query from the data."""
+    return table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+
+
+def three_terms(spark: SparkSession, sf_dir: str) -> list[str]:
+    words = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.slice(F.array_distinct(text.tokenize(F.col("text"))), 1, 3).alias("t"))
+    return words.first().t
+
+
+def hashed_encoder(texts: Sequence[str], query: bool) -> np.ndarray:
+    """A deterministic stand-in for an embedding model: word counts in 64 buckets, at unit length."""
+    out = np.zeros((len(texts), 64), np.float32)
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            out[i, zlib.crc32(w.encode()) % 64] += 1
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Fused search for a benchmark item's words, confidential documents hidden."""
+    docs = views.text_docs(spark, sf_dir)
+    whole = F.array_join(F.transform("turns", lambda t: t["text"]), "\n")
+    docs = docs.withColumn("sensitivity", privacy.Policy().classify(F.col("project"), whole))
+    return search.search(ix.build(docs), first_item(spark, sf_dir), limit=10, today=TODAY)
+
+
+# ---------------------------------------------------------------- index
+
+
+@query
+def tokenize_tf(spark, sf_dir):
+    return ix.postings(table(spark, sf_dir, "documents"))
+
+
+@query
+def doc_lengths(spark, sf_dir):
+    return ix.doc_lengths(table(spark, sf_dir, "documents"))
+
+
+@query
+def term_df(spark, sf_dir):
+    return ix.term_df(ix.postings(table(spark, sf_dir, "documents")))
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    return ix.corpus_stats(ix.doc_lengths(table(spark, sf_dir, "documents"))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _item_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.tokenize(F.col("text"))).alias("term"))
+    return ix.bm25(ix.postings(docs), ix.doc_lengths(docs), terms, by=["item_id"]).withColumn("score", F.round("score", 6))
+
+
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("item_id", "rank", "doc_id", "score")
+
+
+@query
+def bm25_top10(spark, sf_dir):
+    return _first(_item_scores(spark, sf_dir), 10)
+
+
+@query
+def bm25_filtered_after_stats(spark, sf_dir):
+    shown = table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id")
+    return _first(_item_scores(spark, sf_dir).join(shown, "doc_id", "left_semi"), 10)
+
+
+@query
+def known_item_eval(spark, sf_dir):
+    """Rank of the first document that holds the item verbatim, among BM25's ten first."""
+    hits = _first(_item_scores(spark, sf_dir), 10).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    right = hits.join(items, "item_id").where(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.min("rank").alias("rank"))
+    out = evaluation.retrieval(items.join(right, "item_id", "left"))
+    return out.select("questions", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit10", "mrr")])
+
+
+# ---------------------------------------------------------------- search
+
+
+@query
+def all_terms_match(spark, sf_dir):
+    terms = tuple(three_terms(spark, sf_dir))
+    return table(spark, sf_dir, "documents").where(search.has_all(F.lower("text"), terms)).select("doc_id")
+
+
+@query
+def any_terms_partial(spark, sf_dir):
+    terms = tuple(three_terms(spark, sf_dir))
+    rows = table(spark, sf_dir, "documents").select("doc_id", search.matched(F.lower("text"), terms).alias("matched_terms"))
+    return rows.where("matched_terms > 0")
+
+
+@query
+def phrase_required(spark, sf_dir):
+    phrase = first_item(spark, sf_dir)
+    return table(spark, sf_dir, "documents").where(search.has_all(F.lower("text"), (phrase,))).select("doc_id")
+
+
+@query
+def role_weighted_score(spark, sf_dir):
+    docs = views.talk_docs(spark, sf_dir)
+    return docs.select("doc_id", search.weighted_hits(F.col("title"), F.col("turns"), text.alternation(["tion", "the"])).alias("score"))
+
+
+@query
+def recency_score(spark, sf_dir):
+    rows = views.event_docs(spark, sf_dir).select("source", text.recency(F.col("started_day"), F.lit(TODAY)).alias("r"))
+    return rows.groupBy("source").agg(F.round(F.sum("r"), 4).alias("recency"))
+
+
+def _search(spark, sf_dir, **how):
+    index = ix.build(views.text_docs(spark, sf_dir))
+    words = " ".join(three_terms(spark, sf_dir))
+    found = search.search(index, words, limit=20, today=TODAY, **how)
+    return found.select("doc_id", F.round("score", 6).alias("score"), "matched_terms", "total_terms")
+
+
+@query
+def search_substring(spark, sf_dir):
+    return _search(spark, sf_dir, ranking="substring")
+
+
+@query
+def search_fused(spark, sf_dir):
+    return _search(spark, sf_dir)
+
+
+@query
+def search_hybrid(spark, sf_dir):
+    """Vectors of all documents' chunks by a deterministic encoder, then the hybrid list."""
+    docs = views.text_docs(spark, sf_dir)
+    index = ix.build(docs)
+    index = ix.Index(index.docs, index.postings, index.lengths, tables.cut_lineage(ix.update_vectors(None, docs, hashed_encoder)))
+    found = search.search(index, " ".join(three_terms(spark, sf_dir)), limit=20, today=TODAY, ranking="hybrid", encoder=hashed_encoder)
+    return found.select("doc_id", F.round("score", 6).alias("score"), "matched_terms")
+
+
+@query
+def snippet_window(spark, sf_dir):
+    terms = three_terms(spark, sf_dir)
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippets(F.col("text"), terms).alias("snippet"))
+
+
+@query
+def dense_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    q = vectors.orderBy("vec_id").first().embedding
+    rows = ix.dense_scores(vectors, q, owner="vec_id").withColumn("score", F.round("score", 6))
+    return rows.orderBy(F.desc("score"), "vec_id").limit(10)
+
+
+@query
+def dense_best_per_owner(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    q = vectors.orderBy("vec_id").first().embedding
+    return ix.dense_scores(vectors, q, owner="label").select("label", F.round("score", 6).alias("score"))
+
+
+@query
+def rrf_hybrid(spark, sf_dir):
+    """Two dense lists, the second at half weight."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("doc_id", F.col("vec_id"))
+    a, b = (r.embedding for r in vectors.orderBy("vec_id").limit(2).collect())
+    score = lambda q: search.top(ix.dense_scores(vectors, q).withColumn("score", F.round("score", 6)), search.DEPTH, F.desc("score"))
+    lists = [(search.ranked(score(q), F.desc("score")), w) for q, w in ((a, 1.0), (b, search.DENSE_WEIGHT))]
+    return search.rrf(lists).select(F.col("doc_id").alias("vec_id"), F.round("score", 9).alias("score"))
+
+
+@query
+def chunk_windows(spark, sf_dir):
+    rows = ix.chunk_rows(views.text_docs(spark, sf_dir))
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("chunk").alias("chunk_md5"), "content_key")
+
+
+@query
+def timeline_recent(spark, sf_dir):
+    return search.timeline(views.event_docs(spark, sf_dir), limit=15).select("doc_id", "source", "started_day", "sensitivity")
+
+
+@query
+def since_source_project_filter(spark, sf_dir):
+    docs = privacy.visible(views.event_docs(spark, sf_dir), include_nda=True, source="purchase", project="USER-1", since=date(2024, 1, 10))
+    return docs.select("doc_id", "project", "started_day")
+
+
+@query
+def visible_by_default(spark, sf_dir):
+    return privacy.visible(views.event_docs(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("docs"))
+
+
+@query
+def stats_by_source(spark, sf_dir):
+    return search.stats(views.event_docs(spark, sf_dir))
+
+
+@query
+def get_doc_window(spark, sf_dir):
+    """The longest conversation's text from character 100 on."""
+    docs = views.talk_docs(spark, sf_dir)
+    size = F.aggregate("turns", F.lit(0), lambda n, t: n + F.length(t["text"]))
+    longest = docs.orderBy(F.desc(size), "doc_id").first().doc_id
+    return search.get_doc(docs, longest, offset=100, window=500)
+
+
+# ---------------------------------------------------------------- privacy
+
+
+@query
+def nda_classify(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", privacy.Policy().classify(F.col("source"), F.col("text")).alias("sensitivity"))
+
+
+@query
+def email_flag(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", privacy.has_email(F.col("text")).alias("has_email"))
+
+
+@query
+def secret_flag(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", privacy.has_secret(F.col("text")).alias("has_secret"))
+
+
+@query
+def redact_secrets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(privacy.redact_secrets(F.col("text"))).alias("redacted_md5"))
+
+
+@query
+def override_join(spark, sf_dir):
+    docs = POLICY.apply_overrides(views.text_docs(spark, sf_dir))
+    return docs.groupBy("source", "sensitivity").agg(F.count("*").alias("docs"))
+
+
+@query
+def leak_gate(spark, sf_dir):
+    docs = views.text_docs(spark, sf_dir)
+    return distill.leaks(docs, privacy.Policy())
+
+
+@query
+def classifier_eval(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    out = evaluation.classification(rows, F.col("quality") == 0, privacy.has_email(F.col("text")) | privacy.has_secret(F.col("text")))
+    return out.select("tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query
+def turn_dedup(spark, sf_dir):
+    return distill.dedup_turns(views.talk_turns(spark, sf_dir)).select("doc_id", "idx", "role")
+
+
+@query
+def user_text_concat(spark, sf_dir):
+    docs = views.talk_docs(spark, sf_dir).withColumn("turns", distill.distinct_turns(F.col("turns")))
+    return docs.select("doc_id", F.md5(distill.user_text(F.col("turns"))).alias("user_text_md5"), distill.user_chars(F.col("turns")).alias("user_chars"))
+
+
+@query
+def show_user_text(spark, sf_dir):
+    return views.talk_docs(spark, sf_dir).select("doc_id", F.md5(distill.show_user_text(F.col("turns"))).alias("shown_md5"))
+
+
+@query
+def select_candidates(spark, sf_dir):
+    return distill.select(views.text_docs(spark, sf_dir), today=TODAY).select("doc_id", "user_chars", F.round("prose", 6).alias("prose"), F.round("score", 4).alias("score"))
+
+
+@query
+def prose_ratio_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.prose_ratio(F.col("text")), 6).alias("prose"))
+
+
+@query
+def fingerprint(spark, sf_dir):
+    return views.talk_docs(spark, sf_dir).select("doc_id", text.source_fingerprint(F.col("turns")).alias("fingerprint"))
+
+
+@query
+def content_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_key(F.col("source"), F.col("text")).alias("content_key"))
+
+
+@query
+def short_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.short_id(F.col("doc_id").cast("string")).alias("short_id"))
+
+
+@query
+def doc_signature(spark, sf_dir):
+    path = F.concat(F.lit("memory/2024/2024-01-05--memory--"), F.col("lang"), F.lit("--"), F.col("source"), F.lit("--"), text.short_id(F.col("doc_id").cast("string")), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace(text.doc_signature(path), F.lit("\u0001"), F.lit("|")).alias("signature"))
+
+
+@query
+def doc_paths(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.doc_path(F.lit("codex"), F.lit(None).cast("date"), F.substring("text", 1, 60), F.col("source"), F.col("doc_id").cast("string")).alias("path"))
+
+
+@query
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.slugify_latin(F.substring("text", 1, 80)).alias("slug"))
+
+
+@query
+def strip_noise(spark, sf_dir):
+    noisy = F.concat(F.lit("<system-reminder>a\nb</system-reminder> <command-name> /run </command-name>"), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.strip_noise(noisy)).alias("clean_md5"))
+
+
+@query
+def machine_authored(spark, sf_dir):
+    pasted = F.concat(F.lit("User:\n"), F.col("text"), F.lit("\nAssistant:\n"))
+    said = F.when(F.col("role") == "user", F.col("text")).when(F.col("role") == "assistant", pasted).otherwise(F.concat(F.lit(" This session is being continued from a previous conversation. "), F.col("text")))
+    return table(spark, sf_dir, "conversations").groupBy("role", text.machine_authored(said).alias("machine")).agg(F.count("*").alias("turns"))
+
+
+@query
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("text"))
+
+
+@query
+def wikilink_extract(spark, sf_dir):
+    note = F.concat(F.lit("---\nparent: x\n---\n[["), F.col("n_name"), F.lit("]] and `[[code]]`\n```\n[[fenced]]\n```\nsee [[region/"), F.col("n_regionkey"), F.lit("|name]] [[broken\n"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(text.wikilinks(note)).alias("pos", "raw"), text.malformed_links(note).alias("bad"))
+    return rows.select("n_nationkey", F.col("pos").cast("bigint").alias("pos"), text.normalize_reference(F.col("raw")).alias("target"), F.array_join(F.col("bad").cast("array<string>"), ",").alias("bad_lines"))
+
+
+@query
+def grade_answers(spark, sf_dir):
+    must = F.array(F.array(F.lit("the"), F.lit("und"), F.lit("les"), F.lit("los")), F.array(F.lit("tion"), F.lit("ung"), F.lit("eau"), F.lit("ci")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.grade(F.col("text"), must, F.array(F.lit("###"))).alias("correct"))
+
+
+@query
+def recall_decisions(spark, sf_dir):
+    nations = [r.n_name.lower() for r in table(spark, sf_dir, "nation").select("n_name").distinct().collect()]  # names of projects are few
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", recall.decide(F.col("text"), nations).alias("d")).select("conv_id", "turn", "d.fire", "d.reason")
+
+
+# ---------------------------------------------------------------- claims
+
+
+@query
+def latest_wins(spark, sf_dir):
+    return distill.resolve(views.order_claims(spark, sf_dir))[0].select("topic", "key", "text", "stated_on", "source_doc_id")
+
+
+@query
+def superseded_pairs(spark, sf_dir):
+    return distill.resolve(views.order_claims(spark, sf_dir))[1].select("topic", "key", "source_doc_id", "text", "new_source_doc_id", "new_text")
+
+
+def _reviews(spark, sf_dir):
+    docs = views.labelled_docs(spark, sf_dir).where("quality is not null")
+    return docs.select("doc_id", F.when(F.col("quality") == 1, F.col("source_fingerprint")).otherwise(F.lit("0000000000000000")).alias("source_fingerprint"), F.lit("transient").alias("reason"), F.lit(TODAY).alias("reviewed_on"), F.lit("").alias("note"))
+
+
+@query
+def pending_antijoin(spark, sf_dir):
+    return distill.pending(views.labelled_docs(spark, sf_dir).select("doc_id", "source_fingerprint"), _reviews(spark, sf_dir)).select("doc_id")
+
+
+@query
+def review_signature_match(spark, sf_dir):
+    """Reviews whose documents have moved to another day."""
+    path = lambda day, c: F.concat(F.lit(f"memory/2024/{day}--memory--x--"), F.substring(F.sha1(c), 1, 8), F.lit(".md"))
+    candidates = views.labelled_docs(spark, sf_dir).select(path("2024-02-01", "doc_id").alias("doc_id"), "source_fingerprint")
+    reviews = _reviews(spark, sf_dir).withColumn("doc_id", path("2024-01-01", "doc_id"))
+    return distill.matched_reviews(candidates, reviews).select("doc_id", (F.col("review.source_fingerprint") == F.col("source_fingerprint")).alias("covered"))
+
+
+@query
+def claim_upsert(spark, sf_dir):
+    claims = views.order_claims(spark, sf_dir)
+    keyed = claims.withColumn("source_doc_id", F.col("topic"))
+    old, new = keyed.where("text = 'F'"), keyed.where("text <> 'F'").withColumn("seq", F.when(F.col("text") == "O", F.lit(1)).otherwise(F.lit(2)).cast("bigint"))
+    return distill.upsert(old, new, distill.CLAIM_KEYS).select("topic", "key", "stated_on", "text")
+
+
+@query
+def claim_upsert_counts(spark, sf_dir):
+    claims = views.order_claims(spark, sf_dir)
+    return distill.upsert_counts(claims.where("text = 'F'"), claims.where("text <> 'F'"), ["topic", "key"])
+
+
+def _doc_claims(spark, sf_dir):
+    docs = views.labelled_docs(spark, sf_dir)
+    return docs.select(F.col("lang").alias("entity"), F.concat("source", F.lit(" "), "lang").alias("topic"), F.lit("k").alias("key"), F.lit("fakt").alias("kind"), F.lit("t").alias("text"), F.lit(None).cast("date").alias("stated_on"), F.col("doc_id").alias("source_doc_id"))
+
+
+@query
+def route_mixed_topics(spark, sf_dir):
+    routed = distill.route(_doc_claims(spark, sf_dir), views.labelled_docs(spark, sf_dir).select("doc_id", "sensitivity"))
+    return routed.select("source_doc_id", "topic", "layer", "error")
+
+
+@query
+def provenance_errors(spark, sf_dir):
+    refs = table(spark, sf_dir, "labels").select(F.lit("reviews").alias("store"), F.when(F.col("toxic") == 1, F.concat(F.lit("../"), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string")).alias("source_doc_id"))
+    return distill.provenance_errors(refs, views.labelled_docs(spark, sf_dir).select("doc_id", "sensitivity"))
+
+
+@query
+def review_errors(spark, sf_dir):
+    batch = _reviews(spark, sf_dir).withColumn("reason", F.when(F.col("source_fingerprint") == "0000000000000000", F.lit("claims_extracted")).otherwise(F.lit("transient")))
+    claimed = views.labelled_docs(spark, sf_dir).where("toxic = 1").select(F.col("doc_id").alias("source_doc_id"))
+    return distill.review_errors(batch, views.labelled_docs(spark, sf_dir), claimed)
+
+
+@query
+def new_claims(spark, sf_dir):
+    claims = views.order_claims(spark, sf_dir)
+    return distill.new_claims(claims, claims.where("kind = 'fakt'")).select("topic", "key", "source_doc_id")
+
+
+@query
+def progress_counts(spark, sf_dir):
+    docs = views.labelled_docs(spark, sf_dir)
+    claims = docs.where("toxic = 1").select(F.col("doc_id").alias("source_doc_id"), F.col("source").alias("topic"))
+    return distill.progress(docs.select("doc_id", "source_fingerprint"), claims, _reviews(spark, sf_dir))
+
+
+@query
+def facet_topic_counts(spark, sf_dir):
+    rows = views.order_claims(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("claims"))
+    return rows.orderBy(F.desc("claims"), "topic")
+
+
+@query
+def source_numbers(spark, sf_dir):
+    return distill.source_numbers(views.order_claims(spark, sf_dir))
+
+
+@query
+def note_bodies(spark, sf_dir):
+    return distill.note_bodies(views.order_claims(spark, sf_dir))
+
+
+@query
+def topic_spans(spark, sf_dir):
+    return distill.topic_spans(views.order_claims(spark, sf_dir)).select("topic", "first_day", "last_day", "claims", "open", "line")
+
+
+@query
+def emission_errors(spark, sf_dir):
+    return distill.emission_errors(_doc_claims(spark, sf_dir).withColumn("topic", F.col("entity")).withColumn("entity", F.substring("source_doc_id", 1, 1)))
+
+
+# ---------------------------------------------------------------- graph, state
+
+
+@query
+def graph_components(spark, sf_dir):
+    edges = views.place_edges(spark, sf_dir)
+    nodes = edges.select(F.col("child").alias("node_id")).unionByName(edges.select(F.col("parent").alias("node_id"))).distinct()
+    return graph.components(nodes, edges.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+
+
+@query
+def parent_chain(spark, sf_dir):
+    return graph.parent_chains(views.place_edges(spark, sf_dir), root="r1")
+
+
+@query
+def incremental_changed_files(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(1).cast("bigint").alias("mtime_ns"), F.lit(1).cast("bigint").alias("ctime_ns"))
+    state = files.join(table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), "quality"), "path").withColumn("policy_version", F.lit("p1"))
+    state = state.withColumn("size", F.col("size") + 1 - F.col("quality")).drop("quality")
+    return tables.changed_files(files, state, "p1").select("path", "size")
+
+
+@query
+def ingest_counts(spark, sf_dir):
+    docs = views.event_docs(spark, sf_dir)
+    return tables.ingest_counts(docs, docs.where("source = 'click'"))
+
+
+@query
+def run_averages(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("condition"), (F.col("value") > 50).alias("correct"), F.col("value").alias("cost_usd"), F.col("user_id").alias("input_tokens"), F.lit(1).alias("output_tokens"), F.col("value").alias("seconds"))
+    out = evaluation.run_averages(rows)
+    return out.select("condition", "answers", "correct", *[F.round(c, 4).alias(c) for c in ("cost_usd", "tokens", "seconds")])
