@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.common import add_columns, batches, materialize
+from mnemoframe.llm.filters import HashBitmap
 from mnemoframe.llm.hashing import words_of
 
 WINDOW = 13
@@ -52,34 +53,18 @@ def _windows(items: DataFrame, item_id: str, text: str, window: int, k: int) ->
     return named.mapInArrow(cut, "item string, words string, size int, tokens array<bigint>")
 
 
-class TokenFilter:
-    """A broadcast bitmap over token hashes with two probes: no false negatives, bounded size for any number of tokens."""
+class TokenFilter(HashBitmap):
+    """A bitmap of token hashes, and the shingle sizes of the tokens."""
 
-    def __init__(self, spark: SparkSession, tokens: DataFrame) -> None:
+    def __init__(self, tokens: DataFrame) -> None:
         """tokens: distinct values in column token, and their shingle size in column k."""
-        n = tokens.count()
-        self.bits = min(MAX_BITS, max(12, (n << BITS_PER_TOKEN).bit_length()))
+        super().__init__(tokens.select(F.col("token").alias("h")), BITS_PER_TOKEN, MAX_BITS)
         self.sizes = sorted(r.k for r in tokens.select("k").distinct().collect())  # at most WINDOW values
-        place = F.explode(F.array(*[F.expr(f"shiftrightunsigned(token, {s}) & {(1 << self.bits) - 1}L") for s in (0, 64 - self.bits)]))
-        words = tokens.select(place.alias("p")).groupBy(F.expr("p div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-        bitmap = np.zeros(1 << (self.bits - 6), np.int64)
-        got = words.toPandas()  # at most 2 ** (MAX_BITS - 6) rows
-        bitmap[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-        self.bitmap = spark.sparkContext.broadcast(bitmap.view(np.uint8))
-
-    def passes(self, h: np.ndarray) -> np.ndarray:
-        """Indices of hashes that may be tokens."""
-        byte, mask = self.bitmap.value, np.uint64((1 << self.bits) - 1)
-        at = np.arange(len(h))
-        for s in (0, 64 - self.bits):
-            p = (h[at] >> np.uint64(s)) & mask
-            at = at[(byte[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        return at
 
 
 def _token_counts(docs: DataFrame, text: str, known: TokenFilter) -> DataFrame:
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 1000):
+        for b in batches(it, 250):
             w = words_of(b.column(0).to_pylist(), WORD_BYTES)
             found = [h[known.passes(h)] for h in (w.shingles(k)[1] for k in known.sizes)]
             token, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
@@ -115,21 +100,20 @@ def contamination(
     with an empty id, and items that share an id count once. Either table may be empty. Input columns named like a new
     one are replaced.
     """
-    spark = docs.sparkSession
     new = ("n_words", "n_hit", "item_ids", "contaminated")
     cols = [c for c in (docs.columns if keep is None else keep) if c not in new]
     windows = materialize(_windows(items, item_id, item_text, window, shingle), "windows")
     texts = windows.groupBy("words").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
     tokens = texts.select("words", "size", F.least("size", F.lit(shingle)).alias("k"), F.posexplode("tokens").alias("offset", "token"))
-    counts = _token_counts(docs, text, TokenFilter(spark, tokens.select("token", "k").distinct()))
+    counts = _token_counts(docs, text, TokenFilter(tokens.select("token", "k").distinct()))
     rarest = tokens.join(counts, "token", "left").groupBy("words", "size", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("t"))
     prefixes = materialize(rarest.where("t.n > 0").select("words", "size", "k", "t.token", "t.offset"), "prefixes")
 
-    known = TokenFilter(spark, prefixes.select("token", "k").distinct())
+    known = TokenFilter(prefixes.select("token", "k").distinct())
     named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], F.monotonically_increasing_id().alias("_row"), F.col(f"`{text}`").alias("_text"))
     scanned = add_columns(
         named, "_text", "_n_words bigint, _matches array<struct<token:bigint, pos:bigint, before:int, near:string>>",
-        lambda t: _matches(t, known, window), [c for c in named.columns if c != "_text"], rows=1000,
+        lambda t: _matches(t, known, window), [c for c in named.columns if c != "_text"], rows=250,
     )
     scanned = materialize(scanned, "scanned")
     some = scanned.select("_row", "_n_words", F.explode("_matches").alias("m")).select("_row", "_n_words", "m.*")

@@ -1,15 +1,14 @@
 """Line dedup within an edit bound of one character, by a deletion-neighbourhood join.
 
-1. Every line with a word becomes a row (place, 128-bit hash of the line, segment hashes). Equal lines are grouped by
-   hash; the earliest place stays.
-2. Lines within one edit of each other agree outside one of m segments. For each segment a line has a key of what stands
-   before and behind it (for its own length, and for that of a line one longer). Lines that share no key have no
-   neighbour and go no further.
-3. The others emit their deletion neighbourhood, restricted to the shared segments, as hashed keys: the line itself, each variant
-   with one character deleted, and each such variant with the place of the gap. A line that equals another's variant is one
-   deletion away; lines with the same variant and the same gap are one substitution apart.
-4. Equal keys are grouped, the earliest place of each group is the partner of the later ones, the edit distance of each such pair
-   is verified on the text, and the later line goes.
+1. Every line with a word becomes a row: its place, a 128-bit hash, and hashes of what stands around each of m segments (for
+   its own length, and for that of a line one longer). Equal lines meet by hash; the earliest place stays.
+2. Lines within one edit of each other agree outside one segment, so they share a hash. Hashes that two different
+   lines share go into a bitmap of bounded size; lines without any have no neighbour and go no further.
+3. The others emit their deletion neighbourhood, inside the segments at stake, as hashed keys: the line itself, each
+   variant with one character deleted, and each such variant with the place of the gap. A line that equals another's
+   variant is one deletion away; lines with the same variant and the same gap are one substitution apart.
+4. Equal keys are joined, the earliest place of each is the partner of the later ones, the edit distance of each such
+   pair is verified on the texts, and the later line goes.
 """
 
 from __future__ import annotations
@@ -23,65 +22,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.common import batches, materialize
+from mnemoframe.llm.filters import HashBitmap
 from mnemoframe.llm.hashing import _BASE, _BASE_INV, mix, powers
 
 #: Shorter lines are compared exactly only: one edit makes another word of them.
 MIN_FUZZY = 20
 SEGMENTS = 4
-
-
-class _Prefix:
-    """Hashes of any part of a line, from running sums over its code points."""
-
-    def __init__(self, line: str) -> None:
-        a = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        self.n = len(a)
-        self.value = mix(a + np.uint64(1))
-        self.sum = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(self.value * powers(_BASE, self.n or 1)[: self.n], out=self.sum[1:])
-
-    def part(self, a: np.ndarray, z: np.ndarray, at: np.ndarray | int = 0) -> np.ndarray:
-        """Hash of [a, z) as if it began at position ``at``: sums of parts at their positions are the hash of the whole."""
-        return (self.sum[z] - self.sum[a]) * powers(_BASE_INV, self.n + 2)[a] * powers(_BASE, self.n + 2)[at]
-
-
-def _cuts(n: int | np.ndarray, m: int) -> np.ndarray:
-    """Bounds of the m segments of a line of n characters."""
-    return np.arange(m + 1) * n // m
-
-
-def segment_keys(line: str, m: int = SEGMENTS) -> np.ndarray:
-    """2m hashes: what stands around segment j, for the line's own length and as a line one longer would be cut."""
-    p = _Prefix(line)
-    out = []
+#: Characters hashed at once, but for a longer line.
+ROOM = 1 << 19
+#: Up to so many shared hashes the bitmap is all but exact; more are joined by a shuffle.
+BITMAP_HASHES = 4_000_000
+PLACE = "struct<order:bigint, text_hash:bigint, line:int>"
+PLACE_ARROW = pa.struct([("order", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
+
+
+class Hashed:
+    """Hashes of any parts of some lines, from running sums over their code points."""
+
+    def __init__(self, lines: list[str]) -> None:
+        a = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.n = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.end = np.cumsum(self.n)
+        self.start = self.end - self.n
+        self.sum = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(mix(a + np.uint64(1)) * powers(_BASE, max(len(a), 1))[: len(a)], out=self.sum[1:])
+        self.back = powers(_BASE_INV, len(a) + 2)
+
+    def part(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Hash of the characters from a to z, as a polynomial that begins at a."""
+        return (self.sum[z] - self.sum[a]) * self.back[a]
+
+
+def segment_keys(lines: list[str], m: int = SEGMENTS) -> np.ndarray:
+    """A row of 2m hashes for each line: what stands around segment j, for its own length and as a line one longer would be cut."""
+    h, out = Hashed(lines), []
+    n, start, end = (v[:, None] for v in (h.n, h.start, h.end))
     for longer in (0, 1):
-        n = p.n + longer
-        c = _cuts(n, m)
-        low, behind = c[:-1], n - c[1:]
-        low = np.minimum(low, p.n)
-        zero = np.zeros(m, np.int64)
-        around = p.part(zero, low) * np.uint64(31) + mix(p.part(np.maximum(p.n - behind, 0), np.full(m, p.n)))
-        out.append(mix(around + np.uint64(n * 64) + np.arange(m, dtype=np.uint64)))
-    return np.concatenate(out).view(np.int64)
+        size = n + longer
+        cut = np.arange(m + 1) * size // m
+        head = h.part(np.broadcast_to(start, (len(lines), m)), start + np.minimum(cut[:, :-1], n))
+        tail = h.part(end - np.minimum(size - cut[:, 1:], n), np.broadcast_to(end, (len(lines), m)))
+        out.append(mix(head * np.uint64(31) + mix(tail) + (size * 64 + np.arange(m)).astype(np.uint64)))
+    return np.concatenate(out, axis=1).view(np.int64)
 
 
 def variants(line: str, segments: list[int], m: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """(key, role) of the deletion neighbourhood for edits in the given key numbers of ``segment_keys``.
+    """(key, role) of the deletion neighbourhood for edits inside the given segments.
 
     role 0: the line itself, 1: one character deleted, 2: one character deleted and the place of the gap.
     """
-    p = _Prefix(line)
-    places = np.zeros(p.n, bool)
-    for s in {k for k in segments if k < m}:
-        c = _cuts(p.n, m)
-        places[c[s] : c[s + 1]] = True
-    own = mix(p.sum[-1:] + np.uint64(p.n << 1))
+    h = Hashed([line])
+    n = len(line)
+    places = np.zeros(n, bool)
+    for s in segments:
+        places[s * n // m : (s + 1) * n // m] = True
     i = np.flatnonzero(places)
-    gone = p.sum[i] + p.part(i + 1, np.full(len(i), p.n), i)
+    gone = h.sum[i] + h.part(i + 1, np.full(len(i), n)) * powers(_BASE, n + 2)[i]
+    own = mix(h.sum[-1:] + np.uint64(n << 1))
+    deleted = mix(gone + np.uint64((n - 1) << 1))
     gap = mix(gone + mix(i.astype(np.uint64) + np.uint64(77)))
-    deleted = mix(gone + np.uint64((p.n - 1) << 1))
-    key = np.concatenate([own, deleted, gap])
-    return key.view(np.int64), np.repeat([0, 1, 2], [1, len(i), len(i)]).astype(np.int32)
+    return np.concatenate([own, deleted, gap]).view(np.int64), np.repeat([0, 1, 2], [1, len(i), len(i)]).astype(np.int32)
 
 
 def within_one(a: str, b: str) -> bool:
@@ -90,8 +90,7 @@ def within_one(a: str, b: str) -> bool:
         a, b = b, a
     if len(b) - len(a) > 1:
         return False
-    n, same = len(a), 0
-    step = 1 << 12
+    n, same, step = len(a), 0, 1 << 12
     while same < n and a[same : same + step] == b[same : same + step]:
         same += step
     same = min(same, n)
@@ -100,73 +99,107 @@ def within_one(a: str, b: str) -> bool:
     return a[same + (len(a) == len(b)) :] == b[same + 1 :]
 
 
-def _lines(docs: DataFrame, m: int, least: int) -> DataFrame:
-    """docs: _row, _order (sort key of documents, a bigint), _text."""
+def _split(b: pa.RecordBatch) -> Iterator[tuple[list[dict], list[str]]]:
+    """(places, lines) of the lines with a word, so many at once as there is room. Columns: order, text_hash, text."""
+    places: list[dict] = []
+    lines: list[str] = []
+    held = 0
+    for order, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+        for i, line in enumerate((t or "").split("\n")):
+            if line.encode("utf-8", "surrogatepass").strip():
+                places.append({"order": order, "text_hash": h, "line": i})
+                lines.append(line)
+                held += len(line)
+                if held > ROOM:
+                    yield places, lines
+                    places, lines, held = [], [], 0
+    if lines:
+        yield places, lines
 
-    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 200):
-            row, order, at, h1, h2, keys = [], [], [], [], [], []
-            for r, o, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for i, line in enumerate((t or "").split("\n")):
-                    raw = line.encode("utf-8", "surrogatepass")
-                    if raw.strip():
-                        d = np.frombuffer(hashlib.md5(raw, usedforsecurity=False).digest(), np.int64)
-                        row.append(r)
-                        order.append(o)
-                        at.append(i)
-                        h1.append(d[0])
-                        h2.append(d[1])
-                        keys.append(segment_keys(line, m) if len(line) >= least else None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(order, pa.int64()), pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["row", "order", "line", "h1", "h2", "keys"],
-            )
-
-    return docs.select("_row", "_order", "_text").mapInArrow(split, "row bigint, order bigint, line int, h1 bigint, h2 bigint, keys array<bigint>")
-
-
-def _fuzzy_drops(docs: DataFrame, first: DataFrame, m: int) -> DataFrame:
-    """(row, line) of lines, of those in ``first`` (lid, place, keys), that come after a line within one edit."""
-    keys = first.select("lid", F.posexplode("keys").alias("seg", "key"))
-    shared = keys.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("z")).where("a <> z").select("key")
-    near = keys.join(shared, "key").groupBy("lid").agg(F.collect_set("seg").alias("segs")).join(first.select("lid", "place"), "lid")
-    wanted = near.groupBy("place.row").agg(F.collect_list(F.struct("place.line", "place.order", "segs")).alias("want"))
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 200):
-            out: list[tuple] = []
-            for r, t, want in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                lines = t.split("\n")
-                out += [({"order": w["order"], "row": r, "line": w["line"]}, sorted(w["segs"]), lines[w["line"]]) for w in want]
-            kinds = (pa.struct([("order", pa.int64()), ("row", pa.int64()), ("line", pa.int32())]), pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["place", "segs", "text"])
 
-    place = "struct<order:bigint, row:bigint, line:int>"
-    texts = docs.select(F.col("_row").alias("row"), "_text").join(wanted, "row").mapInArrow(cut, f"place {place}, segs array<int>, text string")
-    texts = materialize(texts, "near_lines")
+def _identity(lines: list[str]) -> np.ndarray:
+    """128 bits of each line, as two int64."""
+    return np.frombuffer(b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x in lines), np.int64).reshape(-1, 2)
 
-    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _lines(texts: DataFrame, m: int, least: int | None) -> DataFrame:
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 500):
-            found = [variants(t, s, m) for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            own = np.repeat(np.arange(b.num_rows), [len(k) for k, _ in found])
-            if len(own):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(np.concatenate([k for k, _ in found])), pa.array(np.concatenate([r for _, r in found]))], names=["place", "key", "role"])
+            for places, lines in _split(b):
+                h, keys = _identity(lines), np.empty((0, 2 * m), np.int64)
+                long = np.array([least is not None and len(x) >= least for x in lines])
+                if long.any():
+                    keys = segment_keys([x for x, y in zip(lines, long, strict=True) if y], m)
+                bounds = np.concatenate([[0], np.cumsum(long * 2 * m)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(places, PLACE_ARROW), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))], names=["place", "h1", "h2", "keys"]
+                )
+
+    return texts.mapInArrow(rows, f"place {PLACE}, h1 bigint, h2 bigint, keys array<bigint>")
+
+
+def _near_lines(texts: DataFrame, shared: DataFrame, m: int, least: int) -> DataFrame:
+    """(place, segs, text): each different line that shares a hash, at its earliest place."""
+    known = HashBitmap(shared.select(F.col("key").alias("h")))
+    exact = known.count > BITMAP_HASHES
 
-    emitted = texts.mapInArrow(emit, f"place {place}, key bigint, role int")
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 500):
+            for places, lines in _split(b):
+                at = np.array([i for i, x in enumerate(lines) if len(x) >= least], np.int64)
+                if not len(at):
+                    continue
+                keys = segment_keys([lines[i] for i in at], m)
+                hit = np.zeros(keys.size, bool)
+                hit[known.passes(keys.reshape(-1).view(np.uint64))] = True
+                hit = hit.reshape(keys.shape)
+                near = np.flatnonzero(hit.any(axis=1))
+                own = [lines[at[i]] for i in near]
+                if own:
+                    h = _identity(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([places[at[i]] for i in near], PLACE_ARROW), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([np.flatnonzero(hit[i]).tolist() for i in near], pa.list_(pa.int32())), pa.array([keys[i][hit[i]] for i in near], pa.list_(pa.int64())), pa.array(own, pa.string())],
+                        names=["place", "h1", "h2", "segs", "keys", "text"],
+                    )
+
+    found = texts.mapInArrow(rows, f"place {PLACE}, h1 bigint, h2 bigint, segs array<int>, keys array<bigint>, text string")
+    found = found.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("segs").alias("segs"), F.first("keys").alias("keys"), F.first("text").alias("text"))
+    if exact:  # the bitmap is too full to be all but exact
+        found = materialize(found, "near_candidates")
+        true = found.select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h1", "h2").distinct()
+        found = found.join(true, ["h1", "h2"], "left_semi")
+    return materialize(found.select("place", "segs", "text"), "near_lines")
+
+
+def _fuzzy_drops(near: DataFrame, m: int) -> DataFrame:
+    """Places of lines that come after a line within one edit."""
+
+    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 200):
+            found = [variants(t, [k for k in s if k < m], m) for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            own = np.repeat(np.arange(b.num_rows), [len(k) for k, _ in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(np.concatenate([k for k, _ in found])), pa.array(np.concatenate([r for _, r in found]))], names=["id", "key", "role"])
+
+    # Places are ranked once, so that a key's row is three numbers.
+    ranked = materialize(near.select(F.xxhash64("place").alias("id"), "segs", "text", "place"), "ranked")
+    order = ranked.select("id", "place")
+    emitted = ranked.select("id", "segs", "text").mapInArrow(emit, "id bigint, key bigint, role int")
+    sides = emitted.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("a"), F.count_if(F.col("role") == 1).alias("b"), F.count_if(F.col("role") == 2).alias("c"))
+    joint = sides.where("(a > 0 and b > 0) or c > 1").select("key")
+    meet = emitted.join(joint, "key").join(order, "id")
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("place")))
-    groups = emitted.groupBy("key").agg(least(0).alias("own"), least(1).alias("shorter"), least(2).alias("gap"), F.max("place").alias("last"))
+    groups = meet.groupBy("key").agg(least(0).alias("own"), least(1).alias("shorter"), least(2).alias("gap"))
     # A line is one deletion from the variants that equal it, and variants with the same gap are one substitution apart.
-    groups = groups.where("(own is not null and shorter is not null) or gap < last")
     partner = F.when(F.col("role") == 0, F.col("shorter")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("gap"))
-    pairs = emitted.join(groups, "key").select("place", partner.alias("other")).where("other < place").distinct()
-    both = pairs.join(texts.select("place", F.col("text").alias("a")), "place").join(texts.select(F.col("place").alias("other"), F.col("text").alias("b")), "other")
+    pairs = meet.join(groups, "key").select("place", partner.alias("other")).where("other < place").distinct()
+    both = pairs.join(near.select("place", F.col("text").alias("a")), "place").join(near.select(F.col("place").alias("other"), F.col("text").alias("b")), "other")
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             good = [within_one(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_()))], names=["place"])
 
-    return both.select("place", "a", "b").mapInArrow(verify, f"place {place}").select("place.row", "place.line").distinct()
+    return both.select("place", "a", "b").mapInArrow(verify, f"place {PLACE}").distinct()
 
 
 def dedup_lines(
@@ -174,32 +207,31 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` without lines that come after an equal one, or one within an edit, anywhere in the corpus.
 
-    Order: doc_id (null ids last; rows with equal ids by their row), then line. A line goes if any earlier line is within
-    ``max_edits`` (0 or 1) edits, whether that one stays or not; lines under ``min_fuzzy`` characters only go for an equal
-    one. Lines without a word stay. The others are joined by \\n again; a text that loses all its lines becomes empty, and
-    a column ``n_chars``, if there is one, is set anew where a text changed. Null texts stay null. Every row gives one row.
+    Order: doc_id (null ids last; different texts of one id by their hash), then line. Rows that repeat both id and text
+    have the same places and lose the same lines. A line goes if any earlier line is within ``max_edits`` (0 or 1) edits,
+    whether that one stays or not; lines under ``min_fuzzy`` characters only go for an equal one. Lines without a word
+    stay. The others are joined by \\n again; a text that loses all its lines becomes empty, and a column ``n_chars``, if
+    there is one, is set anew where a text changed. Null texts stay null. Every row gives one row.
     report: adds n_lines and n_dropped (replacing columns of those names).
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     cols = [c for c in docs.columns if not (report and c in ("n_lines", "n_dropped"))]
-    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)])
+    order = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit((1 << 63) - 1))
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], order.alias("_order"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
     at = f"_c{cols.index(text)}"
-    order = F.coalesce(F.col(f"_c{cols.index(doc_id)}").cast("bigint"), F.lit((1 << 63) - 1))
-    # The row number must be the same each time that the rows are read, so it is written with them.
-    named = materialize(named.select("*", F.monotonically_increasing_id().alias("_row"), order.alias("_order")), "docs")
-    texts = named.select("_row", "_order", F.col(at).alias("_text"))
-    lines = materialize(_lines(texts, segments, min_fuzzy if max_edits else 1 << 62), "lines")
-    lines = lines.select("h1", "h2", "keys", F.struct("order", "row", "line").alias("place"))
-    first = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("keys").alias("keys"), F.count("*").alias("n"))
-    first = materialize(first.withColumn("lid", F.monotonically_increasing_id()), "first_lines")
-    again = lines.join(first.where("n > 1").select("h1", "h2", F.col("place").alias("least")), ["h1", "h2"])
-    drops = again.where("place <> least").select("place.row", "place.line")
+    texts = named.select("_order", "_hash", at)
+    lines = materialize(_lines(texts, segments, min_fuzzy if max_edits else None), "lines")
+    first = lines.groupBy("h1", "h2").agg(F.min("place").alias("least"), F.max("place").alias("last")).where("least <> last").select("h1", "h2", "least")
+    drops = lines.select("h1", "h2", "place").join(first, ["h1", "h2"]).where("place <> least").select("place")
     if max_edits:
+        keys = lines.select(F.explode("keys").alias("key"), F.hash("h1", "h2").alias("h"))
+        shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("key")
+        shared = materialize(shared, "shared_keys")
         # What repeats a line that goes here has gone already: it isn't the earliest of its equals.
-        drops = drops.unionByName(_fuzzy_drops(texts, first.where("keys is not null").select("lid", "place", "keys"), segments))
-    gone = drops.groupBy("row").agg(F.collect_set("line").alias("_gone")).select(F.col("row").alias("_row"), "_gone")
-    rows = named.join(gone, "_row", "left")
+        drops = drops.unionByName(_fuzzy_drops(_near_lines(texts, shared, segments, min_fuzzy), segments))
+    gone = drops.groupBy(F.col("place.order").alias("_order"), F.col("place.text_hash").alias("_hash")).agg(F.collect_set("place.line").alias("_gone"))
+    rows = named.join(gone, ["_order", "_hash"], "left")
     parts = F.split(F.col(at), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     new = {c: F.col(f"_c{i}") for i, c in enumerate(cols)}
