@@ -80,7 +80,7 @@ def main(args: list[str] | None = None) -> int:
                 routed = route(engine.claims(), engine.docs())
                 parents = dict(x.split("=", 1) for x in a.parent)
                 for layer, folder in (("clean", "notes"), ("private", "private")):
-                    part = routed.where(routed.layer == layer).select(*schema.CLAIM.names)
+                    part = routed.where(routed.layer == layer).select(*schema.columns(schema.CLAIM))
                     if part.take(1):
                         for w in notes.emit(part, Path(a.vault), folder, parents):
                             print("new" if w.created else "kept", w.path)

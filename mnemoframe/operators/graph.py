@@ -16,7 +16,7 @@ MISSING_ALLOWED = ("private/INDEX",)
 
 def read_nodes(spark: SparkSession, root: str) -> DataFrame:
     """(node_id, text) of BRAIN.md, notes/ and private/ without memory folders."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
     rel = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), root.rstrip("/").split("://")[-1] + "/", -1), r"\.md$", "")
     rows = rows.select(rel.alias("node_id"), F.col("value").alias("text"))
     return rows.where((F.col("node_id") == ROOT) | F.startswith("node_id", F.lit("notes/")) | (F.startswith("node_id", F.lit("private/")) & ~F.array_contains(F.split("node_id", "/"), "memory")))

@@ -132,14 +132,14 @@ class Engine:
             "doc_id", F.lit("").alias("source_fingerprint"), F.lit("claims_extracted").alias("reason"), F.lit(today or date.today()).alias("reviewed_on"), F.lit("").alias("note"), F.lit(1).cast("bigint").alias("seq")
         )
         reviews = tables.cut_lineage(distill.add_reviews(self.reviews(), marks, everything, claims))
-        self._publish("claims", lambda p: claims.select(*schema.CLAIM.names).orderBy("topic", "key", "source_doc_id").write.parquet(f"{p}/t"))
-        self._publish("reviews", lambda p: reviews.select(*schema.REVIEW.names).orderBy("doc_id").write.parquet(f"{p}/t"))
+        self._publish("claims", lambda p: claims.select(*schema.columns(schema.CLAIM)).orderBy("topic", "key", "source_doc_id").write.parquet(f"{p}/t"))
+        self._publish("reviews", lambda p: reviews.select(*schema.columns(schema.REVIEW)).orderBy("doc_id").write.parquet(f"{p}/t"))
 
     def add_reviews(self, batch: DataFrame) -> None:
         everything = distill.select(self.docs(), min_user_chars=0, min_prose=0.0)
         batch = batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())
         reviews = tables.cut_lineage(distill.add_reviews(self.reviews(), batch, everything, self.claims()))
-        self._publish("reviews", lambda p: reviews.select(*schema.REVIEW.names).orderBy("doc_id").write.parquet(f"{p}/t"))
+        self._publish("reviews", lambda p: reviews.select(*schema.columns(schema.REVIEW)).orderBy("doc_id").write.parquet(f"{p}/t"))
 
     def progress(self) -> DataFrame:
         return distill.progress(distill.select(self.docs()), self.claims(), self.reviews())
