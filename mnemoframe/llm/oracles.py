@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from mnemoframe.llm import licenses, quality
+
 _BASE32 = """list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * i + 1, 5))::bigint >> (15 - 5 * j)) & 31)::int, 1)), 'string_agg', '')), 'string_agg', '')"""
 
@@ -32,3 +36,63 @@ SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.ruled, CASE WHEN b.canonica
        c.canonical_url, b.canonical_url IS NOT NULL AS listed
 FROM c LEFT JOIN m ON c.page_id = m.page_id LEFT JOIN bad b ON c.canonical_url = b.canonical_url
 """
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op2_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::varchar, '') AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS words
+        FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM win),
+dwin AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS words FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+hit AS (SELECT doc_id, size, i, words FROM dwin WHERE words IN (SELECT words FROM win)),
+spans AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS ids FROM (SELECT DISTINCT doc_id, words FROM hit) JOIN win USING (words) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(len(ids), 0)::bigint AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN spans ON d.doc_id = spans.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+_KNOWN = ", ".join(f"('{v}', '{k}')" for k, v in licenses.SENTENCES.items())
+_RULES = ", ".join(f"({i}, '{name}', ',{','.join(seq)},')" for i, (name, seq) in enumerate(licenses.RULES))
+
+ORACLE["op9_license_scan"] = f"""
+WITH known(sentence, id) AS (VALUES {_KNOWN}), rules(n, name, seq) AS (VALUES {_RULES}),
+s AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]+\\s+|\\n+') AS parts FROM documents)),
+ids AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM s JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence GROUP BY doc_id),
+fits AS (SELECT doc_id, name, min(n) AS n FROM (SELECT doc_id, rules.name, rules.n FROM ids JOIN rules ON contains(',' || ids || ',', seq)) GROUP BY doc_id, name),
+lic AS (SELECT doc_id, string_agg(name, ',' ORDER BY n) AS licenses, min_by(name, n) AS license FROM fits GROUP BY doc_id)
+SELECT d.doc_id, coalesce(ids, '') AS license_sentences, coalesce(licenses, '') AS licenses, license, coalesce(ids.n, 0)::bigint AS n_license_sentences
+FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN lic ON d.doc_id = lic.doc_id
+"""
+
+_RATES = {
+    "symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "word_len": "100 * word_chars // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)",
+    "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "capital_rate": "1000 * n_capitals // greatest(word_chars, 1)",
+}
+_LONG = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {v} AS v FROM c WHERE n_words > 0" for k, v in _RATES.items())
+_SLACK = "CASE feature " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.SLACK.items()) + " END"
+_OVER = ", ".join(f"CASE WHEN {v} > list_extract(f, {i}) THEN '{k}' END" for i, (k, v) in enumerate(_RATES.items(), 1))
+_ORDER = "CASE feature " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_RATES)) + " END"
+
+ORACLE["op10_quality_rules"] = f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) > 2),
+g3 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g3 WHERE n > 1) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+c AS (SELECT t.doc_id, lang, source, len(w)::bigint AS n_words, length(array_to_string(w, ''))::bigint AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint AS n_symbols,
+      coalesce(n_dup, 0)::bigint AS n_dup_lines, coalesce(rep.n, 0)::bigint AS n_repeat_words, coalesce(n_lines, 0)::bigint AS n_lines, length(regexp_replace(array_to_string(w, ''), '[^A-Z]', '', 'g'))::bigint AS n_capitals
+      FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id LEFT JOIN ln ON t.doc_id = ln.doc_id),
+x AS (SELECT lang, source, feature, (v >> spare) << spare AS bucket FROM (SELECT *, greatest(length(bin(v)) - {quality.SUB_BITS + 1}, 0)::int AS spare FROM ({_LONG}))),
+sk AS (SELECT 2 AS level, lang, source, feature, bucket, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, feature, bucket, count(*) FROM x GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, feature, bucket, count(*) FROM x GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total FROM sk),
+q AS (SELECT level, lang, source, feature, min(CASE WHEN below * 4 >= total THEN bucket END) AS q1, min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS q3, max(total) AS n_docs FROM run GROUP BY ALL),
+f AS (SELECT level, lang, source, max(n_docs) AS n_docs, list(q3 + {quality.REACH} * (q3 - q1) + {_SLACK} ORDER BY {_ORDER}) AS f FROM q GROUP BY ALL HAVING level = 0 OR max(n_docs) >= {quality.MIN_DOCS}),
+j AS (SELECT c.*, coalesce(f2.f, f1.f, f0.f) AS f FROM c LEFT JOIN f f2 ON f2.level = 2 AND f2.lang IS NOT DISTINCT FROM c.lang AND f2.source IS NOT DISTINCT FROM c.source
+      LEFT JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM c.lang LEFT JOIN f f0 ON f0.level = 0),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter([{_OVER}], lambda k: k IS NOT NULL), ',') AS reasons FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND reasons = '' AS kept, reasons FROM r
+"""
