@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import privacy, text
-from mnemoframe.operators import distill, evaluation, graph, recall, search, tables
+from mnemoframe.operators import distill, evaluation, graph, recall, search, sync, tables
 from mnemoframe.operators import index as ix
 from mnemoframe.plans import views
 from mnemoframe.plans.oracles import ORACLE as ORACLE
@@ -521,3 +521,20 @@ def run_averages(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("condition"), (F.col("value") > 50).alias("correct"), F.col("value").alias("cost_usd"), F.col("user_id").alias("input_tokens"), F.lit(1).alias("output_tokens"), F.col("value").alias("seconds"))
     out = evaluation.run_averages(rows)
     return out.select("condition", "answers", "correct", *[F.round(c, 4).alias(c) for c in ("cost_usd", "tokens", "seconds")])
+
+
+@query
+def memory_routing(spark, sf_dir):
+    """Documents as memory files: sources of labelled documents are the known projects, toxic ones are private already."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("project"), "text")
+    known = docs.where("lang <> 'fr'").select(F.col("lang").alias("project"))
+    return sync.route_memory(files, known, labels.where("toxic = 1").select(F.col("doc_id").cast("string").alias("path"))).select("path", "layer")
+
+
+@query
+def private_unindexed(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    docs = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, F.lit("memory")).otherwise(F.lit("codex")).alias("source"), F.col("doc_id").cast("string").alias("conv_id"))
+    return sync.unindexed_private(files, docs)

@@ -240,6 +240,17 @@ def test_engine(spark, tmp_path, claims_of):
     assert e.progress().first().asDict() == {"candidates": 1, "extracted": 1, "reviewed": 1, "open": 0, "topics": 1}
 
 
+def test_memory_routing(spark, tmp_path):
+    from mnemoframe.operators import sync
+
+    files = spark.createDataFrame([("a", "shop", "fine"), ("b", "new", "fine"), ("c", "shop", "Acmeware"), ("d", "shop", "ghp_" + "a" * 24), ("e", "shop", "fine"), ("f", None, None)], "path string, project string, text string")
+    got = sync.route_memory(files, spark.createDataFrame([("shop",)], "project string"), spark.createDataFrame([("e",)], "path string"))
+    assert {r.path: r.layer for r in got.collect()} == {"a": "clean", "b": "private", "c": "private", "d": "refused", "e": "private", "f": "private"}
+    assert len(sync.init_vault(tmp_path)) == 5 and sync.init_vault(tmp_path) == []
+    report, errors = graph.audit(graph.read_nodes(spark, f"file://{tmp_path}"))
+    assert report.first().ok, errors.collect()
+
+
 def test_landing_stream(spark, tmp_path):
     import json
 
