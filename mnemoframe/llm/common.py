@@ -51,10 +51,15 @@ def hex64(c: Column) -> Column:
 
 
 def batches(it: Iterator, rows: int) -> Iterator:
-    """Slices of record batches of at most ``rows`` rows, so that a task's memory doesn't follow the batch size."""
+    """Slices of record batches of at most ``rows`` rows, so that a task's memory doesn't follow the batch size.
+
+    Arrow's pool gives back what a batch has used, as workers live on and share their executor's memory.
+    """
     for b in it:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 def add_columns(df: DataFrame, text: str, added: str, find: Callable[[list], dict], keep: list[str] | None = None, rows: int = 2000) -> DataFrame:

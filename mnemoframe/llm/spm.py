@@ -80,7 +80,7 @@ class BpeLattice:
             return True
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -254,25 +254,31 @@ def _giant_ids(giants: DataFrame, proto: bytes, chunk: int) -> DataFrame:
     return traced.groupBy(F.col("row").alias("_row")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("_ids"))
 
 
-def encode(docs: DataFrame, proto: bytes, text: str = "text", ids: str = "ids", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with the piece ids of ``text``, as the library gives them; null and empty texts have none.
-
-    Every row, repeated or not, gives one row; an input column named ``ids`` is replaced.
-    """
-    cols = [c for c in docs.columns if c != ids]
-    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], F.col(f"`{text}`").alias("_text"))
+def _coded(docs: DataFrame, proto: bytes, text: str, giant: int, chunk: int, back: bool) -> tuple[DataFrame, list[str]]:
+    """``docs`` with numbered columns, _ids and, if ``back`` is asked for, _decoded; and the numbered columns' names."""
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{text}`").alias("_text"))
     own = [c for c in named.columns if c != "_text"]
     big = F.coalesce(F.length("_text") >= giant, F.lit(False))
 
     def plain(texts: list[str | None]) -> dict:
-        return {"_ids": _library(proto).encode([t or "" for t in texts], num_threads=1)}
+        ids = _library(proto).encode([t or "" for t in texts], num_threads=1)
+        return {"_ids": ids} | ({"_decoded": _library(proto).decode(ids)} if back else {})
 
-    small = add_columns(named.where(~big), "_text", "_ids array<int>", plain, own, rows=500)
+    small = add_columns(named.where(~big), "_text", "_ids array<int>" + ", _decoded string" * back, plain, own, rows=500)
     giants = materialize(named.where(big).withColumn("_row", F.monotonically_increasing_id()), "giants")
-    out = small
-    if giants.take(1):
-        out = small.unionByName(giants.join(_giant_ids(giants.select("_row", "_text"), proto, chunk), "_row").select(*own, "_ids"))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_ids").alias(ids))
+    if not giants.take(1):
+        return small, own
+    coded = giants.join(_giant_ids(giants.select("_row", "_text"), proto, chunk), "_row").select(*own, "_ids")
+    return small.unionByName(decode(coded, proto, "_ids", "_decoded") if back else coded), own
+
+
+def encode(docs: DataFrame, proto: bytes, text: str = "text", ids: str = "ids", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with the piece ids of ``text``, as the library gives them; null and empty texts have none.
+
+    Every row, repeated or not, gives one row; an input column named ``ids`` is replaced.
+    """
+    coded, own = _coded(docs, proto, text, giant, chunk, back=False)
+    return coded.select(*[F.col(n).alias(c) for n, c in zip(own, docs.columns, strict=True) if c != ids], F.col("_ids").alias(ids))
 
 
 def decode(coded: DataFrame, proto: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -280,10 +286,15 @@ def decode(coded: DataFrame, proto: bytes, ids: str = "ids", text: str = "decode
     return add_columns(coded, ids, f"`{text}` string", lambda rows: {text: _library(proto).decode([r or [] for r in rows])}, rows=500)
 
 
-def round_trip(docs: DataFrame, proto: bytes, text: str = "text", **how) -> DataFrame:
-    """``docs`` with ids, decoded and same (the decoded text is the text). A text that has U+2581 itself comes back with spaces there."""
-    back = decode(encode(docs, proto, text, **how), proto)
-    return back.withColumn("same", F.col("decoded") == F.coalesce(F.col(f"`{text}`"), F.lit("")))
+def round_trip(docs: DataFrame, proto: bytes, text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with ids, decoded and same (the decoded text is the text), replacing columns of these names.
+
+    A text that has U+2581 itself comes back with spaces there. Ordinary texts are encoded and decoded in one pass.
+    """
+    coded, own = _coded(docs, proto, text, giant, chunk, back=True)
+    at = own[docs.columns.index(text)]
+    kept = [F.col(n).alias(c) for n, c in zip(own, docs.columns, strict=True) if c not in ("ids", "decoded", "same")]
+    return coded.select(*kept, F.col("_ids").alias("ids"), F.col("_decoded").alias("decoded"), (F.col("_decoded") == F.coalesce(F.col(at), F.lit(""))).alias("same"))
 
 
 def digest(ids: Column) -> Column:
