@@ -73,13 +73,14 @@ def parent_chains(parent_of: DataFrame, root: str = ROOT, max_rounds: int = 60)
     A chain that neither ends nor reaches the root after doubling past the number of nodes goes round.
     """
     hops = cut_lineage(parent_of.select("child", F.col("parent").alias("at")))
-    for _ in range(max_rounds):
+    n = hops.count()
+    for r in range(max_rounds):
         following = hops.select(F.col("child").alias("at"), F.col("at").alias("then"))
         new = cut_lineage(hops.join(following, "at", "left").select("child", F.coalesce("then", "at").alias("at"), (F.col("then").isNotNull() & (F.col("then") != F.col("at"))).alias("moved")))
         still = new.where("moved").join(new.select(F.col("child").alias("at")), "at", "left_semi")
         open_chains = still.count()
         hops = new.select("child", "at")
-        if not open_chains or 2**_ > parent_of.count():
+        if not open_chains or 2**r > n:
             break
     inner = parent_of.select(F.col("child").alias("at")).distinct().withColumn("inner", F.lit(True))
     return hops.join(inner, "at", "left").select("child", (F.col("at") == root).alias("reaches"), F.coalesce("inner", F.lit(False)).alias("cyclic"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import privacy, text
 from mnemoframe.operators import index as ix
+from mnemoframe.operators.tables import cut_lineage
 
 #: Weights of a hit by where it stands, the depth of a list and the constant of reciprocal ranks.
 USER, SUMMARY, ASSISTANT, TITLE = 2.0, 1.5, 1.0, 2.0
@@ -79,7 +80,8 @@ def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def _by_count(rows: DataFrame) -> DataFrame:
     """Ranks of a list of any length without one task for all of it: range partitions by (score, doc_id), a count of each, and the rank inside."""
-    parts = rows.repartitionByRange(F.desc("score"), F.col("doc_id")).withColumn("_part", F.spark_partition_id())
+    # Written once: the ranges are sampled, and another run could draw them otherwise.
+    parts = cut_lineage(rows.repartitionByRange(F.desc("score"), F.col("doc_id")).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("score"), F.col("doc_id")))
