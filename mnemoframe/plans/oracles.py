@@ -134,7 +134,7 @@ ORACLE: dict[str, str] = {
     "ingest_counts": f"""WITH {_EVENTS} SELECT count(*) AS seen, 0::bigint AS empty, count(*) FILTER (WHERE sensitivity = 'clean') AS clean, 0::bigint AS copyright, count(*) FILTER (WHERE sensitivity = 'nda') AS nda,
         count(*) FILTER (WHERE source <> 'click') AS added, count(*) FILTER (WHERE source = 'click') AS replaced FROM ev""",
     "run_averages": "SELECT event_type AS condition, count(*) AS answers, count(*) FILTER (WHERE value > 50) AS correct, round(avg(value), 4) AS cost_usd, round(avg(user_id + 1)::double, 4) AS tokens, round(avg(value), 4) AS seconds FROM events GROUP BY 1",
-    "memory_routing": f"""SELECT d.doc_id::varchar AS path, CASE WHEN {_SECRET} THEN 'refused' WHEN l.doc_id IS NOT NULL OR lang = 'fr' OR {_EMAIL} OR regexp_matches(text, '(?i)acme|globex|docparse|interviewkit|storybot|ini\.tech|ini-tech|ini tech|umbrella energie|umbrella-energie|hooli mag|hooli-mag|teamco website|teamco-website') THEN 'private' ELSE 'clean' END AS layer
+    "memory_routing": rf"""SELECT d.doc_id::varchar AS path, CASE WHEN {_SECRET} THEN 'refused' WHEN l.doc_id IS NOT NULL OR lang = 'fr' OR {_EMAIL} OR regexp_matches(text, '(?i)acme|globex|docparse|interviewkit|storybot|ini\.tech|ini-tech|ini tech|umbrella energie|umbrella-energie|hooli mag|hooli-mag|teamco website|teamco-website') THEN 'private' ELSE 'clean' END AS layer
         FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id""",
     "private_unindexed": "SELECT d.doc_id::varchar AS path FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR l.quality <> 1",
 }
