@@ -223,6 +223,7 @@ def dedup_lines(
     texts = named.select("_order", "_hash", at)
     lines = materialize(_lines(texts, segments, min_fuzzy if max_edits else None), "lines")
     first = lines.groupBy("h1", "h2").agg(F.min("place").alias("least"), F.max("place").alias("last")).where("least <> last").select("h1", "h2", "least")
+    first = materialize(first, "repeated")  # read back, it is joined by a shuffle of its own, whose large partitions can be split
     drops = lines.select("h1", "h2", "place").join(first, ["h1", "h2"]).where("place <> least").select("place")
     if max_edits:
         keys = lines.select(F.explode("keys").alias("key"), F.hash("h1", "h2").alias("h"))
