@@ -17,7 +17,7 @@ from mnemoframe.llm.common import add_columns
 
 SYMBOLS = "#*$%&|<>"
 #: feature: slack over the fence. Shares are per mille; word_len is in hundredths of a code point.
-SLACK = {"symbol_rate": 100, "word_len": 300, "dup_line_rate": 300, "repeat_rate": 300, "capital_rate": 200}
+SLACK = {"symbol_rate": 100, "word_len": 300, "dup_line_rate": 500, "repeat_rate": 300, "capital_rate": 200}
 #: Interquartile ranges over the third quartile.
 REACH = 3
 #: A group with fewer texts uses its language's thresholds, and a language with fewer those of all texts.
@@ -116,24 +116,20 @@ def fences(sketch: DataFrame, reach: int = REACH, slack: dict[str, int] = SLACK)
 
 
 def judge(counts: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``counts`` with base_failed, reasons (features over their fence, comma-joined) and kept."""
+    """``counts`` with base_failed, reasons (features over their fence, comma-joined) and kept.
+
+    Which sketch a group goes by is settled among the groups; rows are joined once. A group without words has no fence and fails the base rule.
+    """
     limits = [f"max_{k}" for k in SLACK]
-    rows = counts
-    for level, on in ((2, ((lang, "lang"), (source, "source"))), (1, ((lang, "lang"),)), (0, ())):
-        part = fence.where((F.col("level") == level) & ((F.col("n_docs") >= min_docs) | F.lit(level == 0)))
-        part = part.select(*[F.col(t).alias(f"_k_{t}") for _, t in on], F.struct(*limits).alias(f"_f{level}"))
-        if on:
-            same = F.lit(True)
-            for c, t in on:
-                same = same & F.col(c).eqNullSafe(F.col(f"_k_{t}"))
-            rows = rows.join(part, same, "left").drop(*[f"_k_{t}" for _, t in on])
-        else:
-            rows = rows.join(F.broadcast(part), F.lit(True), "left")  # one row
-    rows = rows.withColumn("_f", F.coalesce("_f2", "_f1", "_f0"))
+    level = lambda n: fence.where(F.col("level") == n).select("lang", "source", F.when((F.col("n_docs") >= min_docs) | F.lit(n == 0), F.struct(*limits)).alias(f"_f{n}"), F.lit(1).alias("_one"))
+    own, wider, whole = (level(n) for n in (2, 1, 0))
+    groups = own.join(wider.select(F.col("lang").alias("_l"), "_f1"), F.col("lang").eqNullSafe(F.col("_l")), "left").join(whole.select("_one", "_f0"), "_one")
+    groups = groups.select(F.col("lang").alias("_g_lang"), F.col("source").alias("_g_source"), F.coalesce("_f2", "_f1", "_f0").alias("_f"))
+    rows = counts.join(groups, F.col(lang).eqNullSafe(F.col("_g_lang")) & F.col(source).eqNullSafe(F.col("_g_source")), "left").drop("_g_lang", "_g_source")
     over = [F.when(v > F.col(f"_f.max_{k}"), F.lit(k)) for k, v in _rates().items()]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumns({"base_failed": failed, "reasons": F.array_join(F.array_compact(F.array(*over)), ",")})
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("reasons") == "")).drop("_f", "_f0", "_f1", "_f2")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("reasons") == "")).drop("_f")
 
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
