@@ -1,13 +1,14 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised and mapped to the identifier of a known licence sentence, and the sequence
-of identifiers is matched against ordered licence rules. DataFrame functions only, no shuffle: the knowledge is two small
-fixed tables, which become a map literal and a list of conditions.
+A text is normalised, with marks where its sentences, lines and paragraphs end. Known licence sentences that stand between
+two marks, on one line or wrapped over several, give their identifiers, and the sequence of identifiers is matched against
+ordered licence rules. DataFrame functions only, no shuffle: the knowledge is small fixed tables, which become a pattern, a
+map literal and a list of conditions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,30 +68,61 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("ccby4.short",)),
     ("proprietary", ("rights.reserved",)),
 )
+_MIT = SENTENCES["mit.grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_GPL = SENTENCES["gpl.redistribute"] + " as published by the free software foundation"
+_USE = "version 2 0 the license you may not use this file except in compliance with the license"
+#: Sentences as the licences and their file headers have them in full, with the identifiers they stand for.
+WHOLE: dict[str, str] = {
+    "licensed under the apache license " + _USE: "apache2.notice,apache2.use",
+    "the asf licenses this file to you under the apache license " + _USE: "apache2.notice,apache2.use",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2.copy",
+    _MIT: "mit.grant",
+    SENTENCES["mit.warranty"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit.warranty",
+    **{f"{_GPL} {either}version {n} of the license{later}": f"gpl.redistribute,gpl{n}.notice" for n in (2, 3) for either in ("", "either ") for later in ("", " or at your option any later version")},
+    _GPL: "gpl.redistribute",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
+}
 #: Every known sentence has one of these, so that other texts needn't be cut up.
-ANCHORS = "licen|permission|warranty|redistribut|endorse|rights reserved"
-SENTENCE_END = r"[.!?]+\s+|\n+"
+ANCHORS = "licen|permission|warranty|redistribut|endorse|reserved"
 
 
-def normalise(sentence: Column) -> Column:
-    """Lower case; runs of anything but a-z and 0-9 become one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Lower case; S, L and P where a sentence, a line and a paragraph end; runs of anything but a-z and 0-9 become one space.
+
+    A version number behind "v." goes on with its sentence, and so does a URL in a paragraph of its own. Lines without a
+    letter or digit, such as those of comment marks alone, part paragraphs.
+    """
+    t = F.regexp_replace(F.lower(text), r"\bv\.\s+(?=[0-9])", "v ")
+    t = F.regexp_replace(t, r"(?<![.!?])[.!?]++\s++", "S")
+    t = F.regexp_replace(t, r"\n[^\p{L}\p{N}]*\n", "P")
+    t = F.regexp_replace(t, r"P(?=[^\p{L}\p{N}]*+https?://)", "L")
+    t = F.regexp_replace(F.regexp_replace(t, r"\n", "L"), "[^a-z0-9SLP]+", " ")
+    return F.trim(F.regexp_replace(t, " ?([SLP]) ?", "$1"))
+
+
+def _pattern(sentences: Iterable[str]) -> str:
+    """Any of ``sentences`` between two marks, the longest first; a line may end behind each word."""
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    return f"(?<![^SLP])(?:{'|'.join(s.replace(' ', '[ L]') for s in longest)})(?![^SLP])"
 
 
 def scan_licenses(
-    docs: DataFrame, text: str = "text", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES
+    docs: DataFrame, text: str = "text", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, whole: Mapping[str, str] = WHOLE
 ) -> DataFrame:
     """``docs`` with license_sentences (identifiers in text order, comma-joined), licenses (licences of all rules that fit,
     in rule order, each once, comma-joined), license (that of the first rule; null if none) and n_license_sentences.
 
     A rule fits if its identifiers follow one another among the text's known sentences. A null or empty text has none.
-    Input columns named like a new one are replaced; every row gives one row.
+    Sentences of ``whole`` stand for one or more identifiers of ``sentences``; a longer known sentence goes before those it
+    holds. Input columns named like a new one are replaced; every row gives one row.
     """
-    if missing := [k for k, v in sentences.items() if not any(a in v for a in ANCHORS.split("|"))]:
+    ids_of = {v: k for k, v in sentences.items()} | {v: k for v, k in whole.items() if all(i in sentences for i in k.split(","))}
+    if missing := [v for v in ids_of if not any(a in v for a in ANCHORS.split("|"))]:
         raise ValueError(f"known sentences without an anchor: {missing}")
     docs = docs.drop("license_sentences", "licenses", "license", "n_license_sentences")
-    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
-    ids = F.filter(F.transform(F.split(F.col(text), SENTENCE_END), lambda s: F.try_element_at(known, normalise(s))), lambda x: x.isNotNull())
+    known = F.create_map(*[F.lit(x) for pair in ids_of.items() for x in pair])
+    found = F.regexp_extract_all(marked(F.col(text)), F.lit(_pattern(ids_of)), F.lit(0))
+    ids = F.flatten(F.transform(found, lambda s: F.split(F.element_at(known, F.translate(s, "L", " ")), ",")))
     rows = docs.withColumn("_ids", F.when(F.lower(text).rlike(ANCHORS), ids).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_seq", F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(",")))
     fits = [F.when(F.contains(F.col("_seq"), F.lit("," + ",".join(seq) + ",")), F.lit(name)) for name, seq in rules]

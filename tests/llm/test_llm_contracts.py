@@ -363,6 +363,68 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs).count() == docs.count()
 
 
+APACHE = """Copyright 2020 Some Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+MIT = """MIT License
+
+Copyright (c) 2020 Some Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_licenses(spark, mark):
+    wants = [
+        (APACHE, "apache2.notice,apache2.use,apache2.copy", "Apache-2.0"), (APACHE.replace("http:", "https:"), "apache2.notice,apache2.use,apache2.copy", "Apache-2.0"), (MIT, "mit.grant,mit.warranty", "MIT"),
+        (GPL, "gpl.redistribute,gpl3.notice", "GPL-3.0,GPL"), (GPL.replace("version 3", "version 2"), "gpl.redistribute,gpl2.notice", "GPL-2.0,GPL"), (BSD, "bsd.redistribution,bsd3.endorse", "BSD-3-Clause,BSD-2-Clause"),
+        (MPL, "mpl2.notice", "MPL-2.0"), ("A line\nAll rights\nreserved", "rights.reserved", "proprietary"), ("A title\nReleased under the MIT\nLicense\nMore", "mit.released", "MIT"),
+        ("Released under the\n\nMIT License", "", ""), ("It is released under the MIT License", "", ""), ("Released under the. MIT License.", "", ""),
+    ]
+    rows = [(i, "\n".join(mark + line for line in t.split("\n"))) for i, (t, _, _) in enumerate(wants)]
+    rows += [(100 + i, t.replace("\n", "\r\n")) for i, t in rows]
+    got = {r.doc_id: (r.license_sentences, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k + i: w[1:] for i, w in enumerate(wants) for k in (0, 100)}
+
+
 # ---------------------------------------------------------------- 10 quality
 
 
