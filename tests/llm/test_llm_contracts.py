@@ -136,6 +136,35 @@ def test_pii(spark, docs, empty):
     assert pii.find_pii(empty).count() == 0 and pii.find_pii(docs).count() == docs.count()
 
 
+def test_pii_beyond_base(spark):
+    rng = random.Random(12)
+    n = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    w = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) + rng.choice(["", n(2)])
+    rows = []
+    for i in range(300):
+        rows.append((i, f"please call ({n(3)}) {n(3)}-{n(4)} or +1 ({n(3)}) {n(3)}-{n(4)} about order {n(9)} of 2024-03-1{i % 9} {n(2)}"))
+        rows.append((1000 + i, f"mail {w()}@{w()}.org or {w()} at {w()} dot org, we meet at noon.then and look at page.three, build {n(8)}"))
+    planted = [
+        (5000, "the desk has (555) 123-4567 today", "phone", "(555) 123-4567"), (5001, "reach jo at firm dot org today", "email", "jo at firm dot org"), (5002, "reach jo[at]firm.org today", "email", "jo[at]firm.org"),
+        (5003, "on 2024-03-11 (555) 987-6543 there", "phone", "(555) 987-6543"), (5004, "reach jo (at) firm (dot) com", "email", "jo (at) firm (dot) com"),
+    ]
+    clean = [(6000, "we meet at noon.then order 123456789 on 2024-03-11 12 of build 12345678"), (6001, "look at page.three and a1234567890b")]
+    table = spark.createDataFrame(rows + [p[:2] for p in planted] + clean, "doc_id bigint, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(table).collect()}
+    for i, t, kind, s in planted:
+        assert got[i] == [(kind, t.index(s), t.index(s) + len(s))], (t, got[i])
+    assert got[6000] == got[6001] == []
+
+
+def test_labels_are_not_features():
+    f = lambda t, kind: pii.features(t, kind, t.index(" ") + 1, len(t))
+    assert f("mail jo@firm.org", 0) == f("abcd jo@firm.zzz", 0) == f("mail jo at firm dot org", 0)
+    assert f("x 4111 1111 1111 1111", 2) == f("card 4111 1111 1111 1112", 2)
+    assert pii.features("12 34 56", 3, 0, 2)[pii._GOES_ON] == 1 and pii.features("12 34 56", 3, 6, 8)[pii._GOES_ON] == 0
+    assert f("tel +1 (555) 123-4567", 3) == f("x 1 (555) 123-4567", 3)
+    assert f("x 10.20.30.140", 1) == f("x 10.20.30.999", 1) == f("ip 10.20.30[.]140", 1)
+
+
 def test_boosting_held_out():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
