@@ -285,6 +285,29 @@ def test_lm(spark, docs, texts, empty):
     assert alone.train_tokens == 0 and alone.base_score == 0.0 and alone.n_known == 0
 
 
+def test_lm_trains_on_every_token(docs, texts):
+    train = [i for i, _ in texts if not brute.held_out(i)]
+    blocks = lm._blocks(docs, "text", "doc_id", [], 20_000)
+    total = sum(len(brute.SPACED.findall(t or "")) + 1 for i, t in texts if not brute.held_out(i))
+    model = lm.train(blocks, lm.Model(["the", "of", lm.END], [300, 300, len(train)], total, 99))
+    assert model.trained == total
+
+
+def test_lm_carries_the_state_through_a_text():
+    n = np.array([5, 100, 1, 33, 64, 700, 32])
+    start, chosen = np.concatenate([[0], np.cumsum(n)]), np.array([True, True, True, False, True, True, True])
+    begin, end, fresh = lm._lanes(start, chosen)
+    seen = np.zeros(start[-1], int)
+    for k in range(begin.shape[1]):
+        last = None
+        for b, e, f in zip(begin[:, k], end[:, k], fresh[:, k], strict=True):
+            if e > b:
+                seen[b:e] += 1
+                assert bool(f) == (b in start[:-1]) and (f or b == last)
+                last = e
+    assert (seen == np.repeat(chosen, n)).all()
+
+
 def test_gru_gradients_and_learning():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in gru.fresh(np.arange(1.0, 10.0), 3).items()}
