@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from datetime import date
 from pathlib import Path
@@ -11,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from mnemoframe import schema
 from mnemoframe.functions.text import join_query
-from mnemoframe.operators import graph, notes
+from mnemoframe.operators import graph, notes, sync
 from mnemoframe.operators.distill import Rejected, route, show_user_text
 from mnemoframe.plans.engine import Engine
 from mnemoframe.sources.registry import READERS
@@ -25,7 +26,21 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("source", choices=sorted(READERS))
     c.add_argument("path")
     c.add_argument("--dry-run", action="store_true")
+    c.add_argument("--limit", type=int, help="files to read at most")
+    c.add_argument("--full", action="store_true", help="read unchanged files as well")
     sub.add_parser("index")
+    c = sub.add_parser("embed", help="index with vectors of chunks that are new or changed")
+    c.add_argument("encoder", help="MODULE:FUNCTION of (texts, are they queries) -> unit vectors")
+    c = sub.add_parser("init", help="the skeleton of a vault")
+    c.add_argument("vault")
+    for name in ("remember", "remember-private"):
+        c = sub.add_parser(name, help="write a note and read it in")
+        c.add_argument("vault")
+        c.add_argument("title")
+        c.add_argument("body")
+        c.add_argument("parent")
+        c.add_argument("--folder", default="")
+        c.add_argument("--source", default="")
     c = sub.add_parser("search")
     c.add_argument("query", nargs="+")
     for name in ("--since", "--source", "--project"):
@@ -58,9 +73,18 @@ def main(args: list[str] | None = None) -> int:
     try:
         match a.command:
             case "ingest":
-                print(engine.ingest(a.source, a.path, dry_run=a.dry_run))
+                print(engine.ingest(a.source, a.path, dry_run=a.dry_run, limit=a.limit, full=a.full))
             case "index":
                 engine.reindex()
+            case "embed":
+                module, _, name = a.encoder.partition(":")
+                engine.reindex(getattr(importlib.import_module(module), name))
+            case "init":
+                for path in sync.init_vault(Path(a.vault)):
+                    print("new", path)
+            case "remember" | "remember-private":
+                w = engine.remember(Path(a.vault), a.title, a.body, a.parent, private=a.command != "remember", folder=a.folder, source=a.source)
+                print("new" if w.created else "kept", w.path)
             case "search":
                 since = date.fromisoformat(a.since) if a.since else None
                 show(engine.search(join_query(a.query), limit=a.limit, include_nda=a.include_nda, since=since, source=a.source, project=a.project, ranking=a.ranking))

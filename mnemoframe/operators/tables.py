@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a folder of our own where it is unset."""
+    """spark.checkpoint.dir, which all executors share; a folder of our own where it is unset and all executors are in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/mnemoframe/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/mnemoframe/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -37,7 +43,18 @@ def next_state(files: DataFrame, state: DataFrame, policy_version: str) -> DataF
     return kept.unionByName(files.select("path", "size", "mtime_ns", "ctime_ns").withColumn("policy_version", F.lit(policy_version)))
 
 
-def stale(docs: DataFrame, expected: DataFrame, sources: tuple[str, ...] = ("memory", "course")) -> DataFrame:
+#: Sources whose documents mirror a file each.
+DERIVED = ("memory", "course")
+
+
+def longest(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Of each document of ``new`` the longer state, it or the stored one; of equals the new one, which was classified last."""
+    rows = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    best = F.max_by(F.struct(*new.columns), F.struct(F.col("ended_at"), F.size("turns"), F.col("_new")))
+    return rows.groupBy("doc_id").agg(best.alias("d")).select("d.*")
+
+
+def stale(docs: DataFrame, expected: DataFrame, sources: tuple[str, ...] = DERIVED) -> DataFrame:
     """Derived documents whose file is gone. Sources that only ever grow are never stale."""
     return docs.where(F.col("source").isin(*sources)).join(expected.select("doc_id"), "doc_id", "left_anti")
 

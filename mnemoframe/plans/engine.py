@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe import schema
-from mnemoframe.functions.privacy import Policy
-from mnemoframe.operators import distill, index, search, tables
+from mnemoframe.functions.privacy import Policy, has_email, has_secret
+from mnemoframe.operators import distill, index, notes, search, tables
 from mnemoframe.sources import registry
 from mnemoframe.sources.assemble import latest
 
+#: Paths that are handed to a reader one by one at most.
+MAX_PATHS = 10_000
+
 
 @dataclass
 class Engine:
-    """Tables below ``root``: docs, index, claims, reviews, files. Each is a folder of numbered versions; the newest whole one counts."""
+    """Tables below ``root``: docs, files, index, claims, reviews. Each is a folder of versions that are never changed; the newest
+    manifest names one version of each, so that what is published together is seen together or not at all."""
 
     spark: SparkSession
     root: str
@@ -29,29 +37,41 @@ class Engine:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p  # noqa: SLF001
 
-    def _versions(self, name: str) -> list[int]:
-        fs, p = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return []
-        done = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(d.getName()) for d in done if d.getName().isdigit() and fs.exists(self._fs(f"{d}/_DONE")[1]))
-
-    def _publish(self, name: str, write) -> str:
-        """Write the next version and mark it whole."""
-        path = f"{self.root}/{name}/{(self._versions(name) or [0])[-1] + 1}"
-        write(path)
-        fs, mark = self._fs(f"{path}/_DONE")
-        fs.create(mark).close()
-        return path
+    def _manifests(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self) -> dict[str, str]:
+        """Version of each table, and index_docs: the version of docs that the index was built from."""
+        done = self._manifests()
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{done[-1]}", wholetext=True).first().value) if done else {}
+
+    def _publish(self, writes: dict[str, Callable[[str], object]], **marks: str) -> None:
+        """Write new versions of some tables, then the manifest that names them. Of two runs at once, one fails here and has changed nothing."""
+        number, now = (self._manifests() or [0])[-1] + 1, self._manifest() | marks
+        for name, write in writes.items():
+            now[name] = uuid.uuid4().hex
+            write(f"{self.root}/{name}/{now[name]}")
+        fs, ready = self._fs(f"{self.root}/manifests/.{uuid.uuid4().hex}")
+        out = fs.create(ready)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        if not fs.rename(ready, self._fs(f"{self.root}/manifests/{number}")[1]):
+            raise RuntimeError(f"another run has published version {number} of {self.root}")
 
     def _current(self, name: str) -> str | None:
-        v = self._versions(name)
-        return f"{self.root}/{name}/{v[-1]}" if v else None
+        version = self._manifest().get(name)
+        return f"{self.root}/{name}/{version}" if version else None
 
     def _read(self, name: str, shape) -> DataFrame:
         path = self._current(name)
         return self.spark.read.schema(shape).parquet(f"{path}/t") if path else self.spark.createDataFrame([], shape)
 
+    @staticmethod
+    def _table(df: DataFrame) -> Callable[[str], object]:
+        return lambda p: df.write.parquet(f"{p}/t")
+
     def docs(self) -> DataFrame:
         if not self._current("docs"):
             raise FileNotFoundError(f"nothing has been ingested into {self.root}")
@@ -63,35 +83,72 @@ class Engine:
     def reviews(self) -> DataFrame:
         return self._read("reviews", schema.REVIEW)
 
+    def files(self) -> DataFrame:
+        """State of the files that have been read: (source, path, size, mtime_ns, ctime_ns, policy_version)."""
+        return self._read("files", f"source string, {schema.FILE_STATE}")
+
     # -- ingest
 
-    def ingest(self, source: str, path: str, dry_run: bool = False, **options: object) -> dict:
-        """Read a source, replace its documents of the same id, drop notes and lessons whose file is gone. Returns counts."""
-        new = tables.cut_lineage(latest(registry.read(self.spark, source, path, self.policy, **options)))
+    def ingest(self, source: str, path: str, dry_run: bool = False, limit: int | None = None, full: bool = False, **options: object) -> dict:
+        """Read what is new or changed of a source, or was read under another policy; notes and lessons whose file is gone go.
+
+        limit: so many files at most, by path; the others stay for the next run. full: read all files whatever the state.
+        A document of a session keeps its longest state, also against a version that is stored. Returns counts: those of
+        ``tables.ingest_counts``, files and changed (files that were read).
+        """
+        here = tables.cut_lineage(registry.files(self.spark, source, path))
+        state = self.files()
+        own = state.where(F.col("source") == source).drop("source")
+        todo = here if full else tables.changed_files(here, own, self.policy.signature)
+        todo = tables.cut_lineage(todo.orderBy("path").limit(limit) if limit else todo)
+        n = todo.count()
+        only = [r.path for r in todo.select("path").collect()] if n <= MAX_PATHS else None  # more files are read as a folder
         old = self._read("docs", schema.DOC)
-        counts = tables.ingest_counts(new, old).first().asDict()
+        if n:
+            new = tables.cut_lineage(latest(registry.read(self.spark, source, path, self.policy, only=only, **options)))
+        else:
+            new = self.spark.createDataFrame([], schema.DOC)
+        counts = tables.ingest_counts(new, old).first().asDict() | {"files": here.count(), "changed": n}
         if not dry_run:
-            own = old.where(F.col("source") == source)
-            gone = tables.stale(own, new)
+            if source in tables.DERIVED:  # a file is a document: what its last state was called doesn't matter
+                stored = old.where(F.col("source") == source)
+                gone = stored.join(here.select(F.col("rel").alias("conv_id")), "conv_id", "left_anti").select("doc_id").unionByName(stored.join(new.select("conv_id"), "conv_id", "left_semi").select("doc_id"))
+            else:
+                gone = None
+                new = tables.longest(old.join(new.select("doc_id"), "doc_id", "left_semi"), new.select(*old.columns))
             merged = tables.merge_docs(old, new.select(*old.columns), gone)
-            self._publish("docs", lambda p: merged.write.parquet(f"{p}/t"))
+            read = here if only is None else todo
+            after = tables.next_state(read, own.join(here.select("path"), "path", "left_semi"), self.policy.signature).withColumn("source", F.lit(source))
+            files = state.where(F.col("source") != source).unionByName(after.select(*state.columns))
+            self._publish({"docs": self._table(merged), "files": self._table(files)})
         return counts
 
     def reindex(self, encoder: index.Encoder | None = None) -> None:
-        """Build all index tables; vectors of unchanged documents are taken over."""
-        docs = self.docs()
-        vectors = None
+        """Build all index tables from the documents as they are. Vectors of unchanged documents are taken over; those of others are made if there is an encoder."""
+        docs, version = self.docs(), self._manifest()["docs"]
+        before = self.spark.read.parquet(f"{self._current('index')}/vectors") if self._has_vectors() else None
         if encoder is not None:
-            before = self.spark.read.parquet(f"{self._current('index')}/vectors") if self._has_vectors() else None
             vectors = index.update_vectors(before, docs, encoder)
+        else:
+            vectors = None if before is None else index.unchanged_vectors(before, docs)
         built = index.build(docs)
-        self._publish("index", lambda p: index.write(index.Index(built.docs, built.postings, built.lengths, vectors), p))
+        self._publish({"index": lambda p: index.write(index.Index(built.docs, built.postings, built.lengths, vectors), p)}, index_docs=version)
 
     def index(self, vectors: bool = False) -> index.Index:
-        if not self._current("index"):
+        """The index of the documents as they are: one of an older version, which may show what is hidden now, is built anew."""
+        now = self._manifest()
+        if "docs" not in now or now.get("index_docs") != now["docs"]:
             self.reindex()
         return index.load(self.spark, self._current("index"), vectors)
 
+    def remember(self, vault: Path, title: str, body: str, parent: str, private: bool = False, folder: str = "", source: str = "") -> notes.Written:
+        """A note in the vault, classified like any document, and the vault's notes read in again, so that the next search finds it."""
+        whole = F.lit(f"{title}\n{body}")
+        flags = self.spark.range(1).select(self.policy.classify(F.lit(folder), whole).alias("level"), has_secret(whole).alias("secret"), has_email(whole).alias("email")).first()
+        written = notes.remember(vault, title, body, parent, flags.level, flags.secret, flags.email, layer="private" if private else "notes", folder=folder, source=source)
+        self.ingest("memory", vault.resolve().as_uri())
+        return written
+
     # -- questions
 
     def _has_vectors(self) -> bool:
@@ -100,10 +157,11 @@ class Engine:
         return bool(path) and fs.exists(p)
 
     def search(self, query: str, ranking: str = "fused", encoder: index.Encoder | None = None, **how: object) -> DataFrame:
-        """Hybrid ranking without vectors or an encoder falls back to fused; the result says nothing else than a fused one."""
+        """The ranked list, with the ranking that was used in a column of this name: hybrid without vectors or an encoder is fused."""
         if ranking == "hybrid" and not (encoder is not None and self._has_vectors()):
             ranking = "fused"
-        return search.search(self.index(vectors=ranking == "hybrid"), query, ranking=ranking, encoder=encoder, **how)
+        found = search.search(self.index(vectors=ranking == "hybrid"), query, ranking=ranking, encoder=encoder, **how)
+        return found.withColumn("ranking", F.lit(ranking))
 
     def timeline(self, **how: object) -> DataFrame:
         return search.timeline(self.docs(), **how)
@@ -118,7 +176,7 @@ class Engine:
 
     def candidates(self, pending: bool = False, **how: object) -> DataFrame:
         found = distill.select(self.docs(), **how)
-        return distill.pending(found, self.reviews()).orderBy(F.desc("score"), "doc_id") if pending else found
+        return (distill.pending(found, self.reviews()) if pending else found).orderBy(F.desc("score"), "doc_id")
 
     def add_claims(self, batch: DataFrame, today: date | None = None) -> None:
         """All claims of the batch and a review of each source, or nothing."""
@@ -132,14 +190,16 @@ class Engine:
             "doc_id", F.lit("").alias("source_fingerprint"), F.lit("claims_extracted").alias("reason"), F.lit(today or date.today()).alias("reviewed_on"), F.lit("").alias("note"), F.lit(1).cast("bigint").alias("seq")
         )
         reviews = tables.cut_lineage(distill.add_reviews(self.reviews(), marks, everything, claims))
-        self._publish("claims", lambda p: claims.select(*schema.columns(schema.CLAIM)).orderBy("topic", "key", "source_doc_id").write.parquet(f"{p}/t"))
-        self._publish("reviews", lambda p: reviews.select(*schema.columns(schema.REVIEW)).orderBy("doc_id").write.parquet(f"{p}/t"))
+        self._publish({
+            "claims": self._table(claims.select(*schema.columns(schema.CLAIM)).orderBy("topic", "key", "source_doc_id")),
+            "reviews": self._table(reviews.select(*schema.columns(schema.REVIEW)).orderBy("doc_id")),
+        })
 
     def add_reviews(self, batch: DataFrame) -> None:
         everything = distill.select(self.docs(), min_user_chars=0, min_prose=0.0)
         batch = batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())
         reviews = tables.cut_lineage(distill.add_reviews(self.reviews(), batch, everything, self.claims()))
-        self._publish("reviews", lambda p: reviews.select(*schema.columns(schema.REVIEW)).orderBy("doc_id").write.parquet(f"{p}/t"))
+        self._publish({"reviews": self._table(reviews.select(*schema.columns(schema.REVIEW)).orderBy("doc_id"))})
 
     def progress(self) -> DataFrame:
         return distill.progress(distill.select(self.docs()), self.claims(), self.reviews())

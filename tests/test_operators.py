@@ -228,7 +228,9 @@ def test_engine(spark, tmp_path, claims_of):
         e.docs()
     assert e.ingest("claude-code", f"file://{logs}", dry_run=True)["added"] == 2
     assert e.ingest("claude-code", f"file://{logs}")["nda"] == 1
-    assert e.ingest("claude-code", f"file://{logs}")["replaced"] == 2 and e.docs().count() == 2
+    again = e.ingest("claude-code", f"file://{logs}")
+    assert (again["changed"], again["seen"], again["files"]) == (0, 0, 2) and e.docs().count() == 2  # nothing has changed
+    assert e.ingest("claude-code", f"file://{logs}", full=True)["replaced"] == 2 and e.docs().count() == 2
     e.reindex()
     assert e.search("postgres datenbank").count() == 1 and e.search("kafka").count() == 0 and e.search("kafka", include_nda=True, ranking="hybrid").count() == 1
     assert e.stats().first().docs == 2 and e.timeline().count() == 1
@@ -240,6 +242,98 @@ def test_engine(spark, tmp_path, claims_of):
     assert e.progress().first().asDict() == {"candidates": 1, "extracted": 1, "reviewed": 1, "open": 0, "topics": 1}
 
 
+def test_index_follows_documents(spark, tmp_path):
+    """What is ingested or reclassified after the index was built shows, or is hidden, in the next search."""
+    from test_sources import put, said
+
+    from mnemoframe.functions.privacy import Policy
+
+    logs, data = tmp_path / "logs", f"file://{tmp_path}/data"
+    put(logs / "p" / "s1.jsonl", said("user", "wir nehmen postgres"))
+    e = Engine(spark, data)
+    e.ingest("claude-code", f"file://{logs}")
+    found = e.search("postgres")
+    assert [r.ranking for r in found.collect()] == ["fused"] and e.search("kafka").count() == 0
+    assert e.search("postgres", ranking="hybrid").first().ranking == "fused"  # without vectors
+    put(logs / "p" / "s2.jsonl", said("user", "danach kafka statt postgres", sessionId="s2"))
+    assert e.ingest("claude-code", f"file://{logs}")["changed"] == 1
+    assert e.search("kafka").count() == 1 and e.search("postgres").count() == 2
+    strict = Engine(spark, data, Policy(deny_terms=("kafka",)))
+    assert strict.ingest("claude-code", f"file://{logs}")["changed"] == 2  # another policy reads all files again
+    assert strict.search("kafka").count() == 0 and strict.search("kafka", include_nda=True).count() == 1
+
+    from mnemoframe.plans.registry import hashed_encoder
+
+    strict.reindex(hashed_encoder)
+    assert strict.search("postgres", ranking="hybrid", encoder=hashed_encoder).first().ranking == "hybrid"
+    put(logs / "p" / "s3.jsonl", said("user", "noch eins mit postgres", sessionId="s3"))
+    strict.ingest("claude-code", f"file://{logs}")
+    assert strict.search("postgres", ranking="hybrid", encoder=hashed_encoder).count() == 2  # vectors of unchanged documents are kept
+
+
+def test_incremental_ingest(spark, tmp_path):
+    from test_sources import put, said
+
+    logs, v = tmp_path / "lo gs", vault(tmp_path / "vault")
+    e = Engine(spark, f"file://{tmp_path}/data")
+    for i in range(3):
+        put(logs / "p[1]" / f"s{i}.jsonl", said("user", f"text {i}", sessionId=f"s{i}"))
+    assert e.ingest("claude-code", f"file://{logs}", limit=2)["changed"] == 2 and e.docs().count() == 2
+    assert e.ingest("claude-code", f"file://{logs}", limit=2)["changed"] == 1 and e.docs().count() == 3
+    put(logs / "p[1]" / "s0.jsonl", said("user", "text 0", sessionId="s0"), said("assistant", "answer", sessionId="s0", timestamp="2026-05-01T11:00:00.000Z"))
+    assert e.ingest("claude-code", f"file://{logs}", dry_run=True)["replaced"] == 1
+    assert e.ingest("claude-code", f"file://{logs}")["replaced"] == 1 and sorted(len(r.turns) for r in e.docs().collect()) == [1, 1, 2]
+    for path in v.rglob("*.md"):
+        path.write_text(path.read_text() + "\nsome text\n")
+    first = e.ingest("memory", f"file://{v}")
+    assert first["changed"] == first["files"] == first["added"] and e.ingest("memory", f"file://{v}")["changed"] == 0
+    before = {r.conv_id: r.doc_id for r in e.docs().where("source = 'memory'").collect()}
+    (v / "notes/projects.md").unlink()
+    shop = v / "notes/shop.md"
+    shop.write_text(shop.read_text() + "\n# Ganz anders\n")
+    e.ingest("memory", f"file://{v}")
+    after = {r.conv_id: r.doc_id for r in e.docs().where("source = 'memory'").collect()}
+    assert set(before) - set(after) == {"notes/projects.md"} and e.docs().where("source = 'memory'").count() == len(after)
+
+
+def test_remember_reads_the_note_in(spark, tmp_path):
+    v = vault(tmp_path / "vault")
+    e = Engine(spark, f"file://{tmp_path}/data")
+    e.remember(v, "Idee", "ein zebra im text", "projects")
+    assert e.search("zebra").count() == 1
+    with pytest.raises(notes.NoteError):
+        e.remember(v, "Kunde", "acme hat angerufen", "projects")
+    e.remember(v, "Kunde", "acme hat angerufen", "private/INDEX", private=True)
+    assert e.search("angerufen").count() == 0 and e.search("angerufen", include_nda=True).count() == 1
+
+
+def test_published_together_or_not(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/data")
+    one = spark.range(1)
+    e._publish({"claims": e._table(one), "reviews": e._table(one)})
+    whole = e._manifest()
+
+    def broken(path):
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        e._publish({"claims": e._table(one), "reviews": broken})
+    assert e._manifest() == whole
+
+
+def test_note_fields():
+    text = "---\na: 1\n# kept: as it is\nlist:\n  - x\nb: '2'\n---\nbody\n---\na: 3\n"
+    n = notes.Note.parse(text)
+    assert n.text() == text and n.get("a") == "1" and n.get("list") is None and n.get("none") is None
+    assert n.put(a="9", c="4").text() == text.replace("a: 1", "a: 9").replace("b: '2'\n", "b: '2'\nc: 4\n")
+    for bare in ("no front\n", "---\nnever closed\n", ""):
+        assert notes.Note.parse(bare).text() == bare
+        with pytest.raises(notes.NoteError):
+            notes.Note.parse(bare).put(a="1")
+    with pytest.raises(notes.NoteError):
+        notes.Note.parse("---\na: 1\na: 2\n---\n").get("a")
+
+
 def test_memory_routing(spark, tmp_path):
     from mnemoframe.operators import sync
 
