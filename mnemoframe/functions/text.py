@@ -9,7 +9,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Function words that the index leaves out, German then English.
@@ -118,6 +118,8 @@ def snippets(c: Column, terms: Sequence[str]) -> Column:
     return _each(c, "string", cut)
 
 
+#: Western European letters with accents, and without.
+LATIN = ("áàâãåéèêëíìîïóòôõúùûñçýÿÁÀÂÃÅÉÈÊËÍÌÎÏÓÒÔÕÚÙÛÑÇÝ", "aaaaaeeeeiiiioooouuuncyyAAAAAEEEEIIIIOOOOUUUNCY")
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss"))
 
 
@@ -138,7 +140,7 @@ def slugify_latin(c: Column, longest: int = 48) -> Column:
     """As ``slugify`` for the accents of Western European languages, without Python."""
     for a, b in UMLAUTS:
         c = F.replace(c, F.lit(a), F.lit(b))
-    plain = F.lower(F.translate(c, "áàâãåéèêëíìîïóòôõúùûñçýÿÁÀÂÃÅÉÈÊËÍÌÎÏÓÒÔÕÚÙÛÑÇÝ", "aaaaaeeeeiiiioooouuuncyyAAAAAEEEEIIIIOOOOUUUNCY"))
+    plain = F.lower(F.translate(c, *LATIN))
     ascii_only = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
     cut = F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(ascii_only, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, longest), "-+$", "")
     return F.when(cut == "", F.lit("untitled")).otherwise(cut)
@@ -222,31 +224,44 @@ CODE_LINE = (
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns (replacing those of their names) that are computed once a row: the optimizer would copy them to each place that names them, filters as well."""
+    made = F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)
+
+
 def machine_line(line: Column) -> Column:
     """Begins like a log, a dump or a shell, or is long, ends in no sentence and is full of symbols."""
     bare = strip(line)
     symbols = F.length(F.regexp_replace(bare, r"[\p{L}\p{N}\s]", ""))
-    noisy = (F.length(bare) > 200) & ~bare.rlike(r"[.!?:]\s*$") & (symbols / F.length(bare) > 0.12)
-    return (bare != "") & (line.rlike(rf"(?U)^\s*(?:{MACHINE_LINE})") | noisy)
+    noisy = (F.length(line) > 200) & (F.length(bare) > 200) & ~bare.rlike(r"[.!?:]\s*$") & (symbols / F.length(bare) > 0.12)
+    return line.rlike(r"(?U)\S") & (line.rlike(rf"(?U)^\s*(?:{MACHINE_LINE})") | noisy)
 
 
 def _full_lines(block: Column) -> Column:
-    return F.filter(F.split(block, LINE_END), lambda x: strip(x) != "")
+    return F.filter(F.split(block, LINE_END), lambda x: x.rlike(r"(?U)\S"))
+
+
+def _like_code(lines: Column) -> Column:
+    return (F.size(lines) >= 8) & (F.size(F.filter(lines, lambda x: x.rlike(CODE_LINE))) >= 0.25 * F.size(lines))
 
 
 def code_block(block: Column) -> Column:
     """At least eight lines, and a quarter of them look like source code."""
-    lines = _full_lines(block)
-    hits = F.size(F.filter(lines, lambda x: x.rlike(CODE_LINE)))
-    return (F.size(lines) >= 8) & (hits >= 0.25 * F.size(lines))
+    return let(_full_lines(block), _like_code)
 
 
 def prose_ratio(c: Column) -> Column:
     """Share of characters in lines that read like speech; blocks of code count nothing."""
-    blocks = F.filter(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), lambda b: strip(b) != "")
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
-    prose = F.aggregate(blocks, F.lit(0), lambda n, b: n + F.when(code_block(b), F.lit(0)).otherwise(size(F.filter(_full_lines(b), lambda x: ~machine_line(x)))))
-    return F.when(size(blocks) > 0, prose / size(blocks)).otherwise(F.lit(0.0))
+    own = lambda lines: F.when(_like_code(lines), F.lit(0)).otherwise(size(F.filter(lines, lambda x: ~machine_line(x))))
+    share = lambda blocks: F.when(size(blocks) > 0, F.aggregate(blocks, F.lit(0), lambda n, b: n + let(_full_lines(b), own)) / size(blocks)).otherwise(F.lit(0.0))
+    return let(F.filter(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), lambda b: b.rlike(r"(?U)\S")), share)
 
 
 # ---------------------------------------------------------------- HTML and Markdown

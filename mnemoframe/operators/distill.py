@@ -28,10 +28,11 @@ def dedup_turns(turns: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def distinct_turns(turns: Column) -> Column:
-    """The same inside a document's array of turns."""
-    same = lambda t: F.struct(t["role"].alias("role"), text.strip(t["text"]).alias("text"))
-    known = lambda acc, t: F.exists(acc, lambda a: same(a) == same(t))
-    return F.aggregate(turns, F.slice(turns, 1, 0), lambda acc, t: F.when(known(acc, t), acc).otherwise(F.concat(acc, F.array(t))))
+    """The same inside a document's array of turns: sorted by role and text, the first of each stays, and they are put in order again."""
+    keyed = F.array_sort(F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), text.strip(t["text"]).alias("key"), i.alias("i"), t.alias("t"))))
+    same = lambda a, b: a["role"].eqNullSafe(b["role"]) & a["key"].eqNullSafe(b["key"])
+    first = text.let(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | ~same(x, F.get(s, i - 1))))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
 
 
 def user_turns(turns: Column) -> Column:
@@ -64,16 +65,16 @@ def distillable() -> Column:
 
 
 def select(docs: DataFrame, limit: int | None = None, min_user_chars: int = MIN_USER_CHARS, min_prose: float = MIN_PROSE, project: str | None = None, today: date | None = None) -> DataFrame:
-    """Candidates by density: user characters times prose share times recency. A limit of 0 or None means all."""
+    """Candidates with their density: user characters times prose share times recency. The densest ``limit`` in order; 0 or None means all, in no order."""
     rows = docs.where(distillable())
     if project:
         rows = rows.where(text.contains_folded(F.col("project"), project))
-    rows = rows.withColumn("turns", distinct_turns(F.col("turns"))).withColumn("user_chars", user_chars(F.col("turns"))).where(F.col("user_chars") >= min_user_chars)
-    rows = rows.withColumn("prose", text.prose_ratio(user_text(F.col("turns")))).where(F.col("prose") >= min_prose)
+    rows = text.once(rows, turns=distinct_turns(F.col("turns")))
+    rows = rows.withColumn("user_chars", user_chars(F.col("turns"))).where(F.col("user_chars") >= min_user_chars)
+    rows = text.once(rows, prose=text.prose_ratio(user_text(F.col("turns")))).where(F.col("prose") >= min_prose)
     score = F.col("user_chars") * F.col("prose") * text.recency(F.col("started_day"), F.lit(today or date.today()), text.DISTILL_HALF_LIFE)
     out = rows.select("doc_id", "project", "source", F.col("started_day").alias("started_at"), "user_chars", "prose", score.alias("score"), text.source_fingerprint(F.col("turns")).alias("source_fingerprint"), "sensitivity")
-    out = out.orderBy(F.desc("score"), "doc_id")
-    return out.limit(limit) if limit else out
+    return out.orderBy(F.desc("score"), "doc_id").limit(limit) if limit else out
 
 
 # ---------------------------------------------------------------- reviews

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text
+from mnemoframe.operators.tables import new_path
 
 #: Of the shares that make up a document's BM25 weight.
 K1, B = 1.2, 0.75
@@ -46,6 +47,12 @@ def doc_lengths(docs: DataFrame, doc_id: str = "doc_id", title: Column | None =
     return docs.select(F.col(doc_id).alias("doc_id"), F.size(text.doc_tokens(title, body)).cast("bigint").alias("dl"))
 
 
+def lengths_of(docs: DataFrame, post: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``doc_lengths`` from written postings, so that texts aren't cut into words again."""
+    sums = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    return docs.select(F.col(doc_id).alias("doc_id")).join(sums, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("bigint")).alias("dl"))
+
+
 def term_df(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -59,7 +66,8 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 def bm25(post: DataFrame, lengths: DataFrame, terms: DataFrame, by: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
     """(by.., doc_id, score): BM25 of each query's distinct terms over the whole corpus.
 
-    terms: (by.., term). Statistics are those of all documents: filter what comes out, never what goes in.
+    terms: (by.., term). Statistics are those of all documents: filter what comes out, never what goes in. ``post`` and
+    ``lengths`` are read several times, so they should be written tables.
     """
     keys = [*by]
     wanted = terms.select(*keys, "term").distinct()
@@ -91,6 +99,12 @@ def encode(chunks: DataFrame, encoder: Encoder, batch: int = 256) -> DataFrame:
     return chunks.mapInPandas(run, "doc_id string, content_key string, chunk_no int, chunk string, embedding array<float>")
 
 
+def unchanged_vectors(old: DataFrame, docs: DataFrame) -> DataFrame:
+    """Vectors of documents whose title and turns are as they were."""
+    now = docs.select("doc_id", text.content_key(F.col("title"), search_text(F.col("turns"))).alias("content_key"))
+    return old.join(now, ["doc_id", "content_key"], "left_semi")
+
+
 def update_vectors(old: DataFrame | None, docs: DataFrame, encoder: Encoder) -> DataFrame:
     """Vectors for ``docs``: rows whose document has the same content key are taken from ``old``, only the others are encoded."""
     now = chunk_rows(docs)
@@ -113,6 +127,50 @@ def dense_scores(vectors: DataFrame, query: Sequence[float], owner: str = "doc_i
     return vectors.groupBy(F.col(owner)).agg(F.max(dot(F.col(vector), q)).alias("score"))
 
 
+#: Query vectors that are sent to all tasks at once (8 kB each at 1,024 dimensions), and scores that a task computes at once.
+QUERIES, CELLS = 512, 2_000_000
+
+
+def dense_lists(vectors: DataFrame, queries: DataFrame, k: int | None = None, owner: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """(query, owner, score, rank): for each query (query, embedding) the owners' best dot products, the k largest or all; ties by owner.
+
+    Queries go through the vectors in blocks of bounded size. A task keeps the best of each owner, and of those its k first, so what is
+    shuffled follows queries and k (or the number of owners), not the product of both tables. Scores have six decimals.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *vectors.schema)}
+    shape = f"query {kinds['query']}, owner {kinds[owner]}, score double"
+    spark, path = vectors.sparkSession, new_path(vectors.sparkSession)
+    rest, rows = queries, queries.orderBy("query").limit(QUERIES).toPandas()
+    while len(rows):
+        names, matrix = rows["query"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+
+        def best(it: Iterator[pd.DataFrame], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
+            held, floor = None, np.full(len(names), -np.inf)
+            for b in it:
+                for i in range(0, len(b), max(1, CELLS // len(names))):
+                    part = b.iloc[i : i + max(1, CELLS // len(names))]
+                    score = np.round(np.stack(part["v"].to_numpy()).astype(np.float64) @ matrix.T, 6)
+                    row, q = np.nonzero(score >= floor)  # what k owners have surpassed already can't be among the first
+                    new = pd.DataFrame({"q": q, "owner": part["o"].to_numpy()[row], "score": score[row, q]})
+                    held = (new if held is None else pd.concat([held, new])).groupby(["q", "owner"], as_index=False)["score"].max()
+                    if k is not None:
+                        held = held.sort_values(["q", "score", "owner"], ascending=[True, False, True]).groupby("q").head(k)
+                        full = held.groupby("q")["score"].agg(["size", "min"])
+                        full = full[full["size"] >= k]
+                        floor[full.index] = full["min"]
+            if held is not None:
+                yield pd.DataFrame({"query": names[held["q"]], "owner": held["owner"], "score": held["score"]})
+
+        vectors.select(F.col(owner).alias("o"), F.col(vector).alias("v")).mapInPandas(best, shape).write.mode("append").parquet(path)
+        rest = rest.where(F.col("query") > F.lit(names[-1].item() if hasattr(names[-1], "item") else names[-1]))
+        rows = rest.orderBy("query").limit(QUERIES).toPandas()
+    if rest is queries:
+        return spark.createDataFrame([], f"{shape}, rank int")
+    whole = spark.read.schema(shape).parquet(path).groupBy("query", "owner").agg(F.max("score").alias("score"))
+    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "owner")))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
 @dataclass(frozen=True)
 class Index:
     """The persisted tables of one corpus."""
@@ -130,10 +188,11 @@ def build(docs: DataFrame) -> Index:
 
 
 def write(index: Index, path: str) -> None:
-    """Tables under a new version folder; postings are laid out by term, so that a query's terms prune row groups."""
+    """Tables under a new version folder; postings are laid out by term, so that a query's terms prune row groups. Lengths come from the written postings."""
     index.docs.write.partitionBy("source").parquet(f"{path}/docs")
     index.postings.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    index.lengths.write.parquet(f"{path}/lengths")
+    spark = index.docs.sparkSession
+    lengths_of(index.docs, spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/lengths")
     if index.vectors is not None:
         index.vectors.write.parquet(f"{path}/vectors")
 

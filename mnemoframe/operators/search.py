@@ -115,29 +115,31 @@ def search(
     if not q.terms or limit <= 0:
         return spark.createDataFrame([], shape)
     pattern, n = text.alternation(q.terms), len(q.terms)
-    day = F.lit(today or date.today())
-    seen = privacy.visible(index.docs, include_nda, source, project, since)
-    seen = seen.withColumn("_folded", whole(F.col("title"), F.col("turns")))
-    hits = seen.withColumns({"matched_terms": matched(F.col("_folded"), q.terms), "score": weighted_hits(F.col("title"), F.col("turns"), pattern) * text.recency(F.col("started_day"), day)})
-    hits = hits.where("matched_terms > 0 and score > 0").select("doc_id", "score", "matched_terms")
-    full = hits.where(F.col("matched_terms") == n)
-    partial = hits if n > 1 else hits.where(F.lit(False))
+    shown = privacy.visible(index.docs, include_nda, source, project, since)
+    # What the query asks of a text is read from it once, into a table of ids and numbers from which all lists are made.
+    seen = text.once(shown.select("doc_id", "title", "turns", "started_day"), folded=whole(F.col("title"), F.col("turns")))
+    hits = weighted_hits(F.col("title"), F.col("turns"), pattern) * text.recency(F.col("started_day"), F.lit(today or date.today()))
+    seen = text.once(seen, matched_terms=matched(F.col("folded"), q.terms)).select("doc_id", "matched_terms", has_all(F.col("folded"), q.required).alias("required"), F.when(F.col("matched_terms") > 0, hits).otherwise(F.lit(0.0)).alias("score"))
+    seen = cut_lineage(seen)
+    found = seen.where("matched_terms > 0 and score > 0").select("doc_id", "score", "matched_terms")
+    full = found.where(F.col("matched_terms") == n)
+    partial = found if n > 1 else found.where(F.lit(False))
 
     if ranking == "substring":
         any_full = full.limit(1).agg((F.count("*") > 0).alias("some"))
-        either = hits.crossJoin(F.broadcast(any_full)).where((F.col("some") & (F.col("matched_terms") == n)) | (~F.col("some") & F.lit(n > 1)))
-        found = top(either, limit, F.desc("matched_terms"), F.desc("score"))
-        return _present(found, index.docs, q, pattern, n).orderBy(F.desc("matched_terms"), F.desc("score"), "doc_id")
+        either = found.crossJoin(F.broadcast(any_full)).where((F.col("some") & (F.col("matched_terms") == n)) | (~F.col("some") & F.lit(n > 1)))
+        best = top(either, limit, F.desc("matched_terms"), F.desc("score"))
+        return _present(best, index.docs, q, pattern, n).orderBy(F.desc("matched_terms"), F.desc("score"), "doc_id")
 
     terms = spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(text.tokenize(F.col("q")))).alias("term"))
-    lexical = ix.bm25(index.postings, index.lengths, F.broadcast(terms)).join(seen.select("doc_id", "_folded"), "doc_id")
-    lexical = top(lexical.where(has_all(F.col("_folded"), q.required)).select("doc_id", "score"), DEPTH, F.desc("score"))
-    lists = _by_count(full.select("doc_id", "score")).select("doc_id", "rank").withColumn("list", F.lit("full")).unionByName(ranked(lexical, F.desc("score")).select("doc_id", "rank").withColumn("list", F.lit("lexical")))
-    # Where neither list has anything (function words, short terms), the partial matches stand in.
-    none = lists.limit(1).agg((F.count("*") == 0).alias("none"))
-    fallback = top(partial.crossJoin(F.broadcast(none)).where("none").drop("none"), max(limit, DEPTH), F.desc("matched_terms"), F.desc("score"))
-    fused = rrf([(lists, 1.0), (ranked(fallback, F.desc("matched_terms"), F.desc("score")), 1.0)])
-    fused = fused.join(seen.select("doc_id", matched(F.col("_folded"), q.terms).alias("matched_terms")), "doc_id")
+    allowed = seen.where("required").select("doc_id", "matched_terms")
+    lexical = top(ix.bm25(index.postings, index.lengths, F.broadcast(terms)).join(allowed, "doc_id"), DEPTH, F.desc("score"))
+    lexical = ranked(lexical, F.desc("score")).select("doc_id", "rank", "matched_terms")
+    lists = cut_lineage(_by_count(full).select("doc_id", "rank", "matched_terms").unionByName(lexical))
+    if not lists.take(1):  # function words, short terms: the partial matches stand in
+        lists = ranked(top(partial, max(limit, DEPTH), F.desc("matched_terms"), F.desc("score")), F.desc("matched_terms"), F.desc("score"))
+    of = lambda rows: rows.select("doc_id", "matched_terms").distinct()
+    fused = rrf([(lists, 1.0)]).join(of(lists), "doc_id")
     order = [F.desc(F.col("matched_terms") == n), F.desc("score")]
     if ranking == "fused" or index.vectors is None:
         return _present(top(fused, limit, *order), index.docs, q, pattern, n).orderBy(*order, "doc_id")
@@ -145,11 +147,10 @@ def search(
     if encoder is None:
         raise VectorsUnavailable("hybrid ranking needs an encoder for the query")
     vector = [float(x) for x in encoder([query], True)[0]]
-    dense = ix.dense_scores(index.vectors, vector).join(seen.select("doc_id", "_folded"), "doc_id")
-    dense = top(dense.where(has_all(F.col("_folded"), q.required)).select("doc_id", "score"), DEPTH, F.desc("score"))
-    first = ranked(top(fused, DEPTH, *order), *order)
-    both = rrf([(first.select("doc_id", "rank"), 1.0), (ranked(dense, F.desc("score")).select("doc_id", "rank"), DENSE_WEIGHT)])
-    both = both.join(seen.select("doc_id", matched(F.col("_folded"), q.terms).alias("matched_terms")), "doc_id")
+    dense = top(ix.dense_scores(index.vectors, vector).join(allowed, "doc_id"), DEPTH, F.desc("score"))
+    dense = ranked(dense, F.desc("score")).select("doc_id", "rank", "matched_terms")
+    first = ranked(top(fused, DEPTH, *order), *order).select("doc_id", "rank", "matched_terms")
+    both = rrf([(first, 1.0), (dense, DENSE_WEIGHT)]).join(of(first.unionByName(dense)), "doc_id")
     return _present(top(both, limit, F.desc("score")), index.docs, q, pattern, n).orderBy(F.desc("score"), "doc_id")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from mnemoframe.functions.text import STOPWORDS
+from mnemoframe.functions.text import CODE_LINE, LATIN, MACHINE_LINE, STOPWORDS, UMLAUTS
+from mnemoframe.operators import recall
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -18,7 +19,8 @@ _WEIGHT = "ln(1.0::double + (n - df + 0.5::double) / (df + 0.5::double)) * (tf *
 _BM25 = f"""{_POST}, {_LEN}, {_STATS}, dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 wanted AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_tokens('text')}) AS term FROM benchmark)),
 scored AS (SELECT item_id, doc_id, round(sum({_WEIGHT}), 6) AS score FROM wanted JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), stats GROUP BY 1, 2)"""
-_TERMS = f"""q AS (SELECT list_distinct(list_transform(t, lambda x: x)) AS any_order, t FROM (SELECT {_tokens('text')} AS t FROM benchmark ORDER BY item_id LIMIT 1)),
+_FIRST_TEXT = "(SELECT text FROM documents WHERE length(text) >= 400 ORDER BY doc_id LIMIT 1)"
+_TERMS = f"""q AS (SELECT {_tokens(_FIRST_TEXT)} AS t),
 nth AS (SELECT w, min(i) AS i FROM (SELECT unnest(t) AS w, generate_subscripts(t, 1) AS i FROM q) GROUP BY w ORDER BY i LIMIT 3)"""
 _MATCH = "m AS (SELECT doc_id, text, count(*) FILTER (WHERE contains(lower(text), w)) AS matched_terms, count(*) AS n FROM documents, nth GROUP BY doc_id, text)"
 _EMAIL = r"len(list_filter(regexp_extract_all(text, '(?i)[A-Z0-9._%+~-]+@([A-Z0-9.-]+\.[A-Z]{2,})', 1), lambda d: NOT regexp_matches(d, '^[0-9]x\.'))) > 0"
@@ -36,10 +38,58 @@ _LABELLED = """docs AS (SELECT d.doc_id::varchar AS doc_id, source, lang, CASE W
 _TALK = "talk AS (SELECT conv_id::varchar AS doc_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant'))"
 _FIRST = "fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') ORDER BY turn) AS n FROM talk) WHERE n = 1)"
 _EVENTS = "ev AS (SELECT event_id::varchar AS doc_id, event_type AS source, 'user-' || user_id AS project, CAST(ts AS date) AS started_day, CASE WHEN event_type = 'error' THEN 'nda' ELSE 'clean' END AS sensitivity FROM events)"
-_DOT = "list_dot_product(list_transform(embedding, lambda x: x::double), list_transform((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1), lambda x: x::double))"
+_DENSE = """WITH scored AS (SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(list_transform(e.embedding, lambda x: x::double), list_transform(q.embedding, lambda x: x::double)), 6) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 <= 1), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM scored)"""
 _EDGES = """edges AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
 top AS (SELECT e.child, CASE WHEN e.parent[1] = 'r' THEN e.parent ELSE p.parent END AS root FROM edges e LEFT JOIN edges p ON e.parent = p.child)"""
 
+#: What Java's Unicode classes mean, spelled out.
+_WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_MACHINE = MACHINE_LINE.replace(r"\s", f"[{_WS}]").replace(r"\d", r"\p{Nd}").replace(r"\w", r"\p{L}\p{M}\p{N}_").replace("'", "''")
+_CODE = CODE_LINE.replace(r"#(?!\s)", r"#([^\s]|$)").replace("'", "''")
+_BARE = f"regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+_IS_MACHINE = (
+    rf"(regexp_matches(x, '^[{_WS}]*(?:{_MACHINE})') OR length({_BARE}) > 200 AND NOT regexp_matches({_BARE}, '[.!?:]\s*$')"
+    rf" AND length(regexp_replace({_BARE}, '[\p{{L}}\p{{N}}\s]', '', 'g'))::double / length({_BARE}) > 0.12)"
+)
+_PROSE = rf"""parts AS (SELECT doc_id, text, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda b: regexp_matches(b, '[^{_WS}]'))) AS b FROM documents),
+cut AS (SELECT doc_id, length(b) AS n, list_filter(regexp_split_to_array(b, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[^{_WS}]')) AS ls FROM parts),
+good AS (SELECT doc_id, sum(n) AS n, sum(CASE WHEN len(ls) >= 8 AND len(list_filter(ls, lambda x: regexp_matches(x, '{_CODE}'))) >= 0.25 * len(ls) THEN 0
+  ELSE coalesce(list_sum(list_transform(list_filter(ls, lambda x: NOT {_IS_MACHINE}), lambda x: length(x))), 0) END) AS g FROM cut GROUP BY doc_id),
+prose AS (SELECT d.doc_id, text, coalesce(g::double / n, 0.0) AS prose FROM documents d LEFT JOIN good ON d.doc_id = good.doc_id)"""
+
+
+def _slug(c: str, longest: int = 48) -> str:
+    for a, b in UMLAUTS:
+        c = f"replace({c}, '{a}', '{b}')"
+    plain = f"regexp_replace(lower(translate({c}, '{LATIN[0]}', '{LATIN[1]}')), '[^\\x00-\\x7F]', '', 'g')"
+    cut = f"rtrim(substr(trim(regexp_replace({plain}, '[^a-z0-9]+', '-', 'g'), '-'), 1, {longest}), '-')"
+    return f"coalesce(nullif({cut}, ''), 'untitled')"
+
+
+_CUES = recall.CUES.replace("'", "''")
+_RECALL = rf"""names AS (SELECT DISTINCT lower(n_name) AS name FROM nation),
+said AS (SELECT conv_id, turn, trim(regexp_replace(text, '{recall.SYSTEM}', '', 'g'), ' ') AS own FROM conversations WHERE role = 'user'),
+hit AS (SELECT conv_id, turn, own, arg_min(name, length(name) * -1000000 + pos) AS name FROM (SELECT *, row_number() OVER (ORDER BY name) AS pos FROM names), said
+  WHERE regexp_matches(lower(own), '(^|[^\w-])' || regexp_escape(name) || '($|[^\w-])') GROUP BY ALL),
+judged AS (SELECT s.*, CASE WHEN {" OR ".join(f"starts_with(s.own, '{a}')" for a in recall.AUTOMATION)} THEN 'automation' WHEN length(s.own) < {recall.MIN_CHARS} THEN 'too short'
+    WHEN length(s.own) < {recall.SHORT_REPLY_CHARS} AND regexp_matches(s.own, '{recall.SHORT_REPLY}') THEN 'short reply' END AS silent,
+  CASE WHEN regexp_matches(s.own, '{_CUES}') THEN 'recall cue' WHEN h.name IS NOT NULL THEN 'mentions ' || h.name END AS loud
+  FROM said s LEFT JOIN hit h ON s.conv_id = h.conv_id AND s.turn = h.turn AND s.own = h.own)"""
+_BULLET = "'- **' || strftime(stated_on, '%Y-%m-%d') || '**: ' || trim(text)"
+_NOTES = f"""claims AS (SELECT 'customer ' || o_custkey AS topic, o_orderpriority AS key, CASE WHEN o_orderstatus = 'O' THEN 'offen' ELSE 'fakt' END AS kind, o_orderstatus AS text, CAST(o_orderdate AS date) AS stated_on,
+  lpad(o_orderkey::varchar, 12, '0') AS source_doc_id FROM orders),
+refs AS (SELECT topic, source_doc_id, n, 'Q' || n AS ref FROM (SELECT topic, source_doc_id, row_number() OVER (PARTITION BY topic ORDER BY source_doc_id) AS n FROM (SELECT DISTINCT topic, source_doc_id FROM claims))),
+w AS (SELECT *, row_number() OVER k AS n, first_value(text) OVER k AS new_text, first_value(stated_on) OVER k AS new_on, first_value(source_doc_id) OVER k AS new_id FROM claims
+  WINDOW k AS (PARTITION BY topic, key ORDER BY stated_on DESC, source_doc_id DESC, text DESC)),
+now AS (SELECT w.topic, kind, stated_on, w.source_doc_id, {_BULLET} || ' *(indirekt belegt)* [' || ref || ']' AS line FROM w JOIN refs ON w.topic = refs.topic AND w.source_doc_id = refs.source_doc_id WHERE w.n = 1),
+sec AS (SELECT topic, kind, string_agg(line, chr(10) ORDER BY stated_on DESC, source_doc_id DESC, line DESC) AS lines FROM now GROUP BY topic, kind),
+gone AS (SELECT w.topic, stated_on, w.source_doc_id, {_BULLET} || ' [' || a.ref || ']' || chr(10) || '  ersetzt am ' || strftime(new_on, '%Y-%m-%d') || ' durch: ' || trim(new_text) || ' [' || b.ref || ']' || chr(10) AS line
+  FROM w JOIN refs a ON w.topic = a.topic AND w.source_doc_id = a.source_doc_id JOIN refs b ON w.topic = b.topic AND w.new_id = b.source_doc_id WHERE w.n > 1 AND trim(text) <> trim(new_text)),
+old AS (SELECT topic, string_agg(line, '' ORDER BY stated_on DESC, source_doc_id DESC, line DESC) AS lines FROM gone GROUP BY topic),
+src AS (SELECT topic, string_agg('- **' || ref || '** `corpus/' || source_doc_id || '`' || chr(10), '' ORDER BY n) AS lines FROM refs GROUP BY topic)"""
+_SECTION = "coalesce(chr(10) || '## {head}' || chr(10) || chr(10) || {of}.lines || {end}, '')"
+
 ORACLE: dict[str, str] = {
     "tokenize_tf": f"WITH {_POST} SELECT term, doc_id, tf FROM post",
     "doc_lengths": f"WITH {_LEN} SELECT doc_id, dl::bigint AS dl FROM lens",
@@ -54,7 +104,7 @@ ORACLE: dict[str, str] = {
         round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END)::double, 6) AS hit10, round(avg(coalesce(1.0::double / rank, 0.0)), 6) AS mrr FROM benchmark LEFT JOIN hit USING (item_id)""",
     "all_terms_match": f"WITH {_TERMS}, {_MATCH} SELECT doc_id FROM m WHERE matched_terms = n",
     "any_terms_partial": f"WITH {_TERMS}, {_MATCH} SELECT doc_id, matched_terms::int AS matched_terms FROM m WHERE matched_terms > 0",
-    "phrase_required": "SELECT doc_id FROM documents WHERE contains(lower(text), (SELECT lower(text) FROM benchmark ORDER BY item_id LIMIT 1))",
+    "phrase_required": rf"SELECT doc_id FROM documents WHERE contains(lower(text), (SELECT lower(regexp_extract(text, '(?s)(?:\S+\s){{3}}(.{{40}})', 1)) FROM {_FIRST_TEXT}))",
     "role_weighted_score": f"WITH {_TALK} SELECT doc_id, sum((CASE WHEN role = 'user' THEN 2.0 ELSE 1.0 END) * len(regexp_extract_all(text, '(?i)tion|the')))::double AS score FROM talk GROUP BY doc_id",
     "recency_score": "SELECT event_type AS source, round(sum(pow(0.5::double, greatest(date_diff('day', CAST(ts AS date), DATE '2024-02-15'), 0) / 120.0::double)), 4) AS recency FROM events GROUP BY 1",
     "search_substring": f"""WITH {_TERMS}, {_MATCH}, hits AS (SELECT doc_id, matched_terms, n, 2.0 * len(regexp_extract_all(lower(text), (SELECT string_agg(w, '|' ORDER BY length(w) DESC, i) FROM nth))) * 0.5 AS score FROM m),
@@ -69,11 +119,9 @@ ORACLE: dict[str, str] = {
         rrf AS (SELECT doc_id, sum(1.0::double / (60 + rank)) AS score FROM (SELECT * FROM full_list UNION ALL SELECT * FROM lex_list) GROUP BY 1)
         SELECT r.doc_id::varchar AS doc_id, round(r.score, 6) AS score, m.matched_terms::int AS matched_terms, m.n::int AS total_terms FROM rrf r JOIN m USING (doc_id)
         ORDER BY (m.matched_terms = m.n) DESC, r.score DESC, r.doc_id::varchar LIMIT 20""",
-    "dense_topk": f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10",
-    "dense_best_per_owner": f"SELECT label, round(max({_DOT}), 6) AS score FROM embeddings GROUP BY label",
-    "rrf_hybrid": f"""WITH a AS (SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings), b AS (SELECT vec_id, round({_DOT.replace('LIMIT 1', 'LIMIT 1 OFFSET 1')}, 6) AS score FROM embeddings),
-        ra AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM a), rb AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM b)
-        SELECT vec_id, round(sum(part), 9) AS score FROM (SELECT vec_id, 1.0::double / (60 + r) AS part FROM ra WHERE r <= 100 UNION ALL SELECT vec_id, 0.5::double / (60 + r) FROM rb WHERE r <= 100) GROUP BY 1""",
+    "dense_topk": f"{_DENSE} SELECT query, vec_id, score, rank::int AS rank FROM ranked WHERE rank <= 10 AND query % 50 = 0",
+    "dense_best_per_owner": f"{_DENSE} SELECT query, label, max(score) AS score FROM ranked JOIN embeddings USING (vec_id) WHERE query % 50 = 0 GROUP BY query, label",
+    "rrf_hybrid": f"{_DENSE} SELECT query - query % 50 AS query, vec_id, round(sum((CASE WHEN query % 50 = 0 THEN 1.0::double ELSE 0.5::double END) / (60 + rank)), 9) AS score FROM ranked WHERE rank <= 100 GROUP BY 1, 2",
     "chunk_windows": r"""WITH b AS (SELECT doc_id, source, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents),
         c AS (SELECT doc_id, source, i, substr(body, (i * 1500 + 1)::bigint, 1500) AS piece FROM (SELECT *, unnest(range(greatest((length(body) + 1499) // 1500, 1))) AS i FROM b)),
         k AS (SELECT * FROM c WHERE length(piece) > 40),
@@ -104,7 +152,7 @@ ORACLE: dict[str, str] = {
     "doc_signature": "SELECT doc_id, 'memory|' || lang || '--' || source || '|' || substr(sha1(doc_id::varchar), 1, 8) AS signature FROM documents",
     "strip_noise": "SELECT conv_id, turn, md5('/run' || text) AS clean_md5 FROM conversations",
     "machine_authored": "SELECT role, role <> 'user' AS machine, count(*) AS turns FROM conversations GROUP BY 1, 2",
-    "wikilink_extract": "SELECT n_nationkey, unnest([0, 1])::bigint AS pos, unnest([n_name, 'region/' || n_regionkey]) AS target, '2' AS bad_lines FROM nation",
+    "wikilink_extract": "SELECT s_suppkey, unnest([0, 1])::bigint AS pos, unnest([replace(s_name, '#', '-'), 'nation/' || s_nationkey]) AS target, '2' AS bad_lines FROM supplier",
     "grade_answers": "SELECT doc_id, NOT contains(lower(text), '###') AND (contains(lower(text), 'the') OR contains(lower(text), 'und') OR contains(lower(text), 'les') OR contains(lower(text), 'los')) AND (contains(lower(text), 'tion') OR contains(lower(text), 'ung') OR contains(lower(text), 'eau') OR contains(lower(text), 'ci')) AS correct FROM documents",
     "latest_wins": f"WITH {_CLAIMS} SELECT topic, key, text, stated_on, source_doc_id FROM won WHERE n = 1",
     "superseded_pairs": f"WITH {_CLAIMS} SELECT topic, key, source_doc_id, text, new_source_doc_id, new_text FROM won WHERE n > 1 AND trim(text) <> trim(new_text)",
@@ -137,4 +185,17 @@ ORACLE: dict[str, str] = {
     "memory_routing": rf"""SELECT d.doc_id::varchar AS path, CASE WHEN {_SECRET} THEN 'refused' WHEN l.doc_id IS NOT NULL OR lang = 'fr' OR {_EMAIL} OR regexp_matches(text, '(?i)acme|globex|docparse|interviewkit|storybot|ini\.tech|ini-tech|ini tech|umbrella energie|umbrella-energie|hooli mag|hooli-mag|teamco website|teamco-website') THEN 'private' ELSE 'clean' END AS layer
         FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id""",
     "private_unindexed": "SELECT d.doc_id::varchar AS path FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR l.quality <> 1",
+    "slugs": f"SELECT doc_id, {_slug('text')} AS slug FROM documents",
+    "doc_paths": f"SELECT doc_id, 'codex/0000/0000-00-00--codex--' || {_slug('text')} || '--' || substr(sha1(doc_id::varchar), 1, 8) || '.md' AS path FROM documents",
+    "fingerprint": f"""WITH {_TALK}, {_FIRST}, said AS (SELECT doc_id, string_agg('{{"machine_summary":false,"text":' || to_json(text)::varchar || '}}', ',' ORDER BY turn) AS rows FROM fst WHERE role = 'user' GROUP BY doc_id)
+        SELECT t.doc_id, substr(sha256('[' || coalesce(rows, '') || ']'), 1, 16) AS fingerprint FROM (SELECT DISTINCT doc_id FROM talk) t LEFT JOIN said ON t.doc_id = said.doc_id""",
+    "prose_ratio_lines": f"WITH {_PROSE} SELECT doc_id, round(prose, 6) AS prose FROM prose",
+    "select_candidates": rf"""WITH {_PROSE} SELECT doc_id::varchar AS doc_id, length(text) AS user_chars, round(prose, 6) AS prose, round(length(text) * prose * 0.5::double, 4) AS score FROM prose
+        WHERE length(text) >= 2000 AND prose >= 0.45 AND NOT regexp_matches(text, '(?i)^\s*<(scheduled|automated)-task(\s|>)')""",
+    "recall_decisions": f"WITH {_RECALL} SELECT conv_id, turn, silent IS NULL AND loud IS NOT NULL AS fire, coalesce(silent, loud, 'no cue') AS reason FROM judged",
+    "note_bodies": f"""WITH {_NOTES} SELECT src.topic, {_SECTION.format(head='Fakten', of='f', end='chr(10)')} || {_SECTION.format(head='Offen', of='o', end='chr(10)')} || {_SECTION.format(head='Ueberholt', of='old', end="''")}
+        || {_SECTION.format(head='Quellen', of='src', end="''")} AS body FROM src LEFT JOIN sec f ON f.topic = src.topic AND f.kind = 'fakt' LEFT JOIN sec o ON o.topic = src.topic AND o.kind = 'offen' LEFT JOIN old ON old.topic = src.topic""",
+    "emission_errors": f"""WITH c AS (SELECT doc_id, lang AS topic, substr(doc_id::varchar, 1, 1) AS e FROM documents), n AS (SELECT DISTINCT {_slug('e', 60)} AS slug, e AS name, 'entity' AS what FROM c UNION SELECT {_slug('topic', 60)}, topic, 'topic' FROM c)
+        SELECT topic AS subject, 'needs exactly one entity' AS error FROM c GROUP BY topic HAVING count(DISTINCT e) <> 1 OR count(*) FILTER (WHERE e = '') > 0
+        UNION ALL SELECT array_to_string(list_sort(list(DISTINCT name)), ', '), 'share the file name ' || slug FROM n GROUP BY slug HAVING count(*) > 1""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Sequence
 from datetime import date
@@ -32,9 +33,14 @@ def first_item(spark: SparkSession, sf_dir: str) -> str:
     return table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
 
 
+def first_text(spark: SparkSession, sf_dir: str) -> str:
+    """The text with the smallest id of those with words enough: what it says occurs at least once."""
+    return table(spark, sf_dir, "documents").where("length(text) >= 400").orderBy("doc_id").first().text
+
+
 def three_terms(spark: SparkSession, sf_dir: str) -> list[str]:
-    words = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.slice(F.array_distinct(text.tokenize(F.col("text"))), 1, 3).alias("t"))
-    return words.first().t
+    """The first three different words of that text."""
+    return spark.createDataFrame([(first_text(spark, sf_dir),)], "t string").select(F.slice(F.array_distinct(text.tokenize(F.col("t"))), 1, 3)).first()[0]
 
 
 def hashed_encoder(texts: Sequence[str], query: bool) -> np.ndarray:
@@ -80,7 +86,8 @@ def corpus_stats(spark, sf_dir):
 def _item_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.tokenize(F.col("text"))).alias("term"))
-    return ix.bm25(ix.postings(docs), ix.doc_lengths(docs), terms, by=["item_id"]).withColumn("score", F.round("score", 6))
+    post = tables.cut_lineage(ix.postings(docs))  # texts are cut into words once
+    return ix.bm25(post, ix.lengths_of(docs, post), terms, by=["item_id"]).withColumn("score", F.round("score", 6))
 
 
 def _first(rows: DataFrame, n: int) -> DataFrame:
@@ -127,7 +134,8 @@ def any_terms_partial(spark, sf_dir):
 
 @query
 def phrase_required(spark, sf_dir):
-    phrase = first_item(spark, sf_dir)
+    """Documents that hold what stands at the fourth word of the first text, forty characters long."""
+    phrase = re.search(r"(?:\S+\s){3}(.{40})", first_text(spark, sf_dir), re.DOTALL)[1]
     return table(spark, sf_dir, "documents").where(search.has_all(F.lower("text"), (phrase,))).select("doc_id")
 
 
@@ -143,8 +151,15 @@ def recency_score(spark, sf_dir):
     return rows.groupBy("source").agg(F.round(F.sum("r"), 4).alias("recency"))
 
 
-def _search(spark, sf_dir, **how):
-    index = ix.build(views.text_docs(spark, sf_dir))
+def _index(spark: SparkSession, docs: DataFrame, vectors: DataFrame | None = None) -> ix.Index:
+    """The index written and read back, as the engine has it."""
+    path = tables.new_path(spark)
+    built = ix.build(docs)
+    ix.write(ix.Index(built.docs, built.postings, built.lengths, vectors), path)
+    return ix.load(spark, path, vectors is not None)
+
+
+def _search(spark, sf_dir, index: ix.Index, **how):
     words = " ".join(three_terms(spark, sf_dir))
     found = search.search(index, words, limit=20, today=TODAY, **how)
     return found.select("doc_id", F.round("score", 6).alias("score"), "matched_terms", "total_terms")
@@ -152,22 +167,21 @@ def _search(spark, sf_dir, **how):
 
 @query
 def search_substring(spark, sf_dir):
-    return _search(spark, sf_dir, ranking="substring")
+    docs = views.text_docs(spark, sf_dir)
+    return _search(spark, sf_dir, ix.build(docs), ranking="substring")
 
 
 @query
 def search_fused(spark, sf_dir):
-    return _search(spark, sf_dir)
+    return _search(spark, sf_dir, _index(spark, views.text_docs(spark, sf_dir)))
 
 
 @query
 def search_hybrid(spark, sf_dir):
     """Vectors of all documents' chunks by a deterministic encoder, then the hybrid list."""
     docs = views.text_docs(spark, sf_dir)
-    index = ix.build(docs)
-    index = ix.Index(index.docs, index.postings, index.lengths, tables.cut_lineage(ix.update_vectors(None, docs, hashed_encoder)))
-    found = search.search(index, " ".join(three_terms(spark, sf_dir)), limit=20, today=TODAY, ranking="hybrid", encoder=hashed_encoder)
-    return found.select("doc_id", F.round("score", 6).alias("score"), "matched_terms")
+    index = _index(spark, docs, ix.update_vectors(None, docs, hashed_encoder))
+    return _search(spark, sf_dir, index, ranking="hybrid", encoder=hashed_encoder).drop("total_terms")
 
 
 @query
@@ -176,29 +190,30 @@ def snippet_window(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.snippets(F.col("text"), terms).alias("snippet"))
 
 
+def _dense(spark, sf_dir, keep, k, owner="vec_id"):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ix.dense_lists(vectors, vectors.where(keep).select(F.col("vec_id").alias("query"), "embedding"), k, owner=owner)
+
+
 @query
 def dense_topk(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    q = vectors.orderBy("vec_id").first().embedding
-    rows = ix.dense_scores(vectors, q, owner="vec_id").withColumn("score", F.round("score", 6))
-    return rows.orderBy(F.desc("score"), "vec_id").limit(10)
+    """The ten nearest vectors of each whose id is divisible by 50."""
+    return _dense(spark, sf_dir, "vec_id % 50 = 0", 10).select("query", F.col("owner").alias("vec_id"), "score", "rank")
 
 
 @query
 def dense_best_per_owner(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    q = vectors.orderBy("vec_id").first().embedding
-    return ix.dense_scores(vectors, q, owner="label").select("label", F.round("score", 6).alias("score"))
+    """Labels by their best vector, for each query."""
+    return _dense(spark, sf_dir, "vec_id % 50 = 0", None, owner="label").select("query", F.col("owner").alias("label"), "score")
 
 
 @query
 def rrf_hybrid(spark, sf_dir):
-    """Two dense lists, the second at half weight."""
-    vectors = table(spark, sf_dir, "embeddings").withColumn("doc_id", F.col("vec_id"))
-    a, b = (r.embedding for r in vectors.orderBy("vec_id").limit(2).collect())
-    score = lambda q: search.top(ix.dense_scores(vectors, q).withColumn("score", F.round("score", 6)), search.DEPTH, F.desc("score"))
-    lists = [(search.ranked(score(q), F.desc("score")), w) for q, w in ((a, 1.0), (b, search.DENSE_WEIGHT))]
-    return search.rrf(lists).select(F.col("doc_id").alias("vec_id"), F.round("score", 9).alias("score"))
+    """Two dense lists, that of each query and, at half weight, that of the vector behind it."""
+    lists = _dense(spark, sf_dir, "vec_id % 50 <= 1", search.DEPTH)
+    weight = F.when(F.col("query") % 50 == 0, F.lit(1.0)).otherwise(F.lit(search.DENSE_WEIGHT))
+    parts = lists.select((F.col("query") - F.col("query") % 50).alias("query"), F.col("owner").alias("vec_id"), (weight / (F.lit(search.RRF_K) + F.col("rank"))).alias("part"))
+    return parts.groupBy("query", "vec_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 @query
@@ -310,7 +325,7 @@ def prose_ratio_lines(spark, sf_dir):
 
 @query
 def fingerprint(spark, sf_dir):
-    return views.talk_docs(spark, sf_dir).select("doc_id", text.source_fingerprint(F.col("turns")).alias("fingerprint"))
+    return views.talk_docs(spark, sf_dir).select("doc_id", text.source_fingerprint(distill.distinct_turns(F.col("turns"))).alias("fingerprint"))
 
 
 @query
@@ -332,12 +347,12 @@ def doc_signature(spark, sf_dir):
 @query
 def doc_paths(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.doc_path(F.lit("codex"), F.lit(None).cast("date"), F.substring("text", 1, 60), F.col("source"), F.col("doc_id").cast("string")).alias("path"))
+    return docs.select("doc_id", text.doc_path(F.lit("codex"), F.lit(None).cast("date"), F.col("text"), F.col("source"), F.col("doc_id").cast("string")).alias("path"))
 
 
 @query
 def slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.slugify_latin(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slugify_latin(F.col("text")).alias("slug"))
 
 
 @query
@@ -360,9 +375,10 @@ def html_to_text(spark, sf_dir):
 
 @query
 def wikilink_extract(spark, sf_dir):
-    note = F.concat(F.lit("---\nparent: x\n---\n[["), F.col("n_name"), F.lit("]] and `[[code]]`\n```\n[[fenced]]\n```\nsee [[region/"), F.col("n_regionkey"), F.lit("|name]] [[broken\n"))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(text.wikilinks(note)).alias("pos", "raw"), text.malformed_links(note).alias("bad"))
-    return rows.select("n_nationkey", F.col("pos").cast("bigint").alias("pos"), text.normalize_reference(F.col("raw")).alias("target"), F.array_join(F.col("bad").cast("array<string>"), ",").alias("bad_lines"))
+    """A note made of each supplier: a link, one in code, one in a fence, one with an alias and one that isn't closed."""
+    note = F.concat(F.lit("---\nparent: x\n---\n[["), F.replace("s_name", F.lit("#"), F.lit("-")), F.lit("]] and `[[code]]`\n```\n[[fenced]]\n```\nsee [[nation/"), F.col("s_nationkey"), F.lit("|name]] [[broken\n"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(text.wikilinks(note)).alias("pos", "raw"), text.malformed_links(note).alias("bad"))
+    return rows.select("s_suppkey", F.col("pos").cast("bigint").alias("pos"), text.normalize_reference(F.col("raw")).alias("target"), F.array_join(F.col("bad").cast("array<string>"), ",").alias("bad_lines"))
 
 
 @query
