@@ -63,6 +63,8 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("vault")
     c.add_argument("--parent", action="append", default=[], help="ENTITY=NOTE")
     sub.add_parser("progress")
+    c = sub.add_parser("gate", help="what would leak: documents, notes and claims")
+    c.add_argument("vault")
     c = sub.add_parser("audit")
     c.add_argument("vault")
     a = p.parse_args(args)
@@ -114,7 +116,13 @@ def main(args: list[str] | None = None) -> int:
                 report, errors = graph.audit(graph.read_nodes(spark, a.vault))
                 show(report)
                 show(errors)
-                return int(not report.first().ok)
+                layout = graph.layout_errors(spark, a.vault)
+                show(layout)
+                return int(not report.first().ok or bool(layout.take(1)))
+            case "gate":
+                found = engine.leak_gate(a.vault)
+                show(found)
+                return int(bool(found.take(1)))
     except (Rejected, notes.NoteError, FileNotFoundError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1

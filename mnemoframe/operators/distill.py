@@ -289,3 +289,23 @@ def leaks(docs: DataFrame, policy: privacy.Policy) -> DataFrame:
     private = (F.col("source") == "memory") & F.startswith(F.col("conv_id"), F.lit("private/")) & (F.col("sensitivity") != privacy.NDA)
     reason = F.when(again, F.lit("clean but confidential")).when(private, F.lit("private but not nda"))
     return docs.select("doc_id", reason.alias("reason")).where("reason is not null")
+
+
+def layer_leaks(notes: DataFrame, docs: DataFrame, policy: privacy.Policy) -> DataFrame:
+    """(subject, reason) of a vault's notes (rel, value): confidential text in the clean layers, secrets in the private one, and private notes that aren't documents."""
+    own = F.startswith("rel", F.lit("private/"))
+    level, secret = policy.classify(F.col("rel"), F.col("value")), privacy.has_secret(F.coalesce("value", F.lit("")))
+    found = notes.select(F.col("rel").alias("subject"), F.when(~own & (level == privacy.NDA), F.lit("clean layer holds confidential text")).when(own & secret, F.lit("secret in the private layer")).alias("reason")).where("reason is not null")
+    known = docs.where("source = 'memory'").select(F.col("conv_id").alias("rel"))
+    return found.unionByName(notes.where(own).join(known, "rel", "left_anti").select(F.col("rel").alias("subject"), F.lit("private note without a document").alias("reason")))
+
+
+def store_leaks(claims: DataFrame, docs: DataFrame, policy: privacy.Policy) -> DataFrame:
+    """(subject, reason) of claims: text that is confidential though its source is clean, and sources that are missing or foreign."""
+    rows = resolved_sources(claims, docs)
+    said = F.concat_ws("\n", "topic", "key", "text", F.coalesce("rationale", F.lit("")))
+    reason = (
+        F.when(F.col("source_sensitivity").isNull(), F.lit("claim without a source")).when(F.col("source_sensitivity") == privacy.COPYRIGHT, F.lit("claim from foreign material"))
+        .when((F.col("source_sensitivity") == privacy.CLEAN) & (policy.classify(F.col("entity"), said) == privacy.NDA), F.lit("clean claim holds confidential text"))
+    )
+    return rows.select(F.concat_ws(" ", "topic", "key", "source_doc_id").alias("subject"), reason.alias("reason")).where("reason is not null").distinct()

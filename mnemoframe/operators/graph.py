@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,3 +133,48 @@ def audit(nodes: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, DataFrame]
         .crossJoin(errors.agg(F.count("*").alias("n_errors")))
     )  # single rows
     return report.withColumn("ok", (F.col("n_errors") == 0) & ((F.col("components") == 1) | (F.col("nodes") == 0))), errors
+
+
+#: Folders that an editor of the vault must not show: they hold raw files, not notes of the graph.
+HIDDEN_FOLDERS = ("memory/", "private/memory/")
+
+
+def ignore_filters(config: str | None) -> tuple[frozenset[str], list[str]]:
+    """(folders that the editor's configuration hides, what is wrong with it). config: its JSON text, None if there is none."""
+    if config is None:
+        return frozenset(), ["the editor's configuration is missing"]
+    try:
+        found = json.loads(config)
+    except ValueError:
+        return frozenset(), ["the editor's configuration isn't JSON"]
+    hidden = found.get("userIgnoreFilters") if isinstance(found, dict) else None
+    if not isinstance(hidden, list) or not all(isinstance(x, str) for x in hidden):
+        return frozenset(), ["userIgnoreFilters must be a list of texts"]
+    return frozenset(hidden), [f"userIgnoreFilters must hold {x}" for x in HIDDEN_FOLDERS if x not in hidden]
+
+
+def unmanaged(files: DataFrame, hidden: Iterable[str] = ()) -> DataFrame:
+    """(rel, error) of Markdown files (rel, size) that the editor shows outside the curated folders."""
+    top = F.split("rel", "/")[0]
+    seen = ~F.startswith("rel", F.lit(".")) & ~top.isin("notes", "private") & ~F.concat(top, F.lit("/")).isin(*hidden, "")
+    error = (
+        F.when(~F.contains("rel", F.lit("/")), F.when(F.col("rel") == f"{ROOT}.md", None).when(F.col("size") == 0, F.lit("empty placeholder at the root")).otherwise(F.lit("note at the root outside the graph")))
+        .when(seen, F.lit("visible note outside the graph"))
+    )
+    return files.where(F.col("rel").rlike(r"\.md$")).select("rel", error.alias("error")).where("error is not null")
+
+
+def layout_errors(spark: SparkSession, vault: str) -> DataFrame:
+    """(rel, error): what is wrong with a vault's folders and the editor's configuration."""
+    base = vault.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001  the public Hadoop file system is behind it
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    there = fs.exists(path(f"{base}/.obsidian/app.json"))
+    # Readers leave empty files out; at the root they are listed one by one.
+    empty = [(s.getPath().getName(), 0) for s in fs.listStatus(path(base)) if s.isFile() and not s.getLen() and s.getPath().getName().endswith(".md")]
+    hidden, wrong = ignore_filters(spark.read.text(f"{base}/.obsidian/app.json", wholetext=True).first().value if there else None)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(base)
+    rel = F.substring(F.regexp_replace("path", "^[A-Za-z0-9]+:(//[^/]*)?", ""), len(re.sub("^[A-Za-z0-9]+:(//[^/]*)?", "", base)) + 2, 10_000)
+    files = rows.select(rel.alias("rel"), F.col("length").alias("size")).where("size > 0").unionByName(spark.createDataFrame(empty, "rel string, size bigint"))
+    found = unmanaged(files, hidden)
+    return found.unionByName(spark.createDataFrame([(".obsidian/app.json", w) for w in wrong], "rel string, error string"))

@@ -37,6 +37,11 @@ def changed_files(files: DataFrame, state: DataFrame, policy_version: str) -> Da
     return files.join(same, ["path", "size", "mtime_ns", "ctime_ns"], "left_anti")
 
 
+def corpus_signature(files: DataFrame) -> DataFrame:
+    """(files, bytes, mtime_ns): one row that changes with any file that comes, goes or is written."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0).cast("bigint")).alias("bytes"), F.coalesce(F.sum(F.col("mtime_ns").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("mtime_ns"))
+
+
 def next_state(files: DataFrame, state: DataFrame, policy_version: str) -> DataFrame:
     """The state after ``files`` have been read: one row a path."""
     kept = state.join(files.select("path"), "path", "left_anti")

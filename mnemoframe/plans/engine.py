@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe import schema
-from mnemoframe.functions.privacy import Policy, has_email, has_secret
+from mnemoframe.functions.privacy import NDA, Policy, has_email, has_secret
 from mnemoframe.operators import distill, index, notes, search, tables
 from mnemoframe.sources import registry
 from mnemoframe.sources.assemble import latest
+from mnemoframe.sources.notes import note_files
 
 #: Paths that are handed to a reader one by one at most.
 MAX_PATHS = 10_000
@@ -92,15 +93,15 @@ class Engine:
     def ingest(self, source: str, path: str, dry_run: bool = False, limit: int | None = None, full: bool = False, **options: object) -> dict:
         """Read what is new or changed of a source, or was read under another policy; notes and lessons whose file is gone go.
 
-        limit: so many files at most, by path; the others stay for the next run. full: read all files whatever the state.
+        limit: look at so many files, by path, unchanged ones included. full: read all files whatever the state.
         A document of a session keeps its longest state, also against a version that is stored. Returns counts: those of
         ``tables.ingest_counts``, files and changed (files that were read).
         """
         here = tables.cut_lineage(registry.files(self.spark, source, path))
         state = self.files()
         own = state.where(F.col("source") == source).drop("source")
-        todo = here if full else tables.changed_files(here, own, self.policy.signature)
-        todo = tables.cut_lineage(todo.orderBy("path").limit(limit) if limit else todo)
+        seen = here.orderBy("path").limit(limit) if limit else here
+        todo = tables.cut_lineage(seen if full else tables.changed_files(seen, own, self.policy.signature))
         n = todo.count()
         only = [r.path for r in todo.select("path").collect()] if n <= MAX_PATHS else None  # more files are read as a folder
         old = self._read("docs", schema.DOC)
@@ -117,7 +118,7 @@ class Engine:
                 gone = None
                 new = tables.longest(old.join(new.select("doc_id"), "doc_id", "left_semi"), new.select(*old.columns))
             merged = tables.merge_docs(old, new.select(*old.columns), gone)
-            read = here if only is None else todo
+            read = here if only is None and not limit else todo
             after = tables.next_state(read, own.join(here.select("path"), "path", "left_semi"), self.policy.signature).withColumn("source", F.lit(source))
             files = state.where(F.col("source") != source).unionByName(after.select(*state.columns))
             self._publish({"docs": self._table(merged), "files": self._table(files)})
@@ -201,5 +202,13 @@ class Engine:
         reviews = tables.cut_lineage(distill.add_reviews(self.reviews(), batch, everything, self.claims()))
         self._publish({"reviews": self._table(reviews.select(*schema.columns(schema.REVIEW)).orderBy("doc_id"))})
 
+    def leak_gate(self, vault: str) -> DataFrame:
+        """(subject, reason): whatever would leak from documents, the vault's notes or the claims; no row if nothing does."""
+        docs = self.docs()
+        listed = self.policy.apply_overrides(docs).where(F.col("sensitivity") == NDA).select("doc_id").join(docs.where(F.col("sensitivity") != NDA).select("doc_id"), "doc_id", "left_semi")
+        found = distill.leaks(docs, self.policy).select(F.col("doc_id").alias("subject"), "reason").unionByName(listed.select(F.col("doc_id").alias("subject"), F.lit("listed as confidential").alias("reason")))
+        kept = note_files(self.spark, vault)
+        return found.unionByName(distill.layer_leaks(kept, docs, self.policy)).unionByName(distill.store_leaks(self.claims(), docs, self.policy))
+
     def progress(self) -> DataFrame:
         return distill.progress(distill.select(self.docs()), self.claims(), self.reviews())

@@ -198,4 +198,12 @@ ORACLE: dict[str, str] = {
     "emission_errors": f"""WITH c AS (SELECT doc_id, lang AS topic, substr(doc_id::varchar, 1, 1) AS e FROM documents), n AS (SELECT DISTINCT {_slug('e', 60)} AS slug, e AS name, 'entity' AS what FROM c UNION SELECT {_slug('topic', 60)}, topic, 'topic' FROM c)
         SELECT topic AS subject, 'needs exactly one entity' AS error FROM c GROUP BY topic HAVING count(DISTINCT e) <> 1 OR count(*) FILTER (WHERE e = '') > 0
         UNION ALL SELECT array_to_string(list_sort(list(DISTINCT name)), ', '), 'share the file name ' || slug FROM n GROUP BY slug HAVING count(*) > 1""",
+    "corpus_signature": "SELECT count(*) AS files, sum(n_chars)::bigint AS bytes, sum(doc_id::hugeint * 1000000007)::varchar AS mtime_ns FROM documents",
+    "layer_leaks": f"""WITH r AS (SELECT CASE WHEN toxic = 1 THEN 'private/' ELSE 'notes/' END || d.doc_id || '.md' AS rel, text, coalesce(toxic, 0) AS toxic, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+        SELECT rel AS subject, CASE WHEN toxic = 1 THEN 'secret in the private layer' ELSE 'clean layer holds confidential text' END AS reason FROM r WHERE CASE WHEN toxic = 1 THEN {_SECRET} ELSE {_EMAIL} OR {_SECRET} OR {_DENY} END
+        UNION ALL SELECT rel, 'private note without a document' FROM r WHERE toxic = 1 AND quality IS DISTINCT FROM 1""",
+    "store_leaks": f"""WITH {_LABELLED}, c AS (SELECT d.doc_id, d.source, d.text, s.sensitivity FROM documents d LEFT JOIN (SELECT * FROM docs WHERE quality IS NULL OR toxic = 0) s ON d.doc_id::varchar = s.doc_id),
+        j AS (SELECT *, CASE WHEN sensitivity IS NULL THEN 'claim without a source' WHEN sensitivity = 'copyright' THEN 'claim from foreign material'
+          WHEN sensitivity = 'clean' AND ({_EMAIL} OR {_SECRET} OR {_DENY}) THEN 'clean claim holds confidential text' END AS reason FROM c)
+        SELECT source || ' k ' || doc_id AS subject, reason FROM j WHERE reason IS NOT NULL""",
 }

@@ -287,6 +287,23 @@ def leak_gate(spark, sf_dir):
     return distill.leaks(docs, privacy.Policy())
 
 
+@query
+def layer_leaks(spark, sf_dir):
+    """Documents as notes: toxic ones in the private layer, and of these those of high quality known as documents."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    rel = F.concat(F.when(F.col("toxic") == 1, F.lit("private/")).otherwise(F.lit("notes/")), F.col("doc_id"), F.lit(".md"))
+    notes = rows.select(rel.alias("rel"), F.col("text").alias("value"))
+    known = rows.where("toxic = 1 and quality = 1").select(F.lit("memory").alias("source"), rel.alias("conv_id"))
+    return distill.layer_leaks(notes, known, privacy.Policy())
+
+
+@query
+def store_leaks(spark, sf_dir):
+    """Documents' texts as claims from themselves: foreign ones, and clean ones that hold what is confidential."""
+    claims = table(spark, sf_dir, "documents").select(F.col("lang").alias("entity"), F.col("source").alias("topic"), F.lit("k").alias("key"), "text", F.lit("").alias("rationale"), F.col("doc_id").cast("string").alias("source_doc_id"))
+    return distill.store_leaks(claims, views.labelled_docs(spark, sf_dir).where("quality is null or toxic = 0").select("doc_id", "sensitivity"), privacy.Policy())
+
+
 @query
 def classifier_eval(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -526,6 +543,13 @@ def incremental_changed_files(spark, sf_dir):
     return tables.changed_files(files, state, "p1").select("path", "size")
 
 
+@query
+def corpus_signature(spark, sf_dir):
+    """Documents as files: what changes when one of them does."""
+    files = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("size"), (F.col("doc_id") * 1_000_000_007).alias("mtime_ns"))
+    return tables.corpus_signature(files).select("files", "bytes", F.col("mtime_ns").cast("string").alias("mtime_ns"))
+
+
 @query
 def ingest_counts(spark, sf_dir):
     docs = views.event_docs(spark, sf_dir)

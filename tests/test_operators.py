@@ -279,7 +279,8 @@ def test_incremental_ingest(spark, tmp_path):
     for i in range(3):
         put(logs / "p[1]" / f"s{i}.jsonl", said("user", f"text {i}", sessionId=f"s{i}"))
     assert e.ingest("claude-code", f"file://{logs}", limit=2)["changed"] == 2 and e.docs().count() == 2
-    assert e.ingest("claude-code", f"file://{logs}", limit=2)["changed"] == 1 and e.docs().count() == 3
+    assert e.ingest("claude-code", f"file://{logs}", limit=2)["changed"] == 0 and e.docs().count() == 2  # unchanged ones count
+    assert e.ingest("claude-code", f"file://{logs}")["changed"] == 1 and e.docs().count() == 3
     put(logs / "p[1]" / "s0.jsonl", said("user", "text 0", sessionId="s0"), said("assistant", "answer", sessionId="s0", timestamp="2026-05-01T11:00:00.000Z"))
     assert e.ingest("claude-code", f"file://{logs}", dry_run=True)["replaced"] == 1
     assert e.ingest("claude-code", f"file://{logs}")["replaced"] == 1 and sorted(len(r.turns) for r in e.docs().collect()) == [1, 1, 2]
@@ -307,6 +308,35 @@ def test_remember_reads_the_note_in(spark, tmp_path):
     assert e.search("angerufen").count() == 0 and e.search("angerufen", include_nda=True).count() == 1
 
 
+def test_leak_gate_and_layout(spark, tmp_path, claims_of):
+    v = vault(tmp_path / "vault")
+    e = Engine(spark, f"file://{tmp_path}/data")
+    for path in v.rglob("*.md"):
+        path.write_text(path.read_text() + "\nsome text\n")
+    e.ingest("memory", f"file://{v}")
+    assert e.leak_gate(f"file://{v}").count() == 0
+    (v / "notes/shop.md").write_text("acme was here")
+    (v / "private/new.md").write_text("a key: ghp_" + "a1" * 12)
+    got = {(r.subject, r.reason) for r in e.leak_gate(f"file://{v}").collect()}
+    assert got == {("notes/shop.md", "clean layer holds confidential text"), ("private/new.md", "secret in the private layer"), ("private/new.md", "private note without a document")}
+    doc = e.docs().where("conv_id = 'notes/projects.md'").first().doc_id
+    bad = claims_of(claim("Preise", text="globex zahlt", source=doc), claim("Preise", text="fine", source=doc), claim("Preise", source="gone"))
+    assert sorted(r.reason for r in distill.store_leaks(bad, e.docs(), e.policy).collect()) == ["claim without a source", "clean claim holds confidential text"]
+
+    (v / "stray.md").write_text("x")
+    (v / "empty.md").write_text("")
+    (v / "memory").mkdir(exist_ok=True)
+    (v / "memory/raw.md").write_text("x")
+    (v / "loose").mkdir()
+    (v / "loose/a.md").write_text("x")
+    errors = lambda: {(r.rel, r.error) for r in graph.layout_errors(spark, f"file://{v}").collect()}
+    assert {(r, w) for r, w in errors() if r.startswith(".")} == {(".obsidian/app.json", "the editor's configuration is missing")}
+    notes.replace_file(v / ".obsidian/app.json", '{"userIgnoreFilters": ["memory/", "private/memory/"]}')
+    assert errors() == {("stray.md", "note at the root outside the graph"), ("empty.md", "empty placeholder at the root"), ("loose/a.md", "visible note outside the graph")}
+    assert graph.ignore_filters('{"userIgnoreFilters": ["memory/"]}')[1] == ["userIgnoreFilters must hold private/memory/"]
+    assert graph.ignore_filters("[")[1] and graph.ignore_filters("[]")[1]
+
+
 def test_published_together_or_not(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/data")
     one = spark.range(1)
