@@ -7,15 +7,18 @@ Distribution: equal fingerprints are one node. A fingerprint is cut into six blo
 bits, at least two blocks agree, so each node goes to the 15 groups named by a pair of blocks and their bits, and each link
 shows in one group at least. A group that is too large for a task is cut into chunks, and each two chunks meet in a task of their own.
 
-Search: inside a task the other blocks' bits are put in Gray order, in which codes that share leading bits stand side by
-side. Runs that share a masked pattern become a node above, down to single fingerprints. Pairs of nodes are followed from
-the top; the differences of their patterns add up, and a pair over the bound is dropped with all below it. What is left
-at the leaves are the links, of which a task returns a spanning star for each component that it sees.
+Search: inside a task the other blocks' bits are sorted by Gray rank, which puts codes side by side that differ in few bits
+anywhere, not only behind a common prefix. Each FAN neighbours get a node above them with the masked pattern that they share: the
+bits, at whatever places, in which all of them agree. Nodes get nodes above them in turn, up to one for a group. Pairs of
+nodes are followed from the top: on the way down only bits that the pair above didn't know are compared, their
+differences are added to those so far, and a pair over the bound is dropped with all below it. What is left at the leaves
+are the links, of which a task returns a spanning star for each component that it sees.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -34,8 +37,8 @@ MAX_BITS = 4
 BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
 #: Fingerprints that a task searches together at most.
 GROUP = 2048
-#: Bits of the pattern that a level of the index adds.
-LEVEL = 6
+#: Neighbours in Gray order that share a node of the index.
+FAN = 4
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -102,34 +105,55 @@ def _spread(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
 
 
-def links_of(root: np.ndarray, code: np.ndarray, max_bits: int = MAX_BITS, level: int = LEVEL) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of the same root (ascending) whose codes, in Gray order inside a root, differ in at most max_bits bits."""
-    n = len(code)
-    starts, pattern = [np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))], []
-    for used in range(level, 64 + level, level):
-        mask = np.uint64(((1 << min(used, 64)) - 1) << (64 - min(used, 64)))
-        part = code & mask
-        new = np.concatenate([[True], part[1:] != part[:-1]])
-        new[starts[0]] = True
-        starts.append(np.flatnonzero(new))
-        pattern.append(part[starts[-1]])
-    u = v = np.arange(len(starts[0]))
-    acc = np.zeros(len(u), np.int64)
-    for above, below, bits in zip(starts, starts[1:], pattern, strict=False):
-        low = np.searchsorted(below, above)
-        count = np.diff(np.append(low, len(below)))
-        pair, left = _spread(low[u], count[u])
-        again, right = _spread(low[v][pair], count[v][pair])
+@dataclass
+class Level:
+    """Nodes in order. What a node's members share: at the places of mask, bits. Its children in the level below: first, count."""
+
+    bits: np.ndarray
+    mask: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+
+def index_of(root: np.ndarray, code: np.ndarray, fan: int = FAN) -> list[Level]:
+    """Levels from the codes, in the order given, up to one node for each run of equal roots."""
+    none = np.zeros(0, np.int64)
+    levels = [Level(code, np.full(len(code), ~np.uint64(0)), none, none)]
+    while True:
+        starts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+        if len(starts) == len(root):
+            return levels
+        size = np.diff(np.append(starts, len(root)))
+        first = np.flatnonzero((np.arange(len(root)) - np.repeat(starts, size)) % fan == 0)
+        below = levels[-1]
+        every, some = np.bitwise_and.reduceat(below.bits, first), np.bitwise_or.reduceat(below.bits, first)
+        mask = np.bitwise_and.reduceat(below.mask, first) & ~(every ^ some)
+        levels.append(Level(every & mask, mask, first, np.diff(np.append(first, len(root)))))
+        root = root[first]
+
+
+def links_of(root: np.ndarray, code: np.ndarray, max_bits: int = MAX_BITS, visited: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of the same root (ascending) whose codes, in Gray order inside a root, differ in at most max_bits bits.
+
+    visited: gets the number of pairs of nodes that were compared.
+    """
+    levels = index_of(root, code)
+    top = levels[-1]
+    u = v = np.arange(len(top.bits))
+    acc, known = np.zeros(len(u), np.int64), top.mask
+    for above, below in zip(levels[:0:-1], levels[-2::-1], strict=True):
+        pair, left = _spread(above.first[u], above.count[u])
+        again, right = _spread(above.first[v][pair], above.count[v][pair])
         pair, left = pair[again], left[again]
-        # Patterns include the levels above, so their difference is the sum so far.
-        keep = (left <= right) | (u[pair] != v[pair])
-        pair, left, right = pair[keep], left[keep], right[keep]
-        acc = np.bitwise_count(bits[left] ^ bits[right]).astype(np.int64)
+        once = left <= right  # of a node with itself each pair of children comes twice
+        pair, left, right = pair[once], left[once], right[once]
+        if visited is not None:
+            visited.append(len(pair))
+        both = below.mask[left] & below.mask[right]
+        acc = acc[pair] + np.bitwise_count((below.bits[left] ^ below.bits[right]) & both & ~known[pair])
         near = acc <= max_bits
-        u, v = left[near], right[near]
+        u, v, acc, known = left[near], right[near], acc[near], both[near]
     different = u != v
-    at = starts[-1]
-    assert len(at) == n
     return u[different], v[different]
 
 
