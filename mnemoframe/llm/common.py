@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and all executors are in this process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -70,11 +72,13 @@ def add_columns(df: DataFrame, text: str, added: str, find: Callable[[list], dic
     new = T.StructType.fromDDL(added)
     cols = [c for c in (df.columns if keep is None else keep) if c not in new.names]
     kinds = [to_arrow_type(f.dataType) for f in new]
+    at = cols.index(text) if text in cols else len(cols)  # a text that is kept is sent once
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, rows):
-            found = find(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(found[f.name], k) for f, k in zip(new, kinds, strict=True)]], names=[*cols, *new.names])
+            found = find(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], *[pa.array(found[f.name], k) for f, k in zip(new, kinds, strict=True)]], names=[*cols, *new.names])
 
     kept = df.select(*[F.col(f"`{c}`") for c in cols])
-    return df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").alias("_text_")).mapInArrow(run, T.StructType([*kept.schema, *new]))
+    sent = kept if at < len(cols) else df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").alias("_text_"))
+    return sent.mapInArrow(run, T.StructType([*kept.schema, *new]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemoframe.llm import licenses, quality
+from mnemoframe.llm import licenses, lines, quality
 
 _BASE32 = """list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * i + 1, 5))::bigint >> (15 - 5 * j)) & 31)::int, 1)), 'string_agg', '')), 'string_agg', '')"""
@@ -55,6 +55,24 @@ SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit,
 FROM d LEFT JOIN spans ON d.doc_id = spans.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
+# Lines within one edit agree before or behind the middle of the shorter one; of what agrees there, the edit is checked character by character.
+ORACLE["op7_line_dedup"] = f"""
+WITH t AS (SELECT doc_id, text, n_chars, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM t),
+w AS (SELECT * FROM l WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+u AS (SELECT x, length(x) AS n, min((doc_id, i)) AS place FROM w GROUP BY x),
+k AS (SELECT x, place, m, n, unnest([left(x, m // 2), right(x, m - m // 2)]) AS part, unnest([0, 1]) AS side FROM (SELECT *, unnest([n, n - 1]) AS m FROM u WHERE n >= {lines.MIN_FUZZY})),
+near AS (SELECT DISTINCT a.x AS a, b.x AS b, a.n AS n, b.n AS o FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND a.place > b.place AND abs(a.n - b.n) <= 1 WHERE levenshtein(a.x, b.x) <= 4),
+fuzzy AS (SELECT DISTINCT a AS x FROM near WHERE CASE WHEN n = o THEN len(list_filter(range(1, n + 1), lambda j: a[j] <> b[j])) = 1
+  WHEN n < o THEN len(list_filter(range(0, n + 1), lambda j: left(a, j) = left(b, j) AND right(a, n - j) = right(b, n - j))) > 0
+  ELSE len(list_filter(range(0, o + 1), lambda j: left(a, j) = left(b, j) AND right(a, o - j) = right(b, o - j))) > 0 END),
+gone AS (SELECT w.doc_id, w.i FROM w JOIN u ON w.x = u.x LEFT JOIN fuzzy f ON w.x = f.x WHERE (w.doc_id, w.i) <> u.place OR f.x IS NOT NULL),
+kept AS (SELECT l.doc_id, count(gone.i) AS n_dropped, coalesce(string_agg(CASE WHEN gone.i IS NULL THEN x END, chr(10) ORDER BY l.i), '') AS text FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT t.doc_id, coalesce(len(ls), 0)::bigint AS n_lines, coalesce(n_dropped, 0)::bigint AS n_dropped, CASE WHEN n_dropped > 0 THEN length(kept.text) ELSE n_chars END AS n_chars,
+       sha256(CASE WHEN n_dropped > 0 THEN kept.text ELSE t.text END) AS text_sha256
+FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
+
 _KNOWN = ", ".join(f"('{v}', '{k}')" for k, v in licenses.SENTENCES.items())
 _RULES = ", ".join(f"({i}, '{name}', ',{','.join(seq)},')" for i, (name, seq) in enumerate(licenses.RULES))
 
@@ -68,14 +86,15 @@ SELECT d.doc_id, coalesce(ids, '') AS license_sentences, coalesce(licenses, '')
 FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN lic ON d.doc_id = lic.doc_id
 """
 
-_RATES = {
-    "symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "word_len": "100 * word_chars // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)",
-    "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "capital_rate": "1000 * n_capitals // greatest(word_chars, 1)",
-}
-_LONG = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {v} AS v FROM c WHERE n_words > 0" for k, v in _RATES.items())
-_SLACK = "CASE feature " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.SLACK.items()) + " END"
-_OVER = ", ".join(f"CASE WHEN {v} > list_extract(f, {i}) THEN '{k}' END" for i, (k, v) in enumerate(_RATES.items(), 1))
-_ORDER = "CASE feature " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_RATES)) + " END"
+_RATES = {k: f"{m} * {a} // greatest({b}, 1)" for k, (a, b, m, _) in quality.FEATURES.items()}
+_LONG = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {v} AS v FROM c WHERE n_words > 0" for k, v in {**_RATES, **{k: k for k in quality.SIZES}}.items())
+_UNIT = "CASE feature " + " ".join(f"WHEN '{k}' THEN greatest({m * n} // greatest(mid['{b}'], 1), 1)" for k, (_, b, m, n) in quality.FEATURES.items()) + " END"
+_OVER = ", ".join(f"CASE WHEN {v} > hi['{k}'] OR {v} < lo['{k}'] THEN '{k}' END" for k, v in _RATES.items())
+
+
+def _toward(n: str, own: str, wider: str) -> str:
+    return f"map_from_entries([{', '.join(f"('{k}', ({n} * {own}['{k}'] + {quality.EVIDENCE} * {wider}['{k}']) // ({n} + {quality.EVIDENCE}))" for k in _RATES)}])"
+
 
 ORACLE["op10_quality_rules"] = f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -89,10 +108,15 @@ c AS (SELECT t.doc_id, lang, source, len(w)::bigint AS n_words, length(array_to_
 x AS (SELECT lang, source, feature, (v >> spare) << spare AS bucket FROM (SELECT *, greatest(length(bin(v)) - {quality.SUB_BITS + 1}, 0)::int AS spare FROM ({_LONG}))),
 sk AS (SELECT 2 AS level, lang, source, feature, bucket, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, feature, bucket, count(*) FROM x GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, feature, bucket, count(*) FROM x GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total FROM sk),
-q AS (SELECT level, lang, source, feature, min(CASE WHEN below * 4 >= total THEN bucket END) AS q1, min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS q3, max(total) AS n_docs FROM run GROUP BY ALL),
-f AS (SELECT level, lang, source, max(n_docs) AS n_docs, list(q3 + {quality.REACH} * (q3 - q1) + {_SLACK} ORDER BY {_ORDER}) AS f FROM q GROUP BY ALL HAVING level = 0 OR max(n_docs) >= {quality.MIN_DOCS}),
-j AS (SELECT c.*, coalesce(f2.f, f1.f, f0.f) AS f FROM c LEFT JOIN f f2 ON f2.level = 2 AND f2.lang IS NOT DISTINCT FROM c.lang AND f2.source IS NOT DISTINCT FROM c.source
-      LEFT JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM c.lang LEFT JOIN f f0 ON f0.level = 0),
+q AS (SELECT level, lang, source, feature, min(CASE WHEN below * 4 >= total THEN bucket END) AS q1, min(CASE WHEN below * 4 >= total * 2 THEN bucket END) AS q2,
+      min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS q3, max(total) AS n FROM run GROUP BY ALL),
+mids AS (SELECT level, lang, source, map_from_entries(list((feature, q2))) AS mid FROM q WHERE feature IN ({", ".join(f"'{k}'" for k in quality.SIZES)}) GROUP BY ALL),
+u AS (SELECT q.*, {_UNIT} AS unit FROM q JOIN mids m ON q.level = m.level AND q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source WHERE feature NOT IN ({", ".join(f"'{k}'" for k in quality.SIZES)})),
+f AS (SELECT level, lang, source, max(n) AS n, map_from_entries(list((feature, greatest(q1 - {quality.REACH} * greatest(q2 - q1, unit, q1 // {1 << quality.SUB_BITS}), 0)))) AS lo,
+      map_from_entries(list((feature, q3 + {quality.REACH} * greatest(q3 - q2, unit, q3 // {1 << quality.SUB_BITS})))) AS hi FROM u GROUP BY ALL),
+f1 AS (SELECT a.lang, {_toward("a.n", "a.lo", "b.lo")} AS lo, {_toward("a.n", "a.hi", "b.hi")} AS hi FROM f a, f b WHERE a.level = 1 AND b.level = 0),
+f2 AS (SELECT a.lang, a.source, {_toward("a.n", "a.lo", "b.lo")} AS lo, {_toward("a.n", "a.hi", "b.hi")} AS hi FROM f a JOIN f1 b ON a.lang IS NOT DISTINCT FROM b.lang WHERE a.level = 2),
+j AS (SELECT c.*, lo, hi FROM c LEFT JOIN f2 ON f2.lang IS NOT DISTINCT FROM c.lang AND f2.source IS NOT DISTINCT FROM c.source),
 r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter([{_OVER}], lambda k: k IS NOT NULL), ',') AS reasons FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND reasons = '' AS kept, reasons FROM r
 """

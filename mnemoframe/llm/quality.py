@@ -1,10 +1,11 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Per text, integer features are counted (numpy inside ``mapInPandas``). Each feature's distribution is kept, per language
-and source, in a log-bucketed quantile sketch: a table of counts by bucket, so that sketches merge by adding counts and
-are the same whatever the partitioning. Upper fences are read from the sketches (third quartile plus a multiple of the
-interquartile range plus a slack) and joined back to the rows. Groups with few texts use the merged sketch of their language, else that
-of all texts.
+Per text, integer features are counted (numpy inside ``mapInArrow``, a text at a time). Each feature's distribution is kept, per
+language and source, in a log-bucketed quantile sketch: a table of counts by bucket, so that sketches merge by adding counts
+and are the same whatever the partitioning. Fences on both sides are read from the sketches: so many spreads beyond a
+quartile, where the spread is the quartile's distance from the median, or what one occurrence makes of a text of the group's
+median length, or what the sketch can't tell apart, whichever is most. A group's fences are drawn towards its language's, and those towards all texts', as far as the
+group is small. Rows are judged by a join with the fences.
 """
 
 from __future__ import annotations
@@ -13,15 +14,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import add_columns
+from mnemoframe.llm.common import add_columns, materialize
 
 SYMBOLS = "#*$%&|<>"
-#: feature: slack over the fence. Shares are per mille; word_len is in hundredths of a code point.
-SLACK = {"symbol_rate": 100, "word_len": 300, "dup_line_rate": 500, "repeat_rate": 300, "capital_rate": 200}
-#: Interquartile ranges over the third quartile.
-REACH = 3
-#: A group with fewer texts uses its language's thresholds, and a language with fewer those of all texts.
-MIN_DOCS = 100
+#: feature: (count, what it is a share of, parts of the share, occurrences in the least event). word_len is in hundredths of a code point, the others per mille.
+#: Three words that come twice make four to six repeated words.
+FEATURES = {
+    "symbol_rate": ("n_symbols", "n_words", 1000, 1),
+    "word_len": ("word_chars", "n_words", 100, 1),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1000, 1),
+    "repeat_rate": ("n_repeat_words", "n_words", 1000, 6),
+    "capital_rate": ("n_capitals", "word_chars", 1000, 1),
+}
+#: What the shares are of; their medians are kept as well.
+SIZES = ("n_words", "n_lines", "word_chars")
+#: Spreads beyond the quartiles.
+REACH = 16
+#: Texts of the wider group that a group's own are weighed against.
+EVIDENCE = 100
+#: Groups up to which their fences are broadcast (some 200 bytes each); more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 #: Linear buckets per power of two: relative error of a quantile at most 1/32.
 SUB_BITS = 5
@@ -72,14 +84,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
 
 
 def _rates() -> dict[str, Column]:
-    share = lambda a, b, m: F.expr(f"{m} * {a} div greatest({b}, 1L)")
-    return {
-        "symbol_rate": share("n_symbols", "n_words", 1000),
-        "word_len": share("word_chars", "n_words", 100),
-        "dup_line_rate": share("n_dup_lines", "n_lines", 1000),
-        "repeat_rate": share("n_repeat_words", "n_words", 1000),
-        "capital_rate": share("n_capitals", "word_chars", 1000),
-    }
+    return {k: F.expr(f"{m} * {a} div greatest({b}, 1L)") for k, (a, b, m, _) in FEATURES.items()}
 
 
 def bucket(v: Column) -> Column:
@@ -89,10 +94,10 @@ def bucket(v: Column) -> Column:
 
 
 def sketches(counts: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(level, lang, source, feature, bucket, n): level 2 by language and source, 1 by language, 0 over all."""
-    rates = _rates()
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), bucket(v).alias("bucket")) for k, v in rates.items()]))
-    base = counts.where("n_words > 0").select(F.col(lang).alias("lang"), F.col(source).alias("source"), pairs.alias("x"))
+    """(level, lang, source, feature, bucket, n) over texts with words: level 2 by language and source, 1 by language, 0 over all."""
+    values = _rates() | {k: F.col(k) for k in SIZES}
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), bucket(v).alias("bucket")) for k, v in values.items()]))
+    base = counts.where("n_words > 0").select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), pairs.alias("x"))
     base = base.groupBy("lang", "source", "x.feature", "x.bucket").agg(F.count("*").alias("n"))
     null = F.lit(None).cast("string")
     levels = [
@@ -103,43 +108,66 @@ def sketches(counts: DataFrame, lang: str = "lang", source: str = "source") -> D
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
-def fences(sketch: DataFrame, reach: int = REACH, slack: dict[str, int] = SLACK) -> DataFrame:
-    """(level, lang, source, n_docs, one column by feature): the largest value that still passes."""
+def fences(sketch: DataFrame, reach: int = REACH, evidence: int = EVIDENCE) -> DataFrame:
+    """(lang, source, n_docs, and by feature min_.. and max_..: the least and the largest value that pass), one row a group."""
     key = ["level", "lang", "source", "feature"]
     w = Window.partitionBy(*key).orderBy("bucket")
     run = sketch.withColumns({"below": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy(*key))})
-    q = lambda x: F.min(F.when(F.col("below") * 4 >= F.col("total") * x, F.col("bucket")))
-    quartiles = run.groupBy(*key).agg(q(1).alias("q1"), q(3).alias("q3"), F.max("total").alias("n_docs"))
-    spare = F.create_map(*[F.lit(x) for kv in slack.items() for x in kv])
-    fence = quartiles.withColumn("fence", F.col("q3") + F.lit(reach) * (F.col("q3") - F.col("q1")) + spare[F.col("feature")])
-    return fence.groupBy("level", "lang", "source").agg(F.max("n_docs").alias("n_docs"), *[F.max(F.when(F.col("feature") == k, F.col("fence"))).alias(f"max_{k}") for k in slack])
-
-
-def judge(counts: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``counts`` with base_failed, reasons (features over their fence, comma-joined) and kept.
-
-    Which sketch a group goes by is settled among the groups; rows are joined once. A group without words has no fence and fails the base rule.
+    q = lambda x: F.min(F.when(F.col("below") * 4 >= F.col("total") * x, F.col("bucket"))).alias(f"q{x}")
+    quartiles = run.groupBy(*key).agg(q(1), q(2), q(3), F.max("total").alias("n_docs"))
+    of = lambda k: F.max(F.when(F.col("feature") == k, F.struct("q1", "q2", "q3"))).alias(k)
+    wide = quartiles.groupBy("level", "lang", "source").agg(F.max("n_docs").alias("n_docs"), *[of(k) for k in (*FEATURES, *SIZES)])
+    limits = []
+    for k, (_, size, parts, least) in FEATURES.items():
+        spread = lambda a, b, q, u=f"{parts * least}L div greatest({size}.q2, 1L)": f"{reach} * greatest({a} - {b}, {u}, {q} div {1 << SUB_BITS}, 1L)"
+        limits += [F.expr(f"greatest({k}.q1 - {spread(f'{k}.q2', f'{k}.q1', f'{k}.q1')}, 0L)").alias(f"min_{k}"), F.expr(f"{k}.q3 + {spread(f'{k}.q3', f'{k}.q2', f'{k}.q3')}").alias(f"max_{k}")]
+    own = wide.select("level", "lang", "source", "n_docs", F.struct(*limits).alias("f"))
+    names = [f"{side}_{k}" for k in FEATURES for side in ("min", "max")]
+    toward = lambda n, a, b: F.struct(*[F.expr(f"({n} * {a}.{x} + {evidence}L * {b}.{x}) div ({n} + {evidence}L)").alias(x) for x in names])
+    level = lambda n, *cols: own.where(F.col("level") == n).select(*cols)
+    # One row of all texts' fences, beside a row for each language.
+    langs = level(1, F.col("lang").alias("_l"), F.col("n_docs").alias("n1"), F.col("f").alias("f1")).crossJoin(F.broadcast(level(0, F.col("f").alias("f0"))))
+    langs = langs.select("_l", toward("n1", "f1", "f0").alias("f1"))
+    groups = level(2, "lang", "source", "n_docs", F.col("f").alias("f2")).join(langs, F.col("lang").eqNullSafe(F.col("_l")))
+    return groups.select("lang", "source", "n_docs", toward("n_docs", "f2", "f1").alias("f")).select("lang", "source", "n_docs", "f.*")
+
+
+def judge(counts: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source", broadcast: bool = True) -> DataFrame:
+    """``counts`` with base_failed, reasons (features beyond a fence, comma-joined) and kept; input columns of these names are replaced.
+
+    A group without words has no fences and fails the base rule. broadcast: the fences are known to be few.
     """
-    limits = [f"max_{k}" for k in SLACK]
-    level = lambda n: fence.where(F.col("level") == n).select("lang", "source", F.when((F.col("n_docs") >= min_docs) | F.lit(n == 0), F.struct(*limits)).alias(f"_f{n}"), F.lit(1).alias("_one"))
-    own, wider, whole = (level(n) for n in (2, 1, 0))
-    groups = own.join(wider.select(F.col("lang").alias("_l"), "_f1"), F.col("lang").eqNullSafe(F.col("_l")), "left").join(whole.select("_one", "_f0"), "_one")
-    groups = groups.select(F.col("lang").alias("_g_lang"), F.col("source").alias("_g_source"), F.coalesce("_f2", "_f1", "_f0").alias("_f"))
-    rows = counts.join(groups, F.col(lang).eqNullSafe(F.col("_g_lang")) & F.col(source).eqNullSafe(F.col("_g_source")), "left").drop("_g_lang", "_g_source")
-    over = [F.when(v > F.col(f"_f.max_{k}"), F.lit(k)) for k, v in _rates().items()]
+    cols = [c for c in counts.columns if c not in ("base_failed", "reasons", "kept")]
+    limits = fence.select(F.col("lang").alias("_g_lang"), F.col("source").alias("_g_source"), F.struct(*[c for c in fence.columns if c not in ("lang", "source", "n_docs")]).alias("_f"))
+    named = counts.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("_r"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"), *COUNTS)
+    rows = named.join(F.broadcast(limits) if broadcast else limits, F.col("_lang").eqNullSafe(F.col("_g_lang")) & F.col("_source").eqNullSafe(F.col("_g_source")), "left")
+    over = [F.when((v > F.col(f"_f.max_{k}")) | (v < F.col(f"_f.min_{k}")), F.lit(k)) for k, v in _rates().items()]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumns({"base_failed": failed, "reasons": F.array_join(F.array_compact(F.array(*over)), ",")})
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("reasons") == "")).drop("_f")
+    rows = rows.select("_r", failed.alias("base_failed"), F.array_join(F.array_compact(F.array(*over)), ",").alias("reasons"))
+    return rows.select(*[F.col(f"_r.c{i}").alias(c) for i, c in enumerate(cols)], "base_failed", "reasons", (~F.col("base_failed") & (F.col("reasons") == "")).alias("kept"))
+
+
+def few_groups(fence: DataFrame) -> tuple[DataFrame, bool]:
+    """``fence`` written and read back, and whether it may be broadcast."""
+    fence = materialize(fence, "fences")
+    return fence, fence.count() <= BROADCAST_GROUPS
 
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns.
 
-    Null and empty texts have no words and fail the base rule. Null languages and sources form groups of their own. The
-    fences come from a first pass over all rows; the second pass counts again rather than keep a copy of all texts.
+    Null and empty texts have no words and fail the base rule. Null languages and sources form groups of their own. Every row
+    counts, repeated or not, and is judged alone, so ties don't arise. An empty table gives no rows; very long texts are counted whole.
+    Texts are read and counted once, into a written table from which the sketches are made; that table is judged in place while
+    the fences can be broadcast, else rows are joined without their texts, which are then joined back by row number.
     """
-    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("_row"))
     at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    limits = fences(sketches(with_counts(named, at[text], [at[lang], at[source]]), at[lang], at[source]))
-    passed = judge(with_counts(named, at[text]), limits, at[lang], at[source]).where("kept")
+    counts = materialize(with_counts(named, at[text]), "counted")
+    limits, few = few_groups(fences(sketches(counts, at[lang], at[source])))
+    if few:
+        passed = judge(counts, limits, at[lang], at[source]).where("kept")
+    else:
+        narrow = counts.select("_row", at[lang], at[source], *COUNTS)
+        passed = counts.join(judge(narrow, limits, at[lang], at[source], broadcast=False).where("kept").select("_row"), "_row", "left_semi")
     return passed.select(*[F.col(v).alias(k) for k, v in at.items()])

@@ -68,9 +68,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     counts = materialize(quality.with_counts(docs, keep=["doc_id", "lang", "source"]), "quality")
-    return quality.judge(counts, quality.fences(quality.sketches(counts))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons"
-    )
+    limits, few = quality.few_groups(quality.fences(quality.sketches(counts)))
+    return quality.judge(counts, limits, broadcast=few).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_pii, op4_sentencepiece, op5_simhash_dedup, op6_lm_score, op7_line_dedup, op8_url_filter, op9_license_scan, op10_quality_rules)}
