@@ -37,6 +37,70 @@ def test_query(spark, duck, name):
         assert sorted(want.columns) == cols and plain(got) == plain(want)
 
 
+@pytest.fixture(scope="module")
+def found(spark):
+    """Rows of a query by doc_id, and the documents."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    return lambda name: ({r.doc_id: r for r in __spark_entry__.queries()[name](spark, SMALL).collect()}, docs)
+
+
+def test_op3_against_brute_force(found):
+    got, docs = found("op3_pii")
+    assert set(got) == set(docs)
+    for i, r in got.items():
+        base = brute.base_spans(docs[i].text)
+        joined = ",".join(f"{k}:{a}:{z}" for k, a, z in base)
+        assert r.base_sha256 == brute.sha256(joined) and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in ("email", "ip", "card", "phone")]
+        spans = [(k, int(a), int(z)) for k, a, z in (x.split(":") for x in r.spans.split(",") if x)]
+        order = {k: n for n, (k, _) in enumerate(brute.PII)}
+        assert set(base) <= set(spans) and spans == sorted(set(spans), key=lambda s: (s[1], order[s[0]])) and all(0 <= a < z <= len(docs[i].text or "") for _, a, z in spans)
+        assert not [s for s in spans for b in base if s not in base and s[1] < b[2] and b[1] < s[2]]
+
+
+def test_op4_against_the_library(spark, found):
+    from mnemoframe.llm import spm
+
+    got, docs = found("op4_sentencepiece")
+    sp = spm._library(spm.model_bytes(spark))
+    for i, r in got.items():
+        ids = sp.encode(docs[i].text or "")
+        assert (r.n_pieces, r.ids_sha256, r.round_trip) == (len(ids), brute.sha256(",".join(map(str, ids))), sp.decode(ids) == (docs[i].text or ""))
+    assert set(got) == set(docs)
+
+
+def test_op5_against_brute_force(found):
+    got, docs = found("op5_simhash_dedup")
+    fps = [(i, brute.fingerprint(r.text)) for i, r in sorted(docs.items())]
+    least = brute.components(fps)
+    assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{f:016x}", least[i]) for i, f in fps}
+
+
+def test_op6_against_brute_force(found):
+    """Counts and base score by the definition; the model's score must be a probability and beat the base where the model hasn't trained."""
+    import math
+
+    got, docs = found("op6_lm_score")
+    tokens = {i: [*brute.SPACED.findall(brute.lower_ascii(r.text)), "\n"] for i, r in docs.items()}
+    count: dict = {}
+    for i, own in tokens.items():
+        for w in own if not brute.held_out(i) else ():
+            count[w] = count.get(w, 0) + 1
+    total, distinct = sum(count.values()), len(count)
+    for i, r in got.items():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (brute.held_out(i), len(tokens[i]), sum(w in count for w in tokens[i]), total)
+        assert math.isclose(r.base_score, sum(math.log10((count.get(w, 0) + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens[i]), rel_tol=1e-9) and r.score <= 0
+    assert set(got) == set(docs)
+    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+
+
+def test_op7_against_brute_force(found):
+    got, docs = found("op7_line_dedup")
+    order = sorted(docs.items())
+    for (i, r), text in zip(order, brute.line_dedup([(i, r.text) for i, r in order]), strict=True):
+        assert (got[i].text_sha256, got[i].n_chars, got[i].n_lines) == (brute.sha256(text), len(text), len(r.text.split("\n")))
+        assert got[i].n_lines - got[i].n_dropped == (len(text.split("\n")) if text or got[i].n_dropped < got[i].n_lines else 0)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
     from mnemoframe.llm.common import materialize, table
