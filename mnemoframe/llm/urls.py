@@ -1,8 +1,9 @@
 """URL filter: host and path rules first, then a list of canonical URLs behind a blocked Bloom filter.
 
-Everything is DataFrame code. The list is turned into a table of Bloom blocks (256 bits in four longs, two bits set in
-each), keyed by block number. URLs are joined with their block; only those whose bits are all set go on to the exact hash
-join with the list, which removes false positives.
+Everything is DataFrame code. The list becomes blocks of a Bloom filter: 256 bits in four longs, two bits set in each long. While all
+blocks have at most FILTER_BYTES, they are one row, broadcast as an array in which each URL looks its block up, so that URLs aren't
+shuffled for the filter; beyond it URLs are joined with their block, both sides salted. Only URLs whose bits are all set
+go on to the exact hash join with the list, which removes false positives.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemoframe.llm.common import materialize
+
 #: (verdict, host, path) of the standard rules.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("allow", "org", "/"),
@@ -24,6 +27,13 @@ RULES: tuple[tuple[str, str, str], ...] = (
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 #: More rules than this belong in a table, not in an expression.
 MAX_RULES = 1000
+#: Of a filter that is broadcast: some 8 million URLs at 16 bits each.
+FILTER_BYTES = 16 << 20
+#: Listed URLs up to which the exact join broadcasts them.
+BROADCAST_URLS = 50_000
+#: Parts that a block's URLs are dealt to where blocks are joined by a shuffle, as one URL may be a third of all rows.
+SALT = 16
+BITS_PER_URL = 16
 
 
 def host_of(url: Column) -> Column:
@@ -63,50 +73,72 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.coalesce(*found), F.coalesce(*verdicts)
 
 
-def _bits() -> list[Column]:
-    """Four longs with two bits each, taken from the hash in ``_h``."""
-    bit = lambda s: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_h, {s}) & 63 as int))")
-    return [bit(12 * i).bitwiseOR(bit(12 * i + 6)).alias(f"_b{i}") for i in range(4)]
+def _bits(h: Column) -> list[Column]:
+    """Four longs with two bits each, taken from a hash."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, k).bitwiseAND(63).cast("int"))
+    return [bit(12 * i).bitwiseOR(bit(12 * i + 6)) for i in range(4)]
 
 
-def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, m0..m3) of distinct ``_url`` values."""
-    keyed = listed.select(_block("_url", n_blocks), F.xxhash64("_url", F.lit("bits")).alias("_h"))
-    keyed = keyed.select("_block", *_bits())
-    return keyed.groupBy("_block").agg(*[F.bit_or(f"_b{i}").alias(f"_m{i}") for i in range(4)])
+def _block(url: Column, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), url), F.lit(n_blocks))
 
 
-def _block(url: str, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("block"), F.col(url)), F.lit(n_blocks)).alias("_block")
+def _hash(url: Column) -> Column:
+    return F.xxhash64(url, F.lit("bits"))
+
+
+def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, m0..m3) of the values of column u; blocks without any are left out."""
+    keyed = listed.select(_block(F.col("u"), n_blocks).alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(_bits(_hash(F.col("u"))))])
+    return keyed.groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"m{i}") for i in range(4)])
+
+
+def possible(rows: DataFrame, listed: DataFrame, count: int, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """``rows`` with possible: whether the URL in column u may be one of the ``count`` listed ones. A null u isn't."""
+    n_blocks = max(1, -(-count * BITS_PER_URL // 256))
+    blocks = bloom_blocks(listed, n_blocks)
+    bits = _bits(_hash(F.col("u")))
+    if n_blocks * 32 <= filter_bytes:
+        every = listed.sparkSession.range(n_blocks).withColumnRenamed("id", "block").join(blocks, "block", "left")
+        longs = F.struct("block", F.array(*[F.coalesce(f"m{i}", F.lit(0).cast("bigint")) for i in range(4)]).alias("m"))
+        whole = every.agg(F.flatten(F.transform(F.array_sort(F.collect_list(longs)), lambda x: x["m"])).alias("_filter"))  # one row of at most filter_bytes
+        at = (_block(F.col("u"), n_blocks) * 4).cast("int")
+        inside = F.lit(True)
+        for i in range(4):
+            inside = inside & (F.get("_filter", at + i).bitwiseAND(bits[i]) == bits[i])
+        return rows.crossJoin(F.broadcast(whole)).withColumn("possible", F.col("u").isNotNull() & inside).drop("_filter")
+    own = rows.where("u is not null").withColumns({"block": _block(F.col("u"), n_blocks), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")})
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    inside = F.lit(True)
+    for i in range(4):
+        inside = inside & (F.col(f"m{i}").bitwiseAND(bits[i]) == bits[i])
+    found = own.join(salted, ["block", "salt"], "left").select(*rows.columns, F.coalesce(inside, F.lit(False)).alias("possible"))
+    return found.unionByName(rows.where("u is null").withColumn("possible", F.lit(False)))
 
 
 def filter_urls(
-    urls: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", bits_per_url: int = 16
+    urls: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", filter_bytes: int = FILTER_BYTES, broadcast_urls: int = BROADCAST_URLS
 ) -> DataFrame:
     """``urls`` with host, path, canonical_url, rule, verdict and listed.
 
     urls: any columns with a URL column; a column that has the name of a new one is replaced.
     listed: one column of canonical URLs; nulls, empty strings and repeats are ignored, and it may be empty.
-    A rule's verdict wins; without a rule, listed URLs are blocked and others allowed. A null URL has empty host and path
-    and is allowed. Every input row, repeated or not, gives one row.
+    A rule's verdict wins; without a rule, listed URLs are blocked and others allowed. Of rules as long as each other that fit, the first
+    by verdict, host and path wins. A null URL has empty host and path and is allowed. Every input row, repeated or not, gives one
+    row; very long URLs are taken whole, and an empty table gives no rows.
     """
     new = ("host", "path", "canonical_url", "rule", "verdict", "listed")
-    urls = urls.drop(*new)
-    names = listed.select(F.col(listed.columns[0]).alias("_url")).where("_url is not null and _url <> ''").distinct()
-    n_blocks = max(1, -(-names.count() * bits_per_url // 256))
-    blocks = bloom_blocks(names, n_blocks)
+    cols = [c for c in urls.columns if c not in new]
+    names = materialize(listed.select(F.col(f"`{listed.columns[0]}`").alias("u")).where("u is not null and u <> ''").distinct(), "listed")
+    count = names.count()
+    rows = urls.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.lit(0).alias("none")).alias("r"), F.col(f"`{url}`").alias("url"))
+    rows = rows.select("r", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.nullif(canonical(F.col("url")), F.lit("")).alias("u"))
+    rows = possible(rows, names, count, filter_bytes)
+    exact = names.select(F.col("u").alias("hit"))
+    if count <= broadcast_urls:
+        rows = rows.join(F.broadcast(exact), F.col("possible") & (F.col("u") == F.col("hit")), "left")
+    else:  # what the filter has let through is joined by a shuffle, the others stay where they are
+        rows = rows.where(~F.col("possible")).withColumn("hit", F.lit(None).cast("string")).unionByName(rows.where("possible").join(exact, F.col("u") == F.col("hit"), "left"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    rows = urls.select("*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("canonical_url"))
-    rows = rows.withColumns({"rule": rule, "_ruled": ruled, "_block": _block("canonical_url", n_blocks), "_h": F.xxhash64("canonical_url", F.lit("bits"))})
-    rows = rows.select("*", *_bits()).join(blocks, "_block", "left")
-    inside = F.lit(True)
-    for i in range(4):
-        inside = inside & (F.col(f"_m{i}").bitwiseAND(F.col(f"_b{i}")) == F.col(f"_b{i}"))
-    rows = rows.withColumn("_possible", F.coalesce(inside, F.lit(False)))
-    keep = [*urls.columns, "host", "path", "canonical_url", "rule", "_ruled"]
-    clear = rows.where(~F.col("_possible")).select(*keep, F.lit(False).alias("listed"))
-    exact = names.select(F.col("_url").alias("canonical_url"), F.lit(True).alias("_hit"))
-    hits = rows.where("_possible").select(*keep).join(exact, "canonical_url", "left").select(*keep, F.coalesce("_hit", F.lit(False)).alias("listed"))
-    out = clear.unionByName(hits)
-    verdict = F.coalesce("_ruled", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(*urls.columns, "host", "path", "canonical_url", "rule", verdict.alias("verdict"), "listed")
+    verdict = F.coalesce(ruled, F.when(F.col("hit").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return rows.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)], "host", "path", F.coalesce("u", F.lit("")).alias("canonical_url"), rule.alias("rule"), verdict.alias("verdict"), F.col("hit").isNotNull().alias("listed"))
