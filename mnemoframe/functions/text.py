@@ -94,28 +94,22 @@ def count_matches(c: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0))
 
 
-def snippet_around(value: str | None, start: int, end: int, before: int = 60, after: int = 90) -> str:
-    """What surrounds a hit, cut at spaces."""
-    if not value:
-        return ""
-    left, right = max(start - before, 0), min(end + after, len(value))
-    if left:
-        left = value.rfind(" ", 0, left) + 1
-    if right < len(value):
-        cut = value.find(" ", right)
-        right = len(value) if cut < 0 else cut
-    return " ".join(value[left:right].split())
+def snippets(c: Column, terms: Sequence[str], before: int = 60, after: int = 90) -> Column:
+    """The surroundings of the first hit of any term in each text, cut at spaces; empty without one."""
+    pattern = alternation(terms)
+    # What stands before the hit tells its place in characters; places that patterns give are in UTF-16.
+    hit = F.struct(c.alias("t"), F.length(F.split(c, pattern, 2)[0]).alias("a"), F.length(F.regexp_substr(c, F.lit(pattern))).alias("n"))
 
+    def cut(h: Column) -> Column:
+        whole, low = F.length(h["t"]), F.greatest(h["a"] - before, F.lit(0))
+        back = F.locate(" ", F.reverse(F.substring(h["t"], F.lit(1), low)))  # from the cut to the last space before it
+        left = F.when(back == 0, F.lit(0)).otherwise(low - back + 1)
+        high = F.least(h["a"] + h["n"] + after, whole)
+        space = F.call_function("locate", F.lit(" "), h["t"], high + 1)
+        right = F.when((high < whole) & (space > 0), space - 1).otherwise(whole)
+        return F.when(h["n"].isNotNull(), collapse(F.substring(h["t"], left + 1, right - left)))
 
-def snippets(c: Column, terms: Sequence[str]) -> Column:
-    """The surroundings of the first hit of any term in each text; empty without one."""
-    pattern = re.compile("|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)), re.IGNORECASE)
-
-    def cut(value: str | None) -> str:
-        hit = pattern.search(value) if value else None
-        return snippet_around(value, *hit.span()) if hit else ""
-
-    return _each(c, "string", cut)
+    return F.coalesce(let(hit, cut), F.lit(""))
 
 
 #: Western European letters with accents, and without.
@@ -131,9 +125,10 @@ def slug_of(value: str | None, longest: int = 48) -> str:
 
 
 def slugify(c: Column, longest: int = 48) -> Column:
-    """ASCII words joined by hyphens. Accents go by NFKD, which has no SQL form."""
-
-    return _each(c, "string", lambda v: slug_of(v, longest))
+    """ASCII words joined by hyphens. Accents beyond the Western European ones go by NFKD, which has no SQL form; only texts that have such letters are sent to Python."""
+    plain = "".join(a for a, _ in UMLAUTS) + LATIN[0]
+    other = F.when(c.rlike(f"[^\\x00-\\x7F{plain}]"), c)
+    return F.coalesce(_each(other, "string", lambda v: None if v is None else slug_of(v, longest)), slugify_latin(F.coalesce(c, F.lit("")), longest))
 
 
 def slugify_latin(c: Column, longest: int = 48) -> Column:

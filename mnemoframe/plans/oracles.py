@@ -206,4 +206,9 @@ ORACLE: dict[str, str] = {
         j AS (SELECT *, CASE WHEN sensitivity IS NULL THEN 'claim without a source' WHEN sensitivity = 'copyright' THEN 'claim from foreign material'
           WHEN sensitivity = 'clean' AND ({_EMAIL} OR {_SECRET} OR {_DENY}) THEN 'clean claim holds confidential text' END AS reason FROM c)
         SELECT source || ' k ' || doc_id AS subject, reason FROM j WHERE reason IS NOT NULL""",
+    "snippet_window": f"""WITH {_TERMS}, hit AS (SELECT doc_id, text, arg_min(length(w), pos * 1000 - length(w)) AS n, min(pos) AS a FROM (SELECT doc_id, text, w, strpos(lower(text), w) - 1 AS pos FROM documents, nth) WHERE pos >= 0 GROUP BY doc_id, text),
+        low AS (SELECT *, greatest(a - 60, 0) AS low, least(a + n + 90, length(text)) AS high FROM hit),
+        ends AS (SELECT *, CASE WHEN strpos(reverse(left(text, low)), ' ') = 0 THEN 0 ELSE low - strpos(reverse(left(text, low)), ' ') + 1 END AS l,
+          CASE WHEN high < length(text) AND strpos(substr(text, high + 1), ' ') > 0 THEN high + strpos(substr(text, high + 1), ' ') - 1 ELSE length(text) END AS r FROM low)
+        SELECT d.doc_id, coalesce(trim(regexp_replace(substr(e.text, l + 1, r - l), '\\s+', ' ', 'g')), '') AS snippet FROM documents d LEFT JOIN ends e ON d.doc_id = e.doc_id""",
 }

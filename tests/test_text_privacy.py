@@ -47,10 +47,36 @@ def test_html():
     assert text.plain_text("<p>a &amp; b</p><script>x()</script><br>&lt;b&gt;c") == "a & b\nx()\nc"
 
 
-def test_snippet():
-    long = "wort " * 50 + "treffer " + "ende " * 50
-    got = text.snippet_around(long, long.index("treffer"), long.index("treffer") + 7)
-    assert "treffer" in got and not got.startswith("ort")
+def test_snippets(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    def around(value, terms, before=60, after=90):
+        hit = re.search("|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)), value or "", re.IGNORECASE)
+        if not hit:
+            return ""
+        left, right = max(hit.start() - before, 0), min(hit.end() + after, len(value))
+        left = value.rfind(" ", 0, left) + 1 if left else 0
+        right = right if right == len(value) or (cut := value.find(" ", right)) < 0 and (right := len(value)) else (cut if right < len(value) else right)
+        return " ".join(value[left:right].split())
+
+    rng = random.Random(1)
+    words = ["treffer", "Treffer", "a.b", "x" * 70, "y" * 120, "eins", "zwei\n", "\t", "ü", "😀"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(300)] + [(900, None), (901, ""), (902, "treffer")]
+    terms = ["treffer", "a.b"]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, t string").select("i", text.snippets(F.col("t"), terms).alias("s")).collect()}
+    assert got == {i: around(t, terms) for i, t in rows}
+
+
+def test_slugs_with_other_letters(spark):
+    from pyspark.sql import functions as F
+
+    rows = ["Žluťoučký kůň", "Über Straße", "日本", "", None, "a" * 60, "Café—Olé", "ﬁnal ½"]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(text.slugify(F.col("t")).alias("s")).collect()]
+    assert got == [text.slug_of(t) for t in rows]
+
 
 
 CASES = [
