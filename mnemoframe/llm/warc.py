@@ -6,8 +6,9 @@ shorter than 16 MB; longer ones get an empty member behind them. So a part file
 
 Reader: files are cut into byte ranges, one task row each. A task looks for the gzip magic in its range, decodes what
 follows each candidate as far as the WARC version line to tell true members from chance bytes, and owns the records whose
-member starts inside its range; it reads on behind the range's end to finish the last one. Equal payloads are stored once:
-later ones are revisit records that name the record they repeat.
+member starts inside its range; it reads on behind the range's end to finish the last one. A range may begin inside a record that holds
+an archive itself; what is found there lies inside the span of a record that began before, and goes. Equal payloads are
+stored once: later ones are revisit records that name the record they repeat.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 #: Bytes that a reading task asks for at once, and that it decodes of a candidate at first.
 BLOCK, PROBE = 1 << 20, 512
-RECORD = "file string, start bigint, warc_type string, record_id string, refers_to_id string, target_uri string, payload_digest string, payload_length bigint, payload binary"
+RECORD = "file string, start bigint, end bigint, warc_type string, record_id string, refers_to_id string, target_uri string, payload_digest string, payload_length bigint, payload binary"
 #: Groups of equal payloads up to which they are broadcast (some 10 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -44,9 +45,11 @@ def sha1_base32(payload: Column) -> Column:
 def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """(id, uri, payload, digest, refers_to): of rows with equal payloads of at least ``least_bytes`` bytes, that with the largest id is the response.
 
-    A null payload is empty. Rows that share the largest id are all responses, as are rows without an id.
+    A null payload is empty, as is an empty table's result. Rows that share the largest id are all responses, as are rows without an id.
+    Ids may be whole numbers or anything else, which is ordered as text.
     """
-    rows = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("id"), F.col(f"`{url}`").cast("string").alias("uri"), F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8").alias("payload"))
+    whole = pages.schema[page_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    rows = pages.select(F.col(f"`{page_id}`").cast("bigint" if whole else "string").alias("id"), F.col(f"`{url}`").cast("string").alias("uri"), F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.col("payload")))
     # The groups of repeats alone are joined back: most payloads have none. While there are few, they are broadcast, so that payloads stay where they are.
     winners = rows.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
@@ -57,7 +60,7 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     return rows.join(winners, "digest", "left").select("id", "uri", "payload", "digest", refers.alias("refers_to"))
 
 
-def _member(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, level: int) -> bytes:
+def _member(page_id: int | str | None, uri: str | None, payload: bytes, digest: str, refers_to: int | str | None, level: int) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [
@@ -74,7 +77,7 @@ def _member(page_id: int | None, uri: str | None, payload: bytes, digest: str, r
 
 
 def write_warc(pages: DataFrame, path: str, level: int = 6, **columns) -> None:
-    """Write an archive folder of .txt-named part files, each a sequence of gzip members. ``columns``: see plan_records."""
+    """Write an archive folder of .txt-named part files, each a sequence of gzip members; an empty table gives a folder without records. ``columns``: see plan_records."""
 
     def members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 200):
@@ -148,23 +151,36 @@ def _read_range(f, size: int, start: int, end: int) -> Iterator[dict]:
         if found is None or (record := _record(found[0])) is None:
             at += 1
             continue
-        yield record | {"start": at}
+        yield record | {"start": at, "end": found[1]}
         at = found[1]
 
 
+def inside_others(found: DataFrame, range_bytes: int) -> DataFrame:
+    """(file, start) of records that start inside the span of another one.
+
+    Inside a range that can't be, so each range's last record alone matters, where it goes on into ranges behind: some rows a range.
+    """
+    over = found.select("file", "start", "end").withColumn("r", F.expr(f"start div {range_bytes}L")).where(F.expr(f"end > (r + 1) * {range_bytes}L"))
+    covered = over.select("file", F.explode(F.expr(f"sequence(r + 1, (end - 1) div {range_bytes}L)")).alias("r"), F.col("end").alias("until"))
+    covered = covered.groupBy("file", "r").agg(F.max("until").alias("until"))
+    starts = found.select("file", "start", F.expr(f"start div {range_bytes}L").alias("r"))
+    return starts.join(covered, ["file", "r"]).where("start < until").select("file", "start")
+
+
 def read_warc(spark: SparkSession, path: str, range_bytes: int = 16 << 20, payloads: bool = True) -> DataFrame:
     """The records of all files under ``path``, which may be any gzip-per-record WARC files: the columns of RECORD.
 
     payloads: False leaves that column null once length and digest are taken from it.
     A revisit has no payload; its length is that of its HTTP header. An empty folder gives no rows; bytes that aren't
-    members are skipped. One row of input is one range, so tasks follow the archive's size, not its number of files.
+    members are skipped. One row of input is one range, so tasks follow the archive's size, not its number of files. The rows
+    are the same whatever ``range_bytes``. What the tasks find is written to the shared folder once.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     steps = F.explode(F.expr(f"sequence(0L, length - 1, {range_bytes}L)")).alias("start")
     ranges = files.where("length > 0").select("path", "length", steps).selectExpr("path", "length", "start", f"least(start + {range_bytes}L, length) as end")
     ranges = ranges.repartition(max(1, min(ranges.count(), 100_000)), F.xxhash64("path", "start"))
     names = [c.split()[0] for c in RECORD.split(", ")]
-    kinds = {"start": pa.int64(), "payload_length": pa.int64(), "payload": pa.binary()}
+    kinds = {"start": pa.int64(), "end": pa.int64(), "payload_length": pa.int64(), "payload": pa.binary()}
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -182,7 +198,12 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = 16 << 20, paylo
                     if rows:
                         yield pa.RecordBatch.from_pydict({n: pa.array([x[n] for x in rows], kinds.get(n, pa.string())) for n in names})
 
-    return ranges.mapInArrow(read, RECORD)
+    found = materialize(ranges.mapInArrow(read, RECORD), "records")
+    inner = materialize(inside_others(found, range_bytes), "inner_records")
+    n = inner.count()
+    if not n:
+        return found
+    return found.join(F.broadcast(inner) if n <= BROADCAST_ROWS else inner, ["file", "start"], "left_anti").select(*names)
 
 
 def round_trip(pages: DataFrame, payloads: bool = True, **columns) -> DataFrame:
