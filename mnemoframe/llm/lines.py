@@ -20,20 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemoframe.llm.common import batches, materialize
 from mnemoframe.llm.filters import HashBitmap
 from mnemoframe.llm.hashing import _BASE, _BASE_INV, mix, powers
 
-#: Shorter lines are compared exactly only: one edit makes another word of them.
+#: Characters of a line to each edit that it may have: the bound is a twentieth of the line, at most one edit. What is shorter
+#: meets its equals only: one edit makes another word, number or mark of it.
 MIN_FUZZY = 20
 SEGMENTS = 4
 #: Characters hashed at once, but for a longer line.
 ROOM = 1 << 19
 #: Up to so many shared hashes the bitmap is all but exact; more are joined by a shuffle.
 BITMAP_HASHES = 4_000_000
-PLACE = "struct<order:bigint, text_hash:bigint, line:int>"
-PLACE_ARROW = pa.struct([("order", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 
 
 class Hashed:
@@ -122,7 +122,15 @@ def _identity(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x in lines), np.int64).reshape(-1, 2)
 
 
+def _place(texts: DataFrame) -> tuple[str, pa.DataType]:
+    """A place's type, by that of the order."""
+    order = texts.schema["_order"].dataType
+    return f"struct<order:{order.simpleString()}, text_hash:bigint, line:int>", pa.struct([("order", to_arrow_type(order)), ("text_hash", pa.int64()), ("line", pa.int32())])
+
+
 def _lines(texts: DataFrame, m: int, least: int | None) -> DataFrame:
+    place, kind = _place(texts)
+
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 500):
             for places, lines in _split(b):
@@ -132,14 +140,15 @@ def _lines(texts: DataFrame, m: int, least: int | None) -> DataFrame:
                     keys = segment_keys([x for x, y in zip(lines, long, strict=True) if y], m)
                 bounds = np.concatenate([[0], np.cumsum(long * 2 * m)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(places, PLACE_ARROW), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))], names=["place", "h1", "h2", "keys"]
+                    [pa.array(places, kind), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))], names=["place", "h1", "h2", "keys"]
                 )
 
-    return texts.mapInArrow(rows, f"place {PLACE}, h1 bigint, h2 bigint, keys array<bigint>")
+    return texts.mapInArrow(rows, f"place {place}, h1 bigint, h2 bigint, keys array<bigint>")
 
 
 def _near_lines(texts: DataFrame, shared: DataFrame, m: int, least: int) -> DataFrame:
     """(place, segs, text): each different line that shares a hash, at its earliest place."""
+    place, kind = _place(texts)
     known = HashBitmap(shared.select(F.col("key").alias("h")))
     exact = known.count > BITMAP_HASHES
 
@@ -158,11 +167,11 @@ def _near_lines(texts: DataFrame, shared: DataFrame, m: int, least: int) -> Data
                 if own:
                     h = _identity(own)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([places[at[i]] for i in near], PLACE_ARROW), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([np.flatnonzero(hit[i]).tolist() for i in near], pa.list_(pa.int32())), pa.array([keys[i][hit[i]] for i in near], pa.list_(pa.int64())), pa.array(own, pa.string())],
+                        [pa.array([places[at[i]] for i in near], kind), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([np.flatnonzero(hit[i]).tolist() for i in near], pa.list_(pa.int32())), pa.array([keys[i][hit[i]] for i in near], pa.list_(pa.int64())), pa.array(own, pa.string())],
                         names=["place", "h1", "h2", "segs", "keys", "text"],
                     )
 
-    found = texts.mapInArrow(rows, f"place {PLACE}, h1 bigint, h2 bigint, segs array<int>, keys array<bigint>, text string")
+    found = texts.mapInArrow(rows, f"place {place}, h1 bigint, h2 bigint, segs array<int>, keys array<bigint>, text string")
     found = found.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("segs").alias("segs"), F.first("keys").alias("keys"), F.first("text").alias("text"))
     if exact:  # the bitmap is too full to be all but exact
         found = materialize(found, "near_candidates")
@@ -199,7 +208,7 @@ def _fuzzy_drops(near: DataFrame, m: int) -> DataFrame:
             good = [within_one(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_()))], names=["place"])
 
-    return both.select("place", "a", "b").mapInArrow(verify, f"place {PLACE}").distinct()
+    return both.select("place", "a", "b").mapInArrow(verify, f"place {near.schema["place"].dataType.simpleString()}").distinct()
 
 
 def dedup_lines(
@@ -207,7 +216,7 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` without lines that come after an equal one, or one within an edit, anywhere in the corpus.
 
-    Order: doc_id (null ids last; different texts of one id by their hash), then line. Rows that repeat both id and text
+    Order: doc_id (whole numbers, or anything else as text; null ids last; different texts of one id by their hash), then line. Rows that repeat both id and text
     have the same places and lose the same lines. A line goes if any earlier line is within ``max_edits`` (0 or 1) edits,
     whether that one stays or not; lines under ``min_fuzzy`` characters only go for an equal one. Lines without a word
     stay. The others are joined by \\n again; a text that loses all its lines becomes empty, and a column ``n_chars``, if
@@ -217,7 +226,8 @@ def dedup_lines(
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     cols = [c for c in docs.columns if not (report and c in ("n_lines", "n_dropped"))]
-    order = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit((1 << 63) - 1))
+    whole = docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    order = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit((1 << 63) - 1)) if whole else F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("\U0010ffff"))
     named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], order.alias("_order"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
     at = f"_c{cols.index(text)}"
     texts = named.select("_order", "_hash", at)
@@ -226,7 +236,7 @@ def dedup_lines(
     first = materialize(first, "repeated")  # read back, it is joined by a shuffle of its own, whose large partitions can be split
     drops = lines.select("h1", "h2", "place").join(first, ["h1", "h2"]).where("place <> least").select("place")
     if max_edits:
-        keys = lines.select(F.explode("keys").alias("key"), F.hash("h1", "h2").alias("h"))
+        keys = lines.select(F.explode("keys").alias("key"), F.col("h1").alias("h"))
         shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("key")
         shared = materialize(shared, "shared_keys")
         # What repeats a line that goes here has gone already: it isn't the earliest of its equals.
