@@ -38,6 +38,15 @@ SPACE = "▁"
 State = tuple[int, str]  #: (end, piece): a piece that covers the character before a cut; end is relative to the cut
 
 
+def check_model(model: model_pb.ModelProto) -> None:
+    """That the scan can encode with the model, whatever the texts."""
+    spec, norm, piece = model.trainer_spec, model.normalizer_spec, model_pb.ModelProto.SentencePiece
+    if spec.model_type != model_pb.TrainerSpec.BPE or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or spec.treat_whitespace_as_suffix:
+        raise ValueError("splitting texts needs a BPE model without normalisation; giant=None leaves all texts whole")
+    if any(p.type in (piece.USER_DEFINED, piece.UNUSED) for p in model.pieces):
+        raise ValueError("splitting texts needs a model without user-defined and unused pieces; giant=None leaves all texts whole")
+
+
 class BpeLattice:
     """What the lattice needs of a BPE model."""
 
@@ -45,10 +54,7 @@ class BpeLattice:
         model = model_pb.ModelProto()
         model.ParseFromString(proto)
         spec, norm = model.trainer_spec, model.normalizer_spec
-        if spec.model_type != model_pb.TrainerSpec.BPE or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or spec.treat_whitespace_as_suffix:
-            raise ValueError("giant texts need a BPE model without normalisation")
-        if any(p.type in (model_pb.ModelProto.SentencePiece.USER_DEFINED, model_pb.ModelProto.SentencePiece.UNUSED) for p in model.pieces):
-            raise ValueError("giant texts need a model without user-defined and unused pieces")
+        check_model(model)
         self.prefix = SPACE if norm.add_dummy_prefix else ""
         self.score = {p.piece: p.score for p in model.pieces if p.type == model_pb.ModelProto.SentencePiece.NORMAL}
         self.id = {p.piece: i for i, p in enumerate(model.pieces)}
@@ -102,7 +108,7 @@ class BpeLattice:
                 out.append(i)
             elif self.byte:
                 out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
+            elif out[-1:] != [self.unknown]:  # a run of unknown characters is one piece
                 out.append(self.unknown)
         return out
 
@@ -213,7 +219,9 @@ def _giant_ids(giants: DataFrame, proto: bytes, chunk: int) -> DataFrame:
         prefix = [states[0]]
         for m in states[1:]:
             prefix.append(product(prefix[-1], m))
-        now = next(j for j, r in enumerate(prefix[-1]) if r)
+        now = next((j for j, r in enumerate(prefix[-1]) if r), None)
+        if now is None:
+            raise ValueError("no path of weight 0 through a text: it isn't one that the model encodes piece by piece")
         out = [now]
         for m, before in zip(reversed(states[1:]), reversed(prefix[:-1]), strict=True):
             now = next(k for k in m[now] if before[k])
@@ -251,20 +259,29 @@ def _giant_ids(giants: DataFrame, proto: bytes, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c["row"], pa.int64()), pa.array(c["chunk"], pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["row", "chunk", "ids"])
 
     traced = dealt.join(known, ["row", "chunk"]).select("row", "chunk", "part", "low", "high", "entry", "leave").mapInArrow(trace, "row bigint, chunk int, ids array<int>")
-    return traced.groupBy(F.col("row").alias("_row")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("_ids"))
+    whole_ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"]))
+    out = traced.groupBy(F.col("row").alias("_row")).agg(whole_ids.alias("_ids"))
+    if not lattice.byte:  # runs of unknown characters may go on behind a cut
+        u = F.lit(lattice.unknown)
+        out = out.withColumn("_ids", F.filter("_ids", lambda x, i: (x != u) | (i == 0) | (F.get("_ids", i - 1) != u)))
+    return out
 
 
-def _coded(docs: DataFrame, proto: bytes, text: str, giant: int, chunk: int, back: bool) -> tuple[DataFrame, list[str]]:
+def _coded(docs: DataFrame, proto: bytes, text: str, giant: int | None, chunk: int, back: bool) -> tuple[DataFrame, list[str]]:
     """``docs`` with numbered columns, _ids and, if ``back`` is asked for, _decoded; and the numbered columns' names."""
+    if giant is not None:
+        check_model(model_pb.ModelProto.FromString(proto))
     named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{text}`").alias("_text"))
     own = [c for c in named.columns if c != "_text"]
-    big = F.coalesce(F.length("_text") >= giant, F.lit(False))
+    big = F.lit(False) if giant is None else F.coalesce(F.length("_text") >= giant, F.lit(False))
 
     def plain(texts: list[str | None]) -> dict:
         ids = _library(proto).encode([t or "" for t in texts], num_threads=1)
         return {"_ids": ids} | ({"_decoded": _library(proto).decode(ids)} if back else {})
 
     small = add_columns(named.where(~big), "_text", "_ids array<int>" + ", _decoded string" * back, plain, own, rows=500)
+    if giant is None:
+        return small, own
     giants = materialize(named.where(big).withColumn("_row", F.monotonically_increasing_id()), "giants")
     if not giants.take(1):
         return small, own
@@ -272,9 +289,10 @@ def _coded(docs: DataFrame, proto: bytes, text: str, giant: int, chunk: int, bac
     return small.unionByName(decode(coded, proto, "_ids", "_decoded") if back else coded), own
 
 
-def encode(docs: DataFrame, proto: bytes, text: str = "text", ids: str = "ids", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, proto: bytes, text: str = "text", ids: str = "ids", giant: int | None = GIANT, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with the piece ids of ``text``, as the library gives them; null and empty texts have none.
 
+    Texts of ``giant`` characters or more are split; a model that this can't be done with is an error before any text is read, unless giant is None.
     Every row, repeated or not, gives one row; an input column named ``ids`` is replaced.
     """
     coded, own = _coded(docs, proto, text, giant, chunk, back=False)
@@ -286,7 +304,7 @@ def decode(coded: DataFrame, proto: bytes, ids: str = "ids", text: str = "decode
     return add_columns(coded, ids, f"`{text}` string", lambda rows: {text: _library(proto).decode([r or [] for r in rows])}, rows=500)
 
 
-def round_trip(docs: DataFrame, proto: bytes, text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def round_trip(docs: DataFrame, proto: bytes, text: str = "text", giant: int | None = GIANT, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ids, decoded and same (the decoded text is the text), replacing columns of these names.
 
     A text that has U+2581 itself comes back with spaces there. Ordinary texts are encoded and decoded in one pass.
