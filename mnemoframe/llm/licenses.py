@@ -8,6 +8,7 @@ map literal and a list of conditions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,13 +41,45 @@ SENTENCES: dict[str, str] = {
     "ccbync4.notice": "licensed under cc by nc 4 0",
     "ccby4.short": "licensed under cc by 4 0",
     "rights.reserved": "all rights reserved",
+    "apache2.basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache2.see": "see the license for the specific language governing permissions and limitations under the license",
+    "mit.include": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit.liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "gpl.hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl.see": "see the gnu general public license for more details",
+    "gpl.copy": "you should have received a copy of the gnu general public license along with this program",
+    "lgpl.hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl.see": "see the gnu lesser general public license for more details",
+    "agpl.see": "see the gnu affero general public license for more details",
+    "lgpl21.notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3.notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3.notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "bsd.source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd.binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd.warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "mpl2.copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "isc.warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "unlicense.domain": "this is free and unencumbered software released into the public domain",
+    "unlicense.free": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "cc0.notice": "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl1.notice": "distributed under the boost software license version 1 0",
 }
 #: Fixed values: (licence, sequence of identifiers) in the order in which they are tried. The first that fits names the licence.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache2.notice", "apache2.use", "apache2.copy")),
+    ("MIT", ("mit.grant", "mit.include", "mit.warranty")),
     ("MIT", ("mit.grant", "mit.warranty")),
+    ("BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd3.endorse")),
     ("BSD-3-Clause", ("bsd.redistribution", "bsd3.endorse")),
+    ("BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.warranty")),
     ("BSD-2-Clause", ("bsd.redistribution",)),
+    ("Unlicense", ("unlicense.domain", "unlicense.free")),
+    ("MPL-2.0", ("mpl2.notice", "mpl2.copy")),
+    ("ISC", ("isc.grant", "isc.warranty")),
+    ("AGPL-3.0", ("agpl3.notice",)),
+    ("LGPL-3.0", ("lgpl3.notice",)),
+    ("LGPL-2.1", ("lgpl21.notice",)),
     ("Apache-2.0", ("apache2.work",)),
     ("Apache-2.0", ("apache2.released",)),
     ("Apache-2.0", ("apache2.notice",)),
@@ -66,8 +99,19 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-SA-4.0", ("ccbysa4.notice",)),
     ("CC-BY-NC-4.0", ("ccbync4.notice",)),
     ("CC-BY-4.0", ("ccby4.short",)),
+    ("Unlicense", ("unlicense.domain",)),
+    ("CC0-1.0", ("cc0.notice",)),
+    ("Zlib", ("zlib.grant",)),
+    ("BSL-1.0", ("bsl1.notice",)),
     ("proprietary", ("rights.reserved",)),
 )
+#: Licences that a file may name in one line; sentences and rules for them follow from the names.
+NAMED = (
+    "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Zlib", "BSL-1.0", "EPL-2.0", "0BSD", "MIT-0", "PostgreSQL", "Python-2.0", "EUPL-1.2",
+)
+SENTENCES |= {f"spdx.{n}": "spdx license identifier " + re.sub("[^a-z0-9]+", " ", n.lower()) for n in NAMED}
+RULES += tuple((n, (f"spdx.{n}",)) for n in NAMED)
 _MIT = SENTENCES["mit.grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
 _GPL = SENTENCES["gpl.redistribute"] + " as published by the free software foundation"
 _USE = "version 2 0 the license you may not use this file except in compliance with the license"
@@ -76,6 +120,7 @@ WHOLE: dict[str, str] = {
     "licensed under the apache license " + _USE: "apache2.notice,apache2.use",
     "the asf licenses this file to you under the apache license " + _USE: "apache2.notice,apache2.use",
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2.copy",
+    SENTENCES["mpl2.copy"].replace("https", "http"): "mpl2.copy",
     _MIT: "mit.grant",
     SENTENCES["mit.warranty"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit.warranty",
     **{f"{_GPL} {either}version {n} of the license{later}": f"gpl.redistribute,gpl{n}.notice" for n in (2, 3) for either in ("", "either ") for later in ("", " or at your option any later version")},
@@ -83,7 +128,7 @@ WHOLE: dict[str, str] = {
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
 }
 #: Every known sentence has one of these, so that other texts needn't be cut up.
-ANCHORS = "licen|permission|warranty|redistribut|endorse|reserved"
+ANCHORS = "licen|permission|warrant|distribut|endorse|reserved|liab|public domain"
 
 
 def marked(text: Column) -> Column:
@@ -119,18 +164,19 @@ def scan_licenses(
     ids_of = {v: k for k, v in sentences.items()} | {v: k for v, k in whole.items() if all(i in sentences for i in k.split(","))}
     if missing := [v for v in ids_of if not any(a in v for a in ANCHORS.split("|"))]:
         raise ValueError(f"known sentences without an anchor: {missing}")
-    docs = docs.drop("license_sentences", "licenses", "license", "n_license_sentences")
+    cols = [c for c in docs.columns if c not in ("license_sentences", "licenses", "license", "n_license_sentences")]
     known = F.create_map(*[F.lit(x) for pair in ids_of.items() for x in pair])
-    found = F.regexp_extract_all(marked(F.col(text)), F.lit(_pattern(ids_of)), F.lit(0))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.lit(0).alias("none")).alias("r"), F.col(f"`{text}`").alias("t"))
+    found = F.regexp_extract_all(marked(F.col("t")), F.lit(_pattern(ids_of)), F.lit(0))
     ids = F.flatten(F.transform(found, lambda s: F.split(F.element_at(known, F.translate(s, "L", " ")), ",")))
-    rows = docs.withColumn("_ids", F.when(F.lower(text).rlike(ANCHORS), ids).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("_seq", F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(",")))
-    fits = [F.when(F.contains(F.col("_seq"), F.lit("," + ",".join(seq) + ",")), F.lit(name)) for name, seq in rules]
-    rows = rows.withColumn("_found", F.when(F.size("_ids") > 0, F.array_distinct(F.array_compact(F.array(*fits)))).otherwise(F.array().cast("array<string>")))
+    rows = rows.select("r", F.when(F.lower("t").rlike(ANCHORS), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
+    rows = rows.withColumn("seq", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
+    fits = [F.when(F.contains(F.col("seq"), F.lit("," + ",".join(seq) + ",")), F.lit(name)) for name, seq in rules]
+    rows = rows.withColumn("found", F.when(F.size("ids") > 0, F.array_distinct(F.array_compact(F.array(*fits)))).otherwise(F.array().cast("array<string>")))
     return rows.select(
-        *docs.columns,
-        F.array_join("_ids", ",").alias("license_sentences"),
-        F.array_join("_found", ",").alias("licenses"),
-        F.try_element_at("_found", F.lit(1)).alias("license"),
-        F.size("_ids").cast("bigint").alias("n_license_sentences"),
+        *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)],
+        F.array_join("ids", ",").alias("license_sentences"),
+        F.array_join("found", ",").alias("licenses"),
+        F.try_element_at("found", F.lit(1)).alias("license"),
+        F.size("ids").cast("bigint").alias("n_license_sentences"),
     )

@@ -573,7 +573,10 @@ You may obtain a copy of the License at
     http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software
-distributed under the License is distributed on an "AS IS" BASIS."""
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
 MIT = """MIT License
 
 Copyright (c) 2020 Some Author
@@ -591,22 +594,48 @@ copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
 GPL = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or
 (at your option) any later version.
 
-This program is distributed in the hope that it will be useful."""
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
-1. Redistributions of source code must retain the above copyright notice.
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
 
 3. Neither the name of the copyright holder nor the names of its
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
-"""
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+BSD2 = BSD[: BSD.index("3. Neither")] + BSD[BSD.index("THIS SOFTWARE") :]
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
@@ -615,9 +644,12 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
 def test_wrapped_licenses(spark, mark):
     wants = [
-        (APACHE, "apache2.notice,apache2.use,apache2.copy", "Apache-2.0"), (APACHE.replace("http:", "https:"), "apache2.notice,apache2.use,apache2.copy", "Apache-2.0"), (MIT, "mit.grant,mit.warranty", "MIT"),
-        (GPL, "gpl.redistribute,gpl3.notice", "GPL-3.0,GPL"), (GPL.replace("version 3", "version 2"), "gpl.redistribute,gpl2.notice", "GPL-2.0,GPL"), (BSD, "bsd.redistribution,bsd3.endorse", "BSD-3-Clause,BSD-2-Clause"),
-        (MPL, "mpl2.notice", "MPL-2.0"), ("A line\nAll rights\nreserved", "rights.reserved", "proprietary"), ("A title\nReleased under the MIT\nLicense\nMore", "mit.released", "MIT"),
+        (APACHE, "apache2.notice,apache2.use,apache2.copy,apache2.basis,apache2.see", "Apache-2.0"), (APACHE.replace("http:", "https:"), "apache2.notice,apache2.use,apache2.copy,apache2.basis,apache2.see", "Apache-2.0"),
+        (MIT, "mit.grant,mit.include,mit.warranty,mit.liability", "MIT"), (GPL, "gpl.redistribute,gpl3.notice,gpl.hope,gpl.see,gpl.copy", "GPL-3.0,GPL"),
+        (GPL.replace("version 3", "version 2"), "gpl.redistribute,gpl2.notice,gpl.hope,gpl.see,gpl.copy", "GPL-2.0,GPL"), (GPL.replace("General", "Affero General"), "agpl3.notice,gpl.hope,agpl.see", "AGPL-3.0"),
+        (GPL.replace("program", "library").replace("General", "Lesser General"), "lgpl3.notice,lgpl.hope,lgpl.see", "LGPL-3.0"),
+        (BSD, "bsd.redistribution,bsd.source,bsd.binary,bsd3.endorse,bsd.warranty", "BSD-3-Clause,BSD-2-Clause"), (BSD2, "bsd.redistribution,bsd.source,bsd.binary,bsd.warranty", "BSD-2-Clause"),
+        (ISC, "isc.grant,isc.warranty", "ISC"), (MPL, "mpl2.notice,mpl2.copy", "MPL-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "spdx.GPL-2.0-or-later", "GPL-2.0-or-later"), ("A line\nAll rights\nreserved", "rights.reserved", "proprietary"), ("A title\nReleased under the MIT\nLicense\nMore", "mit.released", "MIT"),
         ("Released under the\n\nMIT License", "", ""), ("It is released under the MIT License", "", ""), ("Released under the. MIT License.", "", ""),
     ]
     rows = [(i, "\n".join(mark + line for line in t.split("\n"))) for i, (t, _, _) in enumerate(wants)]
