@@ -15,6 +15,7 @@ from mnemoframe.functions.text import join_query
 from mnemoframe.operators import graph, notes, sync
 from mnemoframe.operators.distill import Rejected, route, show_user_text
 from mnemoframe.plans.engine import Engine
+from mnemoframe.sources import files
 from mnemoframe.sources.registry import READERS
 
 
@@ -49,6 +50,8 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("--include-nda", action="store_true")
     c.add_argument("--ranking", default="fused")
     sub.add_parser("stats")
+    c = sub.add_parser("export", help="documents as Markdown files")
+    c.add_argument("path")
     c = sub.add_parser("timeline")
     c.add_argument("--limit", type=int, default=15)
     c = sub.add_parser("distill")
@@ -90,6 +93,8 @@ def main(args: list[str] | None = None) -> int:
             case "search":
                 since = date.fromisoformat(a.since) if a.since else None
                 show(engine.search(join_query(a.query), limit=a.limit, include_nda=a.include_nda, since=since, source=a.source, project=a.project, ranking=a.ranking))
+            case "export":
+                print(files.export(engine.docs(), a.path), "files")
             case "stats":
                 show(engine.stats())
             case "timeline":

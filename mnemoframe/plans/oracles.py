@@ -90,6 +90,9 @@ old AS (SELECT topic, string_agg(line, '' ORDER BY stated_on DESC, source_doc_id
 src AS (SELECT topic, string_agg('- **' || ref || '** `corpus/' || source_doc_id || '`' || chr(10), '' ORDER BY n) AS lines FROM refs GROUP BY topic)"""
 _SECTION = "coalesce(chr(10) || '## {head}' || chr(10) || chr(10) || {of}.lines || {end}, '')"
 
+_TOLD = r"""told AS (SELECT conv_id::varchar AS conv_id, count(*) AS n_turns, md5(string_agg(role || ':' || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY turn)) AS told_md5
+  FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\S') GROUP BY conv_id)"""
+
 ORACLE: dict[str, str] = {
     "tokenize_tf": f"WITH {_POST} SELECT term, doc_id, tf FROM post",
     "doc_lengths": f"WITH {_LEN} SELECT doc_id, dl::bigint AS dl FROM lens",
@@ -211,4 +214,14 @@ ORACLE: dict[str, str] = {
         ends AS (SELECT *, CASE WHEN strpos(reverse(left(text, low)), ' ') = 0 THEN 0 ELSE low - strpos(reverse(left(text, low)), ' ') + 1 END AS l,
           CASE WHEN high < length(text) AND strpos(substr(text, high + 1), ' ') > 0 THEN high + strpos(substr(text, high + 1), ' ') - 1 ELSE length(text) END AS r FROM low)
         SELECT d.doc_id, coalesce(trim(regexp_replace(substr(e.text, l + 1, r - l), '\\s+', ' ', 'g')), '') AS snippet FROM documents d LEFT JOIN ends e ON d.doc_id = e.doc_id""",
+    "claude_code_documents": f"WITH {_TOLD} SELECT conv_id, 'p' || (conv_id::int % 5) AS project, n_turns, told_md5 FROM told",
+    "codex_documents": f"WITH {_TOLD} SELECT conv_id, 'p' || (conv_id::int % 3) AS project, n_turns, told_md5 FROM told",
+    "chatgpt_documents": f"WITH {_TOLD} SELECT conv_id, 'chatgpt' AS project, n_turns, told_md5 FROM told",
+    "rendered_documents": f"WITH {_TOLD} SELECT conv_id, 'chatgpt' AS project, n_turns, told_md5 FROM told",
+    "note_documents": f"""SELECT CASE WHEN toxic = 1 THEN 'private/' ELSE 'notes/' END || lang || '/' || d.doc_id || '.md' AS conv_id, 'Note ' || d.doc_id AS title, 'p' || source AS project, DATE '2024-01-01' + (d.doc_id % 9)::int AS started_day,
+        CASE WHEN toxic = 1 THEN 'private/' ELSE 'notes/' END || lang AS cwd, 1::bigint AS n_turns, coalesce(toxic = 1, false) OR {_EMAIL} OR {_SECRET} OR {_DENY} AS private FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "changed_chunks": "SELECT doc_id::varchar AS doc_id FROM labels WHERE quality = 0 AND doc_id IN (SELECT doc_id FROM documents)",
+    "removed_sources": "SELECT CASE WHEN o_orderstatus = 'O' THEN 'offen' ELSE 'fakt' END AS kind, count(*) AS claims FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1",
+    "rejected_claims": r"SELECT doc_id::varchar AS source_doc_id FROM documents WHERE coalesce(length(text), 0) < 2000 OR regexp_matches(text, '(?i)^\s*<(scheduled|automated)-task(\s|>)')",
+    "graph_audit_errors": "SELECT 'notes/s' || s_suppkey AS node_id, 1::bigint AS errors FROM supplier WHERE s_suppkey % 7 = 0 OR s_suppkey % 11 = 0",
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from datetime import date
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import privacy, text
@@ -17,6 +17,9 @@ from mnemoframe.operators import index as ix
 from mnemoframe.plans import views
 from mnemoframe.plans.oracles import ORACLE as ORACLE
 from mnemoframe.plans.views import table
+from mnemoframe.sources import notes
+from mnemoframe.sources import registry as sources
+from mnemoframe.sources.files import export, write_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TODAY = date(2024, 2, 15)
@@ -578,3 +581,125 @@ def private_unindexed(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"))
     docs = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, F.lit("memory")).otherwise(F.lit("codex")).alias("source"), F.col("doc_id").cast("string").alias("conv_id"))
     return sync.unindexed_private(files, docs)
+
+
+# ---------------------------------------------------------------- sources: tables as files of each kind, read back
+
+
+def _quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(c.alias("t")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _joined(rows: DataFrame, path: Column, line: Column, between: str = "\n", head: str = "", tail: str = "") -> DataFrame:
+    """(path, content): a conversation's lines in order."""
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    return grouped.select(path.alias("path"), F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), between), F.lit(tail)).alias("content"))
+
+
+def _read_back(spark: SparkSession, source: str, files: DataFrame) -> DataFrame:
+    root = tables.new_path(spark)
+    write_files(files, root)
+    return sources.read(spark, source, root, privacy.Policy())
+
+
+def _told(docs: DataFrame) -> DataFrame:
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return docs.select("conv_id", "project", F.size("turns").cast("bigint").alias("n_turns"), F.md5(F.array_join(said, "\n")).alias("told_md5"))
+
+
+@query
+def claude_code_documents(spark, sf_dir):
+    """Conversations as session logs: plain contents and blocks, system turns that aren't read."""
+    rows = table(spark, sf_dir, "conversations")
+    text_of = _quoted(F.col("text"))
+    content = F.when(F.col("turn") % 2 == 0, text_of).otherwise(F.concat(F.lit('[{"type":"thinking","text":"x"},{"type":"text","text":'), text_of, F.lit("}]")))
+    line = F.concat(F.lit('{"type":"'), F.col("role"), F.lit('","sessionId":"'), F.col("conv_id"), F.lit('","timestamp":"2026-05-01T10:00:00Z","cwd":"/w","message":{"role":"'), F.col("role"), F.lit('","content":'), content, F.lit("}}"))
+    return _told(_read_back(spark, "claude-code", _joined(rows, F.concat(F.lit("p"), F.col("conv_id") % 5, F.lit("/s"), F.col("conv_id"), F.lit(".jsonl")), line)))
+
+
+@query
+def codex_documents(spark, sf_dir):
+    """Conversations as rollouts: event messages count, the same as response items don't."""
+    rows = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    kind = F.when(F.col("role") == "user", F.lit("user_message")).otherwise(F.lit("agent_message"))
+    event = F.concat(F.lit('{"type":"event_msg","timestamp":"2026-05-01T10:00:00Z","payload":{"type":"'), kind, F.lit('","message":'), _quoted(F.col("text")), F.lit("}}"))
+    item = F.concat(F.lit('{"type":"response_item","timestamp":"2026-05-01T10:00:00Z","payload":{"type":"message","role":"'), F.col("role"), F.lit('","content":[{"type":"input_text","text":'), _quoted(F.col("text")), F.lit("}]}}"))
+    lines = F.concat(event, F.lit("\n"), item)
+    head = F.concat(F.lit('{"type":"session_meta","payload":{"id":"'), F.col("conv_id"), F.lit('","cwd":"/home/me/p'), F.col("conv_id") % 3, F.lit('"}}\n'))
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
+    files = _joined(rows.withColumn("first", first), F.concat(F.lit("2026/05/rollout-"), F.col("conv_id"), F.lit(".jsonl")), F.when(F.col("first"), F.concat(head, lines)).otherwise(lines))
+    return _told(_read_back(spark, "codex", files))
+
+
+@query
+def chatgpt_documents(spark, sf_dir):
+    """Conversations as exports: a chain of nodes to the current one, beside a branch that was left."""
+    rows = table(spark, sf_dir, "conversations").where("role <> 'system'").withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    node = lambda i, parent, role, said: F.concat(F.lit('"'), i, F.lit('":{"parent":"'), parent, F.lit('","message":{"author":{"role":"'), role, F.lit('"},"content":{"content_type":"text","parts":['), said, F.lit(']},"create_time":1767225600.0}}'))
+    name = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    line = F.concat(node(name(F.col("turn")), name(F.col("turn") - 1), F.col("role"), _quoted(F.col("text"))), F.lit(","), node(F.concat(F.lit("x"), F.col("turn").cast("string")), name(F.col("turn") - 1), F.col("role"), F.lit('"left"')))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"), F.max("turn").alias("last"))
+    one = F.concat(F.lit('[{"conversation_id":"'), F.col("conv_id"), F.lit('","title":"t","create_time":1767225600.0,"current_node":"n'), F.col("last"), F.lit('","mapping":{"n0":{"parent":null,"message":null},'), F.array_join(F.transform("l", lambda x: x["line"]), ","), F.lit("}}]"))
+    return _told(_read_back(spark, "chatgpt", grouped.select(F.concat(F.lit("chatgpt/conversations-"), F.col("conv_id"), F.lit(".json")).alias("path"), one.alias("content"))))
+
+
+@query
+def note_documents(spark, sf_dir):
+    """Documents as notes with front matter: toxic ones in the private layer."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    path = F.concat(F.when(F.col("toxic") == 1, F.lit("private/")).otherwise(F.lit("notes/")), F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".md"))
+    content = F.concat(F.lit("---\ncreated: 2024-01-0"), F.col("doc_id") % 9 + 1, F.lit("\nproject: 'p"), F.col("source"), F.lit("'\n---\n# Note "), F.col("doc_id"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    docs = _read_back(spark, "memory", rows.select(path.alias("path"), content.alias("content")))
+    return docs.select("conv_id", "title", "project", "started_day", "cwd", F.size("turns").cast("bigint").alias("n_turns"), (F.col("sensitivity") == "nda").alias("private"))
+
+
+@query
+def rendered_documents(spark, sf_dir):
+    """Conversations as Markdown files, read and parsed again."""
+    docs = views.talk_docs(spark, sf_dir).withColumn("doc_id", F.concat("doc_id", F.lit(".md")))
+    root = tables.new_path(spark)
+    export(docs, root)
+    read = spark.read.option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "/([^/]*)$", 1).alias("doc_id"), F.col("value").alias("rendered"))
+    return _told(notes.parse_rendered(read))
+
+
+@query
+def changed_chunks(spark, sf_dir):
+    """Documents whose vectors must be made again: those of low quality have another text than when they were embedded."""
+    docs = views.text_docs(spark, sf_dir)
+    low = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("doc_id"))
+    before = ix.chunk_rows(docs).select("doc_id", "content_key").distinct().join(low.withColumn("_low", F.lit(True)), "doc_id", "left")
+    before = before.select("doc_id", F.when(F.col("_low"), F.lit("old")).otherwise(F.col("content_key")).alias("content_key"))
+    kept = ix.unchanged_vectors(before, docs).select("doc_id")
+    return docs.join(kept, "doc_id", "left_anti").select("doc_id")
+
+
+@query
+def removed_sources(spark, sf_dir):
+    """Claims left when those of some sources are taken out of the store."""
+    claims = views.order_claims(spark, sf_dir)
+    gone = claims.where("kind = 'offen'").select("source_doc_id").distinct()
+    return distill.remove_sources(claims, gone).groupBy("kind").agg(F.count("*").alias("claims"))
+
+
+@query
+def rejected_claims(spark, sf_dir):
+    """Claims of a batch whose source isn't a candidate: documents under 2,000 characters."""
+    candidates = distill.select(views.text_docs(spark, sf_dir), min_prose=0.0, today=TODAY).select("doc_id")
+    batch = _doc_claims(spark, sf_dir)
+    return batch.join(candidates.select(F.col("doc_id").alias("source_doc_id")), "source_doc_id", "left_anti").select("source_doc_id")
+
+
+@query
+def graph_audit_errors(spark, sf_dir):
+    """Suppliers as notes below their nation's note; every seventh names a parent that isn't there, every eleventh has none."""
+    nation, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    head = lambda parent: F.concat(F.lit('---\nparent: "[['), parent, F.lit(']]"\n---\n'))
+    hub = spark.createDataFrame([("BRAIN", "# B\n"), ("notes/projects", '---\nparent: "[[BRAIN]]"\n---\n'), ("private/INDEX", '---\nparent: "[[BRAIN]]"\n---\n')], "node_id string, text string")
+    nodes = nation.select(F.concat(F.lit("notes/n"), "n_nationkey").alias("node_id"), head(F.lit("notes/projects")).alias("text"))
+    up = F.when(F.col("s_suppkey") % 7 == 0, F.lit("notes/nowhere")).otherwise(F.concat(F.lit("notes/n"), F.col("s_nationkey")))
+    body = F.when(F.col("s_suppkey") % 11 == 0, F.lit("no front\n")).otherwise(head(up))
+    nodes = nodes.unionByName(s.select(F.concat(F.lit("notes/s"), "s_suppkey").alias("node_id"), body.alias("text"))).unionByName(hub)
+    return graph.audit(nodes)[1].groupBy("node_id").agg(F.count("*").alias("errors"))

@@ -119,3 +119,21 @@ def test_render_round_trip(spark, docs_of):
 def test_unknown_source(spark):
     with pytest.raises(ValueError):
         registry.read(spark, "nope", "x", POLICY)
+
+
+def test_file_sink(spark, tmp_path, docs_of):
+    from conftest import make_doc, turn
+
+    from mnemoframe.sources import files
+
+    rows = spark.createDataFrame([("a/b.md", "ä\n"), ("c.md", None), ("a/b c[1].md", "x")], "path string, content string").repartition(3)
+    for _ in range(2):
+        assert files.write_files(rows, f"file://{tmp_path}/out") == 3
+    found = {p.relative_to(tmp_path / "out").as_posix(): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert found == {"a/b.md": "ä\n", "c.md": "", "a/b c[1].md": "x"}
+    for bad in ("/etc/x", "a/../x"):
+        with pytest.raises(ValueError):
+            files.write_files(spark.createDataFrame([(bad, "x")], "path string, content string"), f"file://{tmp_path}/out")
+    assert files.write_files(rows.where("false"), f"file://{tmp_path}/out") == 0
+    docs = docs_of([make_doc("codex/2026/a.md", [turn(0, "user", "hallo")])])
+    assert files.export(docs, f"file://{tmp_path}/vault") == 1 and "hallo" in (tmp_path / "vault/codex/2026/a.md").read_text()
