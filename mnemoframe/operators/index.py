@@ -105,15 +105,21 @@ def unchanged_vectors(old: DataFrame, docs: DataFrame) -> DataFrame:
     return old.join(now, ["doc_id", "content_key"], "left_semi")
 
 
+VECTOR_COLUMNS = ["doc_id", "content_key", "chunk_no", "chunk", "embedding"]
+
+
+def missing_vectors(old: DataFrame | None, docs: DataFrame, encoder: Encoder) -> DataFrame:
+    """Vectors of those of ``docs`` whose content key isn't in ``old``."""
+    now = chunk_rows(docs).select(*VECTOR_COLUMNS[:-1])
+    if old is not None:
+        now = now.join(old.select("doc_id", "content_key").distinct(), ["doc_id", "content_key"], "left_anti")
+    return encode(now.select(*VECTOR_COLUMNS[:-1]), encoder).select(*VECTOR_COLUMNS)
+
+
 def update_vectors(old: DataFrame | None, docs: DataFrame, encoder: Encoder) -> DataFrame:
     """Vectors for ``docs``: rows whose document has the same content key are taken from ``old``, only the others are encoded."""
-    now = chunk_rows(docs)
-    cols = ["doc_id", "content_key", "chunk_no", "chunk", "embedding"]
-    if old is None:
-        return encode(now.select(*cols[:-1]), encoder).select(*cols)
-    kept = old.join(now.select("doc_id", "content_key").distinct(), ["doc_id", "content_key"], "left_semi")
-    new = now.join(old.select("doc_id", "content_key").distinct(), ["doc_id", "content_key"], "left_anti")
-    return kept.select(*cols).unionByName(encode(new.select(*cols[:-1]), encoder).select(*cols))
+    new = missing_vectors(old, docs, encoder)
+    return new if old is None else unchanged_vectors(old, docs).select(*VECTOR_COLUMNS).unionByName(new)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -21,6 +21,9 @@ from mnemoframe.sources.notes import note_files
 
 #: Paths that are handed to a reader one by one at most.
 MAX_PATHS = 10_000
+#: Parts of the documents that are embedded one after the other.
+SLICES = 16
+VECTORS = "doc_id string, content_key string, chunk_no int, chunk string, embedding array<float>"
 
 
 @dataclass
@@ -129,11 +132,29 @@ class Engine:
         docs, version = self.docs(), self._manifest()["docs"]
         before = self.spark.read.parquet(f"{self._current('index')}/vectors") if self._has_vectors() else None
         if encoder is not None:
-            vectors = index.update_vectors(before, docs, encoder)
+            vectors = self._embedded(before, docs, encoder)
         else:
             vectors = None if before is None else index.unchanged_vectors(before, docs)
         built = index.build(docs)
         self._publish({"index": lambda p: index.write(index.Index(built.docs, built.postings, built.lengths, vectors), p)}, index_docs=version)
+        if encoder is not None:
+            fs, p = self._fs(f"{self.root}/vectors_pending")
+            fs.delete(p, True)
+
+    def _embedded(self, before: DataFrame | None, docs: DataFrame, encoder: index.Encoder) -> DataFrame:
+        """Vectors of all documents. New ones are made a slice of the documents at a time and kept at once, so that a run which breaks off goes on where it was."""
+        path = f"{self.root}/vectors_pending"
+
+        def so_far() -> DataFrame | None:
+            fs, p = self._fs(path)
+            kept = self.spark.read.schema(VECTORS).parquet(path) if fs.exists(p) else None
+            parts = [x.select(*index.VECTOR_COLUMNS) for x in (before, kept) if x is not None]
+            return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+
+        for i in range(SLICES):
+            part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == i)
+            index.missing_vectors(so_far(), part, encoder).write.mode("append").parquet(path)
+        return index.unchanged_vectors(so_far(), docs).select(*index.VECTOR_COLUMNS)
 
     def index(self, vectors: bool = False) -> index.Index:
         """The index of the documents as they are: one of an older version, which may show what is hidden now, is built anew."""

@@ -271,6 +271,38 @@ def test_index_follows_documents(spark, tmp_path):
     assert strict.search("postgres", ranking="hybrid", encoder=hashed_encoder).count() == 2  # vectors of unchanged documents are kept
 
 
+def test_embedding_goes_on_where_it_broke_off(spark, tmp_path):
+    from test_sources import put, said
+
+    from mnemoframe.plans.registry import hashed_encoder
+
+    logs, broken, calls = tmp_path / "logs", tmp_path / "broken", tmp_path / "calls"
+    for i in range(6):
+        put(logs / "p" / f"s{i}.jsonl", said("user", f"wir nehmen postgres nummer {i} und sonst nichts anderes", sessionId=f"s{i}"))
+    e = Engine(spark, f"file://{tmp_path}/data")
+    e.ingest("claude-code", f"file://{logs}")
+
+    def encoder(texts, query):
+        import uuid
+
+        if any("nummer 3" in t for t in texts) and broken.exists():
+            raise OSError("no model")
+        calls.mkdir(exist_ok=True)
+        (calls / uuid.uuid4().hex).write_text("\n".join(t.replace("\n", " ") for t in texts))
+        return hashed_encoder(texts, query)
+
+    broken.write_text("")
+    with pytest.raises(Exception, match="no model"):
+        e.reindex(encoder)
+    broken.unlink()
+    e.reindex(encoder)
+    made = [line for f in calls.iterdir() for line in f.read_text().split("\n")]
+    assert len(made) == len(set(made)) == 6
+    assert e.index(vectors=True).vectors.count() == 6 and e.search("postgres", ranking="hybrid", encoder=encoder).first().ranking == "hybrid"
+    e.reindex(encoder)
+    assert len(list(calls.iterdir())) == len(made) + 1  # the query alone
+
+
 def test_incremental_ingest(spark, tmp_path):
     from test_sources import put, said
 
