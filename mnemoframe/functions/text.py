@@ -43,10 +43,19 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def raw_words(c: Column) -> Column:
+    """Lower-case words of letters and digits; repeats stay."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0)
+
+
+def is_term(word: Column) -> Column:
+    """Longer than one character and no function word."""
+    return (F.length(word) > 1) & ~word.isin(*STOPWORDS)
+
+
 def tokenize(c: Column) -> Column:
-    """Lower-case words of letters and digits, longer than one character and no function words; repeats stay."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0)
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
+    """The words of a text that are terms, in order."""
+    return F.filter(raw_words(c), is_term)
 
 
 def doc_tokens(title: Column, body: Column) -> Column:

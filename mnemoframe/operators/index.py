@@ -33,10 +33,11 @@ def from_documents(docs: DataFrame, source: str = "source") -> DataFrame:
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", title: Column | None = None, body: Column | None = None) -> DataFrame:
-    """(term, doc_id, tf). Counts are combined inside each task before they are shuffled."""
-    title = F.lit("") if title is None else title
-    body = F.col("text") if body is None else body
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(text.doc_tokens(title, body)).alias("term"))
+    """(term, doc_id, tf); the title's words count double. Words become rows before they are filtered, in compiled code, and are counted inside each task before they are shuffled."""
+    raw = text.raw_words(F.col("text") if body is None else body)
+    if title is not None:
+        raw = F.concat(*[text.raw_words(title)] * text.TITLE_REPEAT, raw)
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(raw).alias("term")).where(text.is_term(F.col("term")))
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
