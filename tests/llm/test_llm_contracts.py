@@ -177,6 +177,45 @@ def test_pii_beyond_base(spark):
     assert got[6000] == got[6001] == []
 
 
+def planted_pii(rng):
+    """(text, spans beyond the base patterns): spelt-out addresses, other groupings, and numbers of other kinds."""
+    n = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    w = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+
+    def card(sep):
+        d = next(x for x in ("4" + n(15) for _ in iter(int, 1)) if pii.luhn(x))
+        return sep.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    parts, dot = [str(rng.randint(1, 254)) for _ in range(4)], rng.choice(["[.]", " dot ", "(dot)", "[dot]"])
+    found = [
+        ("email", f"mail {w()}@{w()}.org", ""), ("email", "contact ", w() + rng.choice([" at ", "[at]", " (at) "]) + w() + rng.choice([" dot ", "[dot]", " (dot) "]) + rng.choice(["org", "com", "net"])),
+        ("phone", "call ", f"({n(3)}) {n(3)}-{n(4)}"), ("phone", "tel ", f"{n(3)}-{n(3)}-{n(4)}"), ("phone", f"fax +1 ({n(3)}) {n(3)}-{n(4)}", ""),
+        ("card", "card ", card(rng.choice([".", "/"]))), ("card", "visa " + card(" "), ""), ("ip", "host ", dot.join(parts)), ("ip", "server " + ".".join(parts), ""),
+    ]
+    other = [f"order {n(9)}", f"build {n(8)}", f"on 2024-03-1{rng.randint(0, 9)} {n(2)}", f"version {rng.randint(300, 999)}.{n(3)}.{n(3)}.{n(2)}", f"look at page.{w()}", f"{w()} at {w()} then", f"id {n(4)}-{n(4)}-{n(4)}-{n(3)}"]
+    pieces = [*rng.sample(found, 3), *(("", x, "") for x in rng.sample(other, 3))]
+    rng.shuffle(pieces)
+    text, spans = "", set()
+    for kind, before, span in pieces:
+        text += before
+        if span:
+            spans.add((kind, len(text), len(text) + len(span)))
+        text += span + " , "
+    return text, spans
+
+
+def test_pii_recall_and_precision_by_kind(spark):
+    """No label says where the planted spans are: they come from checks and the words around."""
+    rng = random.Random(21)
+    rows = [planted_pii(rng) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: ({tuple(s) for s in r.spans} - {tuple(s) for s in r.base}) for r in pii.find_pii(docs, keep=["doc_id"]).collect()}
+    for kind in pii.KINDS:
+        true, added = ({(i, *s) for i, of in enumerate(those) for s in of if s[0] == kind} for those in ([s for _, s in rows], [got[i] for i in range(len(rows))]))
+        assert len(true) > 200 and len(true & added) >= 0.9 * len(true), (kind, len(true), len(true & added))
+        assert len(true & added) >= 0.95 * len(added), (kind, len(added - true))
+
+
 def test_labels_are_not_features():
     f = lambda t, kind: pii.features(t, kind, t.index(" ") + 1, len(t))
     assert f("mail jo@firm.org", 0) == f("abcd jo@firm.zzz", 0) == f("mail jo at firm dot org", 0)
@@ -368,6 +407,12 @@ def test_lm(spark, docs, texts, empty):
     assert alone.train_tokens == 0 and alone.base_score == 0.0 and alone.n_known == 0
 
 
+def test_lm_words_end_at_ascii_spaces_alone(spark):
+    odd = "A\x0bb\x0cc\x1cd\x85e\xa0F\u2028g  h\t\ni\rj\x00k \u00c9"
+    got = lm.score_texts(spark.createDataFrame([(i, odd) for i in range(20)], "doc_id bigint, text string")).collect()
+    assert {r.n_tokens for r in got} == {len(brute.SPACED.findall(odd)) + 1} and {r.n_known for r in got} == {r.n_tokens for r in got}
+
+
 def test_lm_trains_on_every_token(docs, texts):
     train = [i for i, _ in texts if not brute.held_out(i)]
     blocks = lm._blocks(docs, "text", "doc_id", [], 20_000)
