@@ -41,11 +41,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    raw: bytes  #: all texts, cleaned, each followed by a space
+    raw: bytes  #: all texts, cleaned, each followed by a space, or by the byte that ends a piece
     start: np.ndarray  #: of each word, in raw
     end: np.ndarray
-    first: np.ndarray  #: index of each text's first word, and at the end the number of words
+    first: np.ndarray  #: index of each text's (or piece's) first word, and at the end the number of words
     value: np.ndarray  #: hash of each word
+    text: np.ndarray | None = None  #: index of each piece's text
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(word index at which it begins, hash) of each run of k words inside one text."""
@@ -61,17 +62,21 @@ class Words:
         return at, mix(h[at])
 
 
-def words_of(texts: list[str | None], table: bytes) -> Words:
-    """table: for bytes.translate; bytes outside words become a space."""
+def words_of(texts: list[str | None], table: bytes, cut: int | None = None) -> Words:
+    """table: for bytes.translate; bytes outside words become a space, or the byte ``cut``, at which texts fall into pieces."""
     coded = [(t or "").encode("utf-8", "surrogatepass").translate(table) for t in texts]
-    raw = b" ".join(coded) + b" "
+    gap = b" " if cut is None else bytes([cut])
+    raw = gap.join(coded) + gap
     a = np.frombuffer(raw, np.uint8)
     inside = np.zeros(len(a) + 1, np.int8)
-    inside[1:] = a != 32
+    inside[1:] = a != 32 if cut is None else (a != 32) & (a != cut)
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_byte_values()[a] * powers(_BASE, len(a)), out=sums[1:])
     value = mix((sums[end] - sums[start]) * powers(_BASE_INV, len(a))[start] if len(start) else np.empty(0, np.uint64))
     bounds = np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])]) if coded else np.zeros(1, np.int64)
-    return Words(raw, start, end, np.searchsorted(start, bounds), value)
+    if cut is None:
+        return Words(raw, start, end, np.searchsorted(start, bounds), value)
+    pieces = np.concatenate([[0], np.flatnonzero(a == cut) + 1]) if coded else np.zeros(1, np.int64)
+    return Words(raw, start, end, np.searchsorted(start, pieces), value, np.searchsorted(bounds, pieces[:-1], "right") - 1)

@@ -120,3 +120,20 @@ j AS (SELECT c.*, lo, hi FROM c LEFT JOIN f2 ON f2.lang IS NOT DISTINCT FROM c.l
 r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter([{_OVER}], lambda k: k IS NOT NULL), ',') AS reasons FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND reasons = '' AS kept, reasons FROM r
 """
+
+ORACLE["op13_collocations"] = f"""
+WITH p AS (SELECT lang, unnest(range(len(ps))) AS i, ps, doc_id FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents)),
+w AS (SELECT lang, regexp_extract_all(ps[i + 1], '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+c AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::bigint AS n FROM c WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM c WHERE k > 1 AND a >= 30),
+cut AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cp FROM cand),
+s AS (SELECT u.lang, u.k, u.g, u.a, u.cp, x.a AS l, y.a AS r, (2000000::hugeint * u.a // (x.a::hugeint + y.a))::bigint AS score FROM cut u
+      JOIN c x ON x.lang = u.lang AND x.g = u.g[1:u.cp] JOIN c y ON y.lang = u.lang AND y.g = u.g[u.cp + 1:u.k]),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cp) = 1),
+sub AS (SELECT lang, g[i:i + m - 1] AS g, max(a) AS longer FROM (SELECT lang, g, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand)) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN sub ON low.lang = sub.lang AND low.g = sub.g WHERE longer IS NULL OR 100 * longer < 80 * low.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, array_to_string(g, ' '))::int AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n.n, score
+FROM kept JOIN n ON kept.lang = n.lang QUALIFY rank <= 2000
+"""
