@@ -2,7 +2,7 @@
 
 Rabin-Karp fingerprints: running polynomial sums over the bytes of a batch of texts give a hash of each word, and a
 polynomial over those a fingerprint of each n-gram, by language. Three passes count fingerprints, each combined in its task and
-shuffled with a pointer to the first occurrence:
+shuffled with a pointer to an occurrence, that with the least doc_id:
 
 1. words, by their text; 2. pairs of frequent words; 3. runs of three and four words in which every pair is frequent (no
 phrase is more frequent than its parts).
@@ -39,7 +39,7 @@ NO_LANG = "und"
 #: A-Z lower-cased; a tab is a space, and the marks that end a piece are a line feed.
 PIECE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Bytes of text that a task hashes at once, but for a longer text; distinct fingerprints and phrases that it holds at most.
-ROOM, HELD, HELD_PHRASES = 4 << 20, 2_000_000, 300_000
+ROOM, HELD, HELD_PHRASES = 2 << 20, 1_500_000, 200_000
 #: Parts of a language that are ranked by tasks of their own before the language is.
 SALTS = 64
 
@@ -82,6 +82,7 @@ class Batch:
         return words, np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
 
     def pointer(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pointer of its text, word index in it) of some words."""
         owner = self.owner[at]
         return self.ptr[owner], at - self.first_word[owner]
 
@@ -130,42 +131,35 @@ def _passing(x: Batch, sizes: tuple[int, ...], known: HashBitmap, part: int) ->
 
 
 def _count_grams(texts: DataFrame, sizes: tuple[int, ...], known: HashBitmap, part: int) -> DataFrame:
-    """(fp, n, first): fingerprints of n-grams whose parts pass, with the pointer to the first occurrence."""
+    """(fp, n, ptr): fingerprints of n-grams whose parts pass, with their occurrences and the least pointer to one."""
 
-    def merged(rows: list[np.ndarray]) -> np.ndarray:
-        """Columns fp, n, ptr, word; occurrences of a fingerprint are added up, the least pointer stays."""
-        all_ = np.concatenate(rows, axis=1)
-        all_ = all_[:, np.lexsort((all_[3], all_[2], all_[0]))] if len(rows) > 1 else all_
-        starts = np.flatnonzero(np.diff(all_[0], prepend=all_[0, 0] - 1 if all_.shape[1] else 0))
+    def merged(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        fp, n, ptr = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.argsort(fp)
+        fp = fp[order]
+        starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, np.int64)
         if not len(starts):
-            return all_[:, :0]
-        n = np.add.reduceat(all_[1], starts)
-        return np.stack([all_[0, starts], n, all_[2, starts], all_[3, starts]])
+            return fp, n, ptr
+        return fp[starts], np.add.reduceat(n[order], starts), np.minimum.reduceat(ptr[order], starts)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            first = pa.StructArray.from_arrays([pa.array(rows[2]), pa.array(rows[3].astype(np.int32))], names=["ptr", "word"])
-            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), first], names=["fp", "n", "first"])
-
-        held: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), pa.array(rows[1]), pa.array(rows[2])], names=["fp", "n", "ptr"])
+        held = [none]
         for whole in it:
             for b in _slices(whole, 2):
                 x = Batch(b)
                 for _, at, h in _passing(x, sizes, known, part):
-                    order = np.argsort(h, kind="stable")
-                    h, at = h[order], at[order]
-                    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                    ptr, word = x.pointer(at[starts])
-                    held.append(np.stack([h[starts].view(np.int64), np.diff(np.append(starts, len(h))), ptr, word]))
-                if sum(r.shape[1] for r in held) > HELD:
+                    held.append(merged([none, (h, np.ones(len(h), np.int64), x.ptr[x.owner[at]])]))
+                if sum(len(r[0]) for r in held) > HELD:
                     held = [merged(held)]
-                    if held[0].shape[1] > HELD // 2:
+                    if len(held[0][0]) > HELD // 2:
                         yield out(held[0])
-                        held = [np.zeros((4, 0), np.int64)]
+                        held = [none]
         yield out(merged(held))
 
-    rows = texts.mapInArrow(run, "fp bigint, n bigint, first struct<ptr:bigint, word:int>")
-    return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    rows = texts.mapInArrow(run, "fp bigint, n bigint, ptr bigint")
+    return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("ptr").alias("ptr"))
 
 
 def _count_phrases(texts: DataFrame, known: HashBitmap) -> DataFrame:
@@ -215,7 +209,7 @@ def _count_phrases(texts: DataFrame, known: HashBitmap) -> DataFrame:
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """Words (lang, word, n), all of them, and phrases of two to four words (lang, phrase, size, n, first) with at least ``min_count`` occurrences.
 
-    first: (ptr, word), the least doc_id and word index at which the phrase occurs; ids that aren't whole numbers are hashed, null is the last.
+    first: (ptr, word), an occurrence, doc_id and word index; ids that aren't whole numbers are hashed, null is the last.
     """
     kind = docs.schema[doc_id].dataType.typeName()
     ident = F.col(f"`{doc_id}`").cast("bigint") if kind in ("byte", "short", "integer", "long") else F.when(F.col(f"`{doc_id}`").isNotNull(), F.xxhash64(F.col(f"`{doc_id}`").cast("string")))

@@ -151,3 +151,15 @@ root AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(root, d.doc_id)) AS kept
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN root ON d.doc_id = root.a
 """
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op12_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, w, len(w)::bigint AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) GROUP BY ALL),
+c AS (SELECT count(*) AS docs, sum(n)::bigint AS words FROM d),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * max(docs) + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM t, c GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint AS score FROM q JOIN t USING (term) JOIN w USING (term), c GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+"""

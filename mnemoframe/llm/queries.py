@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import collocations, decontam, licenses, lines, lm, minhash, pii, quality, simhash, spm, urls, warc
+from mnemoframe.llm import collocations, decontam, lexical, licenses, lines, lm, minhash, pii, quality, simhash, spm, urls, warc
 from mnemoframe.llm.common import hex64, materialize, table
 
 
@@ -77,9 +77,14 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_pii, op4_sentencepiece, op5_simhash_dedup, op6_lm_score, op7_line_dedup, op8_url_filter, op9_license_scan, op10_quality_rules, op11_minhash_dedup, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_pii, op4_sentencepiece, op5_simhash_dedup, op6_lm_score, op7_line_dedup, op8_url_filter, op9_license_scan, op10_quality_rules, op11_minhash_dedup, op12_lexical_search, op13_collocations)}
