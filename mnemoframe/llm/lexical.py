@@ -1,8 +1,8 @@
 """Ranked lexical search with posting lists that are blocked by document similarity.
 
 Index: tasks cut the documents into shards of bounded size, one row of a table each, with the shard's terms, its documents' vectors (an
-impact for each term, from the corpus-wide statistics) and its posting lists. Terms of at least ``FREQUENT`` of a shard's documents are
-its frequent ones. Documents are clustered by their vectors over these (dot products with some documents as pivots); the list of a
+impact for each term, from the corpus-wide statistics) and its posting lists. Terms of at least ``FREQUENT`` of a shard's documents, the
+``MOST`` most frequent of them, are its frequent ones. Documents are clustered by their vectors over these (dot products with some documents as pivots); the list of a
 frequent term is put in the clusters' order and cut into blocks of neighbours, each with a summary: the coordinatewise maximum of its
 documents' vectors, rounded up to a byte.
 
@@ -31,6 +31,8 @@ TOP = 20
 DOCS, POSTINGS = 4096, 1_000_000
 #: Documents of a shard from which on a term's list is blocked; documents in a block; pivots.
 FREQUENT, BLOCK, PIVOTS = 128, 64, 64
+#: Frequent terms of a shard at most, the most frequent; with POSTINGS and BLOCK this bounds its summaries. The lists of others are scored in full, as short ones are.
+MOST = 2048
 #: Queries that are sent to all tasks at once.
 QUERIES = 256
 #: A summary counts in steps of so many: the greatest impact, a million, is 245 of them.
@@ -113,13 +115,14 @@ def clusters(vectors: np.ndarray, pivots: int) -> np.ndarray:
     return (unit @ unit[np.linspace(0, len(unit) - 1, min(pivots, len(unit))).astype(int)].T).argmax(axis=1)
 
 
-def _blocked(b: pa.RecordBatch, r: int, stats: tuple[int, int], frequent: int, block: int, pivots: int) -> pa.RecordBatch:
+def _blocked(b: pa.RecordBatch, r: int, stats: tuple[int, int], frequent: int, block: int, pivots: int, most: int) -> pa.RecordBatch:
     """The index of one shard."""
     number = lambda c: b.column(c)[r].values.to_numpy()
     size, ends, code = number("size"), number("ends"), number("code")
     df, doc = number("df"), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     impact = impacts(number("tf"), size, ends, *stats)
     often = np.flatnonzero(df >= frequent)
+    often = np.sort(often[np.argsort(-df[often], kind="stable")[:most]])
     place = np.full(len(df), -1)
     place[often] = np.arange(len(often))
     own = place[code] >= 0
@@ -158,7 +161,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, block: int = BLOCK, pivots: int = PIVOTS) -> Index:
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, block: int = BLOCK, pivots: int = PIVOTS, most: int = MOST) -> Index:
     """All documents of ``docs`` in a written index. Ids are whole numbers. Texts are read once."""
     if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError("ids are whole numbers")
@@ -169,7 +172,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fre
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 1):
             for r in range(b.num_rows):
-                yield _blocked(b, r, (stats[0], stats[1]), frequent, block, pivots)
+                yield _blocked(b, r, (stats[0], stats[1]), frequent, block, pivots, most)
 
     return Index(_written(forward.mapInArrow(run, INDEX), "index"), forward.select("vocab", "df"), stats[0], stats[1])
 
