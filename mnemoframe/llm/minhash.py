@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemoframe.llm.common import batches, materialize
 from mnemoframe.llm.filters import HashBitmap
@@ -134,7 +135,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 def _signed(named: DataFrame, plan: Plan, k: int, keep: list[str]) -> DataFrame:
     """``keep`` with n_shingles, two hashes of the set, signature and band keys (none without words). The text is the last column."""
-    kinds = {f.name: f.dataType.simpleString() for f in named.schema}
+    added = T.StructType.fromDDL("n bigint, h1 bigint, h2 bigint, sig binary, keys array<bigint>")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 250):
@@ -150,8 +151,7 @@ def _signed(named: DataFrame, plan: Plan, k: int, keep: list[str]) -> DataFrame:
                 names=[*keep, "n", "h1", "h2", "sig", "keys"],
             )
 
-    shape = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return named.mapInArrow(run, f"{shape}, n bigint, h1 bigint, h2 bigint, sig binary, keys array<bigint>")
+    return named.mapInArrow(run, T.StructType([*named.select(*keep).schema, *added]))
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
