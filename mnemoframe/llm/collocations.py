@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.common import materialize
-from mnemoframe.llm.filters import HashBitmap
+from mnemoframe.llm.filters import PackedBitmap
 from mnemoframe.llm.hashing import Words, mix, words_of
 
 SIZES = (2, 3, 4)
@@ -39,7 +39,7 @@ NO_LANG = "und"
 #: A-Z lower-cased; a tab is a space, and the marks that end a piece are a line feed.
 PIECE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Bytes of text that a task hashes at once, but for a longer text; distinct fingerprints and phrases that it holds at most.
-ROOM, HELD, HELD_PHRASES = 2 << 20, 1_500_000, 200_000
+ROOM, HELD, HELD_PHRASES = 2 << 20, 1_000_000, 200_000
 #: Parts of a language that are ranked by tasks of their own before the language is.
 SALTS = 64
 
@@ -117,7 +117,7 @@ def _count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, word string, n bigint, h bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.first("h").alias("h"))
 
 
-def _passing(x: Batch, sizes: tuple[int, ...], known: HashBitmap, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _passing(x: Batch, sizes: tuple[int, ...], known: PackedBitmap, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, at, fingerprint) of the n-grams in which every run of ``part`` words passes."""
     at, h = x.fingerprints(part)
     good = np.zeros(len(x.seed) + 1, bool)
@@ -130,7 +130,7 @@ def _passing(x: Batch, sizes: tuple[int, ...], known: HashBitmap, part: int) ->
         yield k, at[whole], h[whole]
 
 
-def _count_grams(texts: DataFrame, sizes: tuple[int, ...], known: HashBitmap, part: int) -> DataFrame:
+def _count_grams(texts: DataFrame, sizes: tuple[int, ...], known: PackedBitmap, part: int) -> DataFrame:
     """(fp, n, ptr): fingerprints of n-grams whose parts pass, with their occurrences and the least pointer to one."""
 
     def merged(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -162,7 +162,7 @@ def _count_grams(texts: DataFrame, sizes: tuple[int, ...], known: HashBitmap, pa
     return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("ptr").alias("ptr"))
 
 
-def _count_phrases(texts: DataFrame, known: HashBitmap) -> DataFrame:
+def _count_phrases(texts: DataFrame, known: PackedBitmap) -> DataFrame:
     """(lang, phrase, size, n, first) of the phrases whose fingerprint passes, counted by their text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +216,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", do
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("ptr"), F.col(f"`{text}`").alias("text"))
     words = materialize(_count_words(texts), "words")
     enough = F.col("n") >= min_count
-    pairs = materialize(_count_grams(texts, SIZES[:1], HashBitmap(words.where(enough).select("h").distinct()), 1).where(enough), "pairs")
-    longer = materialize(_count_grams(texts, SIZES[1:], HashBitmap(pairs.select(F.col("fp").alias("h"))), 2).where(enough), "longer")
-    known = HashBitmap(pairs.unionByName(longer).select(F.col("fp").alias("h")).distinct())
+    pairs = materialize(_count_grams(texts, SIZES[:1], PackedBitmap(words.where(enough).select("h").distinct()), 1).where(enough), "pairs")
+    longer = materialize(_count_grams(texts, SIZES[1:], PackedBitmap(pairs.select(F.col("fp").alias("h"))), 2).where(enough), "longer")
+    known = PackedBitmap(pairs.unionByName(longer).select(F.col("fp").alias("h")).distinct())
     return words, materialize(_count_phrases(texts, known).where(enough), "phrases")
 
 

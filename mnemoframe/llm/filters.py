@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +30,31 @@ class HashBitmap:
             p = (h[at] >> np.uint64(s)) & mask
             at = at[(byte[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         return at
+
+
+class PackedBitmap(HashBitmap):
+    """The same bitmap, whose parts of 8 kB are filled by tasks: the driver gets at most 2,048 rows of bytes, and puts them side by side."""
+
+    PART = 16  #: log2 of a part's bits
+
+    def __init__(self, hashes: DataFrame, bits_per_hash: int = 8, max_bits: int = 27) -> None:
+        self.count = hashes.count()
+        self.bits = min(max_bits, max(self.PART, (self.count << bits_per_hash).bit_length()))
+        place = F.explode(F.array(*[F.expr(f"shiftrightunsigned(h, {s}) & {(1 << self.bits) - 1}L") for s in (0, 64 - self.bits)]))
+        rows = hashes.select(place.alias("p")).select(F.expr(f"cast(p div {1 << self.PART} as int)").alias("part"), F.expr(f"cast(p & {(1 << self.PART) - 1} as int)").alias("at"))
+        size = 1 << self.PART
+
+        def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, np.ndarray] = {}
+            for b in it:
+                part, at = (np.asarray(c) for c in b.columns)
+                for k in np.unique(part).tolist():
+                    parts.setdefault(k, np.zeros(size, bool))[at[part == k]] = True
+            for k, v in parts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+        bitmap = np.zeros(1 << (self.bits - 3), np.uint8)
+        for b in rows.repartition("part").mapInArrow(fill, "part int, bits binary").toArrow().to_batches():
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                bitmap[k << (self.PART - 3) : (k + 1) << (self.PART - 3)] = np.frombuffer(v.as_buffer(), np.uint8)
+        self.bitmap = hashes.sparkSession.sparkContext.broadcast(bitmap)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemoframe.llm.common import batches, materialize
-from mnemoframe.llm.filters import HashBitmap
+from mnemoframe.llm.filters import PackedBitmap
 from mnemoframe.llm.graphs import components
 from mnemoframe.llm.hashing import Words, mix, words_of
 
@@ -45,7 +45,7 @@ ROWS = 6
 #: Batches in which signatures are compared.
 STEPS = 6
 #: Nodes, and bytes of their sets, that a task compares at once.
-GROUP, GROUP_BYTES = 2048, 64 << 20
+GROUP, GROUP_BYTES = 1024, 64 << 20
 #: A-Z lower-cased, white space a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
@@ -156,7 +156,7 @@ def _signed(named: DataFrame, plan: Plan, k: int, keep: list[str]) -> DataFrame:
 
 def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, set): the set, as bytes, of each node in ``wanted`` (node, id, hash). texts: id, hash of the text, text."""
-    known = HashBitmap(wanted.select(F.col("hash").alias("h")).distinct())
+    known = PackedBitmap(wanted.select(F.col("hash").alias("h")).distinct())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 500):
