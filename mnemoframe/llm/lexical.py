@@ -28,7 +28,7 @@ from mnemoframe.llm.common import batches, materialize, new_path
 
 TOP = 20
 #: Documents and postings of a shard, but for a longer document.
-DOCS, POSTINGS = 4096, 1_000_000
+DOCS, POSTINGS = 4096, 700_000
 #: Documents of a shard from which on a term's list is blocked; documents in a block; pivots.
 FREQUENT, BLOCK, PIVOTS = 128, 64, 64
 #: Frequent terms of a shard at most, the most frequent; with POSTINGS and BLOCK this bounds its summaries. The lists of others are scored in full, as short ones are.
