@@ -86,14 +86,25 @@ SELECT d.doc_id, coalesce(ids, '') AS license_sentences, coalesce(licenses, '')
 FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN lic ON d.doc_id = lic.doc_id
 """
 
-_RATES = {k: f"{m} * {a} // greatest({b}, 1)" for k, (a, b, m, _) in quality.FEATURES.items()}
+_RATES = {k: f"1000 * {a} // greatest({b}, 1)" for k, (a, b, _, _) in quality.FEATURES.items()} | {"word_len": "100 * word_chars // greatest(n_words, 1)"}
 _LONG = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {v} AS v FROM c WHERE n_words > 0" for k, v in {**_RATES, **{k: k for k in quality.SIZES}}.items())
-_UNIT = "CASE feature " + " ".join(f"WHEN '{k}' THEN greatest({m * n} // greatest(mid['{b}'], 1), 1)" for k, (_, b, m, n) in quality.FEATURES.items()) + " END"
-_OVER = ", ".join(f"CASE WHEN {v} > hi['{k}'] OR {v} < lo['{k}'] THEN '{k}' END" for k, v in _RATES.items())
+_FLOOR = "CASE feature " + " ".join(f"WHEN '{k}' THEN least(greatest(high, {1000 * n} // greatest(mids['{b}'], 1), 1), {most})" for k, (_, b, n, most) in quality.FEATURES.items()) + " END"
+_REACHED = f"{quality.REACH} * greatest({{}}, mid // {1 << quality.SUB_BITS})"
+_LIMITS = [*[f"tail_{k}" for k in quality.FEATURES], "min_word_len", "max_word_len"]
+
+
+def _beyond(k: str) -> str:
+    a, b, n, _ = quality.FEATURES[k]
+    ahead, mean = f"(1000.0::double * {a} - f['tail_{k}']::double * {b})", f"f['tail_{k}']::double * {b}"
+    return f"CASE WHEN {ahead} > 0 AND {ahead} * {ahead} > {quality.DEVIATIONS**2 * 1000 * n}.0::double * {mean} THEN '{k}' END"
+
+
+_OVER = [_beyond(k) for k in quality.FEATURES]
+_OVER.insert(1, f"CASE WHEN {_RATES['word_len']} > f['max_word_len'] OR {_RATES['word_len']} < f['min_word_len'] THEN 'word_len' END")
 
 
 def _toward(n: str, own: str, wider: str) -> str:
-    return f"map_from_entries([{', '.join(f"('{k}', ({n} * {own}['{k}'] + {quality.EVIDENCE} * {wider}['{k}']) // ({n} + {quality.EVIDENCE}))" for k in _RATES)}])"
+    return f"map_from_entries([{', '.join(f"('{k}', ({n} * {own}['{k}'] + {quality.EVIDENCE} * {wider}['{k}']) // ({n} + {quality.EVIDENCE}))" for k in _LIMITS)}])"
 
 
 ORACLE["op10_quality_rules"] = f"""
@@ -103,21 +114,23 @@ g3 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g3 WHERE n > 1) GROUP BY doc_id),
 ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
 c AS (SELECT t.doc_id, lang, source, len(w)::bigint AS n_words, length(array_to_string(w, ''))::bigint AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint AS n_symbols,
-      coalesce(n_dup, 0)::bigint AS n_dup_lines, coalesce(rep.n, 0)::bigint AS n_repeat_words, coalesce(n_lines, 0)::bigint AS n_lines, length(regexp_replace(array_to_string(w, ''), '[^A-Z]', '', 'g'))::bigint AS n_capitals
+      coalesce(n_dup, 0)::bigint AS n_dup_lines, coalesce(rep.n, 0)::bigint AS n_repeat_words, coalesce(n_lines, 0)::bigint AS n_lines
       FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id LEFT JOIN ln ON t.doc_id = ln.doc_id),
 x AS (SELECT lang, source, feature, (v >> spare) << spare AS bucket FROM (SELECT *, greatest(length(bin(v)) - {quality.SUB_BITS + 1}, 0)::int AS spare FROM ({_LONG}))),
 sk AS (SELECT 2 AS level, lang, source, feature, bucket, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, feature, bucket, count(*) FROM x GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, feature, bucket, count(*) FROM x GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total FROM sk),
-q AS (SELECT level, lang, source, feature, min(CASE WHEN below * 4 >= total THEN bucket END) AS q1, min(CASE WHEN below * 4 >= total * 2 THEN bucket END) AS q2,
-      min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS q3, max(total) AS n FROM run GROUP BY ALL),
-mids AS (SELECT level, lang, source, map_from_entries(list((feature, q2))) AS mid FROM q WHERE feature IN ({", ".join(f"'{k}'" for k in quality.SIZES)}) GROUP BY ALL),
-u AS (SELECT q.*, {_UNIT} AS unit FROM q JOIN mids m ON q.level = m.level AND q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source WHERE feature NOT IN ({", ".join(f"'{k}'" for k in quality.SIZES)})),
-f AS (SELECT level, lang, source, max(n) AS n, map_from_entries(list((feature, greatest(q1 - {quality.REACH} * greatest(q2 - q1, unit, q1 // {1 << quality.SUB_BITS}), 0)))) AS lo,
-      map_from_entries(list((feature, q3 + {quality.REACH} * greatest(q3 - q2, unit, q3 // {1 << quality.SUB_BITS})))) AS hi FROM u GROUP BY ALL),
-f1 AS (SELECT a.lang, {_toward("a.n", "a.lo", "b.lo")} AS lo, {_toward("a.n", "a.hi", "b.hi")} AS hi FROM f a, f b WHERE a.level = 1 AND b.level = 0),
-f2 AS (SELECT a.lang, a.source, {_toward("a.n", "a.lo", "b.lo")} AS lo, {_toward("a.n", "a.hi", "b.hi")} AS hi FROM f a JOIN f1 b ON a.lang IS NOT DISTINCT FROM b.lang WHERE a.level = 2),
-j AS (SELECT c.*, lo, hi FROM c LEFT JOIN f2 ON f2.lang IS NOT DISTINCT FROM c.lang AND f2.source IS NOT DISTINCT FROM c.source),
-r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter([{_OVER}], lambda k: k IS NOT NULL), ',') AS reasons FROM j)
+q AS (SELECT level, lang, source, feature, min(CASE WHEN below * 100 >= total * {100 - quality.TAIL} THEN bucket END) AS low, min(CASE WHEN below * 100 >= total * 50 THEN bucket END) AS mid,
+      min(CASE WHEN below * 100 >= total * {quality.TAIL} THEN bucket END) AS high, max(total) AS n FROM run GROUP BY ALL),
+m AS (SELECT level, lang, source, map_from_entries(list((feature, mid))) AS mids FROM q WHERE feature IN ({", ".join(f"'{k}'" for k in quality.SIZES)}) GROUP BY ALL),
+u AS (SELECT q.*, mids FROM q JOIN m ON q.level = m.level AND q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source),
+v AS (SELECT level, lang, source, n, 'tail_' || feature AS k, {_FLOOR} AS x FROM u WHERE feature IN ({", ".join(f"'{k}'" for k in quality.FEATURES)})
+      UNION ALL SELECT level, lang, source, n, 'min_word_len', greatest(low - {_REACHED.format("mid - low")}, 0) FROM u WHERE feature = 'word_len'
+      UNION ALL SELECT level, lang, source, n, 'max_word_len', high + {_REACHED.format("high - mid")} FROM u WHERE feature = 'word_len'),
+f AS (SELECT level, lang, source, max(n) AS n, map_from_entries(list((k, x))) AS f FROM v GROUP BY ALL),
+f1 AS (SELECT a.lang, {_toward("a.n", "a.f", "b.f")} AS f FROM f a, f b WHERE a.level = 1 AND b.level = 0),
+f2 AS (SELECT a.lang, a.source, {_toward("a.n", "a.f", "b.f")} AS f FROM f a JOIN f1 b ON a.lang IS NOT DISTINCT FROM b.lang WHERE a.level = 2),
+j AS (SELECT c.*, f FROM c LEFT JOIN f2 ON f2.lang IS NOT DISTINCT FROM c.lang AND f2.source IS NOT DISTINCT FROM c.source),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter([{', '.join(_OVER)}], lambda k: k IS NOT NULL), ',') AS reasons FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND reasons = '' AS kept, reasons FROM r
 """
 

@@ -2,10 +2,13 @@
 
 Per text, integer features are counted (numpy inside ``mapInArrow``, a text at a time). Each feature's distribution is kept, per
 language and source, in a log-bucketed quantile sketch: a table of counts by bucket, so that sketches merge by adding counts
-and are the same whatever the partitioning. Fences on both sides are read from the sketches: so many spreads beyond a
-quartile, where the spread is the quartile's distance from the median, or what one occurrence makes of a text of the group's
-median length, or what the sketch can't tell apart, whichever is most. A group's fences are drawn towards its language's, and those towards all texts', as far as the
-group is small. Rows are judged by a join with the fences.
+and are the same whatever the partitioning.
+
+Thresholds are read from the sketches' tails. Of a rate (symbols a word, repeated lines, repeated words) the last tenth begins at some
+value, or at what one occurrence makes of a text of median length, whichever is more; a text fails if its count is beyond what chance makes
+of that rate in a text of its own length (Poisson, so many standard deviations). Of the mean length of words, both tails count: a text fails
+if it is REACH times farther out than where the tail begins. A group's thresholds are drawn towards its language's, and those
+towards all texts', as far as the group is small. Rows are judged by a join with the thresholds.
 """
 
 from __future__ import annotations
@@ -17,24 +20,24 @@ from pyspark.sql import functions as F
 from mnemoframe.llm.common import add_columns, materialize
 
 SYMBOLS = "#*$%&|<>"
-#: feature: (count, what it is a share of, parts of the share, occurrences in the least event). word_len is in hundredths of a code point, the others per mille.
-#: Three words that come twice make four to six repeated words.
+#: rate: (count, what it is a share of, occurrences in the least event, the largest per mille at which a tail may begin). A rate that can't pass
+#: 1,000 stays able to fail. Three words that come twice make four to six repeated words.
 FEATURES = {
-    "symbol_rate": ("n_symbols", "n_words", 1000, 1),
-    "word_len": ("word_chars", "n_words", 100, 1),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 1000, 1),
-    "repeat_rate": ("n_repeat_words", "n_words", 1000, 6),
-    "capital_rate": ("n_capitals", "word_chars", 1000, 1),
+    "symbol_rate": ("n_symbols", "n_words", 1, 10_000),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1, 500),
+    "repeat_rate": ("n_repeat_words", "n_words", 6, 500),
 }
-#: What the shares are of; their medians are kept as well.
-SIZES = ("n_words", "n_lines", "word_chars")
-#: Spreads beyond the quartiles.
-REACH = 16
+#: Code points in a hundred words.
+WORD_LEN = "word_len"
+#: What the rates are of; their medians are kept as well.
+SIZES = ("n_words", "n_lines")
+#: Hundredths of texts in front of the upper tail; standard deviations of a count beyond the tail's rate; and how far beyond a tail's begin the mean word may lie.
+TAIL, DEVIATIONS, REACH = 90, 4, 3
 #: Texts of the wider group that a group's own are weighed against.
 EVIDENCE = 100
 #: Groups up to which their fences are broadcast (some 200 bytes each); more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Linear buckets per power of two: relative error of a quantile at most 1/32.
 SUB_BITS = 5
 
@@ -69,8 +72,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
             lines += 1
             dup += line in seen
             seen.add(line)
-    capitals = len(joined) - len(joined.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    return len(words), points, sum(raw.count(c) for c in SYMBOLS.encode()), dup, repeated_words(words), lines, capitals
+    return len(words), points, sum(raw.count(c) for c in SYMBOLS.encode()), dup, repeated_words(words), lines
 
 
 def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -83,8 +85,8 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     return add_columns(docs, text, ", ".join(f"{c} bigint" for c in COUNTS), find, keep)
 
 
-def _rates() -> dict[str, Column]:
-    return {k: F.expr(f"{m} * {a} div greatest({b}, 1L)") for k, (a, b, m, _) in FEATURES.items()}
+def _word_len() -> Column:
+    return F.expr("100 * word_chars div greatest(n_words, 1L)")
 
 
 def bucket(v: Column) -> Column:
@@ -94,11 +96,14 @@ def bucket(v: Column) -> Column:
 
 
 def sketches(counts: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(level, lang, source, feature, bucket, n) over texts with words: level 2 by language and source, 1 by language, 0 over all."""
-    values = _rates() | {k: F.col(k) for k in SIZES}
+    """(level, lang, source, feature, bucket, n) over texts with words: level 2 by language and source, 1 by language, 0 over all.
+
+    Texts are read once, into a small table of the finest level, from which the others are added up.
+    """
+    values = {k: F.expr(f"1000 * {a} div greatest({b}, 1L)") for k, (a, b, _, _) in FEATURES.items()} | {WORD_LEN: _word_len()} | {k: F.col(k) for k in SIZES}
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), bucket(v).alias("bucket")) for k, v in values.items()]))
     base = counts.where("n_words > 0").select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), pairs.alias("x"))
-    base = base.groupBy("lang", "source", "x.feature", "x.bucket").agg(F.count("*").alias("n"))
+    base = materialize(base.groupBy("lang", "source", "x.feature", "x.bucket").agg(F.count("*").alias("n")), "buckets")
     null = F.lit(None).cast("string")
     levels = [
         base.select(F.lit(2).alias("level"), "lang", "source", "feature", "bucket", "n"),
@@ -108,24 +113,24 @@ def sketches(counts: DataFrame, lang: str = "lang", source: str = "source") -> D
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
-def fences(sketch: DataFrame, reach: int = REACH, evidence: int = EVIDENCE) -> DataFrame:
-    """(lang, source, n_docs, and by feature min_.. and max_..: the least and the largest value that pass), one row a group."""
+def fences(sketch: DataFrame, reach: int = REACH, evidence: int = EVIDENCE, tail: int = TAIL) -> DataFrame:
+    """(lang, source, n_docs, tail_.. of each rate, min_word_len, max_word_len), one row a group."""
     key = ["level", "lang", "source", "feature"]
     w = Window.partitionBy(*key).orderBy("bucket")
     run = sketch.withColumns({"below": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy(*key))})
-    q = lambda x: F.min(F.when(F.col("below") * 4 >= F.col("total") * x, F.col("bucket"))).alias(f"q{x}")
-    quartiles = run.groupBy(*key).agg(q(1), q(2), q(3), F.max("total").alias("n_docs"))
-    of = lambda k: F.max(F.when(F.col("feature") == k, F.struct("q1", "q2", "q3"))).alias(k)
-    wide = quartiles.groupBy("level", "lang", "source").agg(F.max("n_docs").alias("n_docs"), *[of(k) for k in (*FEATURES, *SIZES)])
-    limits = []
-    for k, (_, size, parts, least) in FEATURES.items():
-        spread = lambda a, b, q, u=f"{parts * least}L div greatest({size}.q2, 1L)": f"{reach} * greatest({a} - {b}, {u}, {q} div {1 << SUB_BITS}, 1L)"
-        limits += [F.expr(f"greatest({k}.q1 - {spread(f'{k}.q2', f'{k}.q1', f'{k}.q1')}, 0L)").alias(f"min_{k}"), F.expr(f"{k}.q3 + {spread(f'{k}.q3', f'{k}.q2', f'{k}.q3')}").alias(f"max_{k}")]
+    q = lambda x, name: F.min(F.when(F.col("below") * 100 >= F.col("total") * x, F.col("bucket"))).alias(name)
+    tails = run.groupBy(*key).agg(q(100 - tail, "low"), q(50, "mid"), q(tail, "high"), F.max("total").alias("n_docs"))
+    of = lambda k: F.max(F.when(F.col("feature") == k, F.struct("low", "mid", "high"))).alias(k)
+    wide = tails.groupBy("level", "lang", "source").agg(F.max("n_docs").alias("n_docs"), *[of(k) for k in (*FEATURES, WORD_LEN, *SIZES)])
+    limits = [F.expr(f"least(greatest({k}.high, {1000 * least}L div greatest({size}.mid, 1L), 1L), {most}L)").alias(f"tail_{k}") for k, (_, size, least, most) in FEATURES.items()]
+    x = WORD_LEN
+    limits.append(F.expr(f"greatest({x}.low - {reach} * greatest({x}.mid - {x}.low, {x}.mid div {1 << SUB_BITS}), 0L)").alias(f"min_{x}"))
+    limits.append(F.expr(f"{x}.high + {reach} * greatest({x}.high - {x}.mid, {x}.mid div {1 << SUB_BITS})").alias(f"max_{x}"))
     own = wide.select("level", "lang", "source", "n_docs", F.struct(*limits).alias("f"))
-    names = [f"{side}_{k}" for k in FEATURES for side in ("min", "max")]
+    names = [*[f"tail_{k}" for k in FEATURES], f"min_{x}", f"max_{x}"]
     toward = lambda n, a, b: F.struct(*[F.expr(f"({n} * {a}.{x} + {evidence}L * {b}.{x}) div ({n} + {evidence}L)").alias(x) for x in names])
     level = lambda n, *cols: own.where(F.col("level") == n).select(*cols)
-    # One row of all texts' fences, beside a row for each language.
+    # One row of all texts' thresholds, beside a row for each language.
     langs = level(1, F.col("lang").alias("_l"), F.col("n_docs").alias("n1"), F.col("f").alias("f1")).crossJoin(F.broadcast(level(0, F.col("f").alias("f0"))))
     langs = langs.select("_l", toward("n1", "f1", "f0").alias("f1"))
     groups = level(2, "lang", "source", "n_docs", F.col("f").alias("f2")).join(langs, F.col("lang").eqNullSafe(F.col("_l")))
@@ -133,20 +138,31 @@ def fences(sketch: DataFrame, reach: int = REACH, evidence: int = EVIDENCE) -> D
 
 
 def judge(counts: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source", broadcast: bool = True) -> DataFrame:
-    """``counts`` with base_failed, reasons (features beyond a fence, comma-joined) and kept; input columns of these names are replaced.
+    """``counts`` with base_failed, reasons (features beyond a threshold, comma-joined) and kept; input columns of these names are replaced.
 
-    A group without words has no fences and fails the base rule. broadcast: the fences are known to be few.
+    A group without words has no thresholds and fails the base rule. broadcast: the thresholds are known to be few.
     """
     cols = [c for c in counts.columns if c not in ("base_failed", "reasons", "kept")]
     limits = fence.select(F.col("lang").alias("_g_lang"), F.col("source").alias("_g_source"), F.struct(*[c for c in fence.columns if c not in ("lang", "source", "n_docs")]).alias("_f"))
     named = counts.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("_r"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"), *COUNTS)
     rows = named.join(F.broadcast(limits) if broadcast else limits, F.col("_lang").eqNullSafe(F.col("_g_lang")) & F.col("_source").eqNullSafe(F.col("_g_source")), "left")
-    over = [F.when((v > F.col(f"_f.max_{k}")) | (v < F.col(f"_f.min_{k}")), F.lit(k)) for k, v in _rates().items()]
+    over = []
+    for k, (a, b, least, _) in FEATURES.items():
+        # Squares instead of a root, in doubles: the same rows in any engine.
+        ahead, mean = f"(1000.0D * {a} - cast(_f.tail_{k} as double) * {b})", f"cast(_f.tail_{k} as double) * {b}"
+        over.append(F.when(F.expr(f"{ahead} > 0 and {ahead} * {ahead} > {DEVIATIONS**2 * 1000 * least}.0D * {mean}"), F.lit(k)))
+    over.insert(1, F.when((_word_len() > F.col(f"_f.max_{WORD_LEN}")) | (_word_len() < F.col(f"_f.min_{WORD_LEN}")), F.lit(WORD_LEN)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.select("_r", failed.alias("base_failed"), F.array_join(F.array_compact(F.array(*over)), ",").alias("reasons"))
     return rows.select(*[F.col(f"_r.c{i}").alias(c) for i, c in enumerate(cols)], "base_failed", "reasons", (~F.col("base_failed") & (F.col("reasons") == "")).alias("kept"))
 
 
+def rejections(judged: DataFrame) -> DataFrame:
+    """(feature, n, alone): rows that pass the base rule and that a feature rejects, and those that no other rejects."""
+    found = judged.where("not base_failed and reasons <> ''").select(F.split("reasons", ",").alias("r"))
+    return found.select(F.explode("r").alias("feature"), (F.size("r") == 1).alias("one")).groupBy("feature").agg(F.count("*").alias("n"), F.count_if("one").alias("alone"))
+
+
 def few_groups(fence: DataFrame) -> tuple[DataFrame, bool]:
     """``fence`` written and read back, and whether it may be broadcast."""
     fence = materialize(fence, "fences")
