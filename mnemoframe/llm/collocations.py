@@ -1,16 +1,16 @@
 """Collocations: frequent phrases of two to four words, scored by how tightly their words hold together, per language.
 
 Rabin-Karp fingerprints: running polynomial sums over the bytes of a batch of texts give a hash of each word, and a
-polynomial over those a fingerprint of each n-gram, by language. Three passes count fingerprints, each combined in its task and
-shuffled with a pointer to an occurrence, that with the least doc_id:
+polynomial over those a fingerprint of each n-gram, by language. Three passes count them, each combined in its task before it is shuffled:
 
-1. words, by their text; 2. pairs of frequent words; 3. runs of three and four words in which every pair is frequent (no
-phrase is more frequent than its parts).
+1. words, by their text, which shows whether any two share a hash; 2. pairs of frequent words; 3. runs of three and four words in which every
+pair is frequent (no phrase is more frequent than its parts).
 
-What passed before is a bitmap of bounded size without false negatives, so nothing that may be frequent is left out. Two
-phrases may share a fingerprint and pass together; a last pass therefore reads the text of each occurrence of a frequent
-fingerprint, tells occurrences apart by their words and counts phrases by their text. Phrases that aren't frequent never leave
-the tasks of that pass but for the bitmap's few false positives.
+What passed before is a bitmap of bounded size without false negatives, so nothing that may be frequent is left out. A row is a fingerprint with
+its occurrences, a pointer to one of them (a 64-bit name of its document and word), and the least and largest of a second fingerprint.
+
+A last pass reads the phrase of each frequent fingerprint at its pointer, once; other texts send nothing but the bitmap's few false positives.
+Fingerprints that stand for several phrases, as the second ones or the words' hashes tell, are counted by their text instead, occurrences told apart by their words.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ PIECE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r
 ROOM, HELD, HELD_PHRASES = 2 << 20, 1_000_000, 200_000
 #: Parts of a language that are ranked by tasks of their own before the language is.
 SALTS = 64
+#: log2 of a bitmap's bits for each hash: one in three thousand others passes.
+BITS = 6
 
 
 def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -86,6 +88,18 @@ class Batch:
         owner = self.owner[at]
         return self.ptr[owner], at - self.first_word[owner]
 
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """A name of each word's place."""
+        ptr, word = self.pointer(at)
+        return mix(mix(ptr.view(np.uint64)) + word.astype(np.uint64))
+
+    def second(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Another fingerprint of the n-grams at some words."""
+        h = self.seed[at]
+        for j in range(k):
+            h = (h ^ mix(self.words.value[at + j] ^ np.uint64(0xA0761D6478BD642F))) * np.uint64(0xE7037ED1A0B428DB)
+        return mix(h)
+
 
 def _count_words(texts: DataFrame) -> DataFrame:
     """(lang, word, n, h): occurrences and fingerprint of each word."""
@@ -131,26 +145,28 @@ def _passing(x: Batch, sizes: tuple[int, ...], known: PackedBitmap, part: int) -
 
 
 def _count_grams(texts: DataFrame, sizes: tuple[int, ...], known: PackedBitmap, part: int) -> DataFrame:
-    """(fp, n, ptr): fingerprints of n-grams whose parts pass, with their occurrences and the least pointer to one."""
+    """(fp, n, place, low, high): fingerprints of n-grams whose parts pass, their occurrences, the least name of a place, and the least and largest second fingerprint."""
+    names = ["fp", "n", "place", "low", "high"]
 
     def merged(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        fp, n, ptr = (np.concatenate(c) for c in zip(*rows, strict=True))
+        fp, n, place, low, high = (np.concatenate(c) for c in zip(*rows, strict=True))
         order = np.argsort(fp)
         fp = fp[order]
         starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, np.int64)
         if not len(starts):
-            return fp, n, ptr
-        return fp[starts], np.add.reduceat(n[order], starts), np.minimum.reduceat(ptr[order], starts)
+            return fp, n, place, low, high
+        return fp[starts], np.add.reduceat(n[order], starts), np.minimum.reduceat(place[order], starts), np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), pa.array(rows[1]), pa.array(rows[2])], names=["fp", "n", "ptr"])
+        none = (np.zeros(0, np.int64),) * 5
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=names)
         held = [none]
         for whole in it:
             for b in _slices(whole, 2):
                 x = Batch(b)
-                for _, at, h in _passing(x, sizes, known, part):
-                    held.append(merged([none, (h, np.ones(len(h), np.int64), x.ptr[x.owner[at]])]))
+                for k, at, h in _passing(x, sizes, known, part):
+                    second = x.second(at, k).view(np.int64)
+                    held.append(merged([(h.view(np.int64), np.ones(len(h), np.int64), x.place(at).view(np.int64), second, second)]))
                 if sum(len(r[0]) for r in held) > HELD:
                     held = [merged(held)]
                     if len(held[0][0]) > HELD // 2:
@@ -158,8 +174,32 @@ def _count_grams(texts: DataFrame, sizes: tuple[int, ...], known: PackedBitmap,
                         held = [none]
         yield out(merged(held))
 
-    rows = texts.mapInArrow(run, "fp bigint, n bigint, ptr bigint")
-    return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("ptr").alias("ptr"))
+    rows = texts.mapInArrow(run, "fp bigint, n bigint, place bigint, low bigint, high bigint")
+    return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _phrases_at(texts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(lang, phrase, size, n, first) of ``frequent`` (fp, n, place), each read where its pointer shows."""
+    known = PackedBitmap(frequent.select(F.col("fp").bitwiseXOR(F.col("place")).alias("h")).distinct(), BITS)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for b in _slices(whole, 2):
+                x = Batch(b)
+                words = x.words.raw.split()
+                for k in SIZES:
+                    at, h = x.fingerprints(k)
+                    place = x.place(at)
+                    hit = known.passes(h ^ place)
+                    at, h, place = at[hit], h[hit], place[hit]
+                    ptr, word = x.pointer(at)
+                    first = pa.StructArray.from_arrays([pa.array(ptr), pa.array(word.astype(np.int32))], names=["ptr", "word"])
+                    phrase = [b" ".join(words[i : i + k]).decode("utf-8", "surrogatepass") for i in at.tolist()]
+                    cols = [pa.array(h.view(np.int64)), pa.array(place.view(np.int64)), pa.array([x.langs[i] for i in x.lang[at].tolist()], pa.string()), pa.array(phrase, pa.string()), pa.array([k] * len(at), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*cols, first], names=["fp", "place", "lang", "phrase", "size", "first"])
+
+    found = texts.mapInArrow(run, "fp bigint, place bigint, lang string, phrase string, size int, first struct<ptr:bigint, word:int>")
+    return found.join(frequent.select("fp", "place", "n"), ["fp", "place"]).dropDuplicates(["fp"]).select("lang", "phrase", "size", "n", "first")
 
 
 def _count_phrases(texts: DataFrame, known: PackedBitmap) -> DataFrame:
@@ -206,20 +246,29 @@ def _count_phrases(texts: DataFrame, known: PackedBitmap) -> DataFrame:
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_count: int = MIN_COUNT, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """Words (lang, word, n), all of them, and phrases of two to four words (lang, phrase, size, n, first) with at least ``min_count`` occurrences.
 
-    first: (ptr, word), an occurrence, doc_id and word index; ids that aren't whole numbers are hashed, null is the last.
+    first: (ptr, word), an occurrence, doc_id and word index; ids that aren't whole numbers are hashed, null is the last. by_text: count all
+    frequent fingerprints by their text, as it is done for those that stand for several phrases.
     """
     kind = docs.schema[doc_id].dataType.typeName()
     ident = F.col(f"`{doc_id}`").cast("bigint") if kind in ("byte", "short", "integer", "long") else F.when(F.col(f"`{doc_id}`").isNotNull(), F.xxhash64(F.col(f"`{doc_id}`").cast("string")))
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("ptr"), F.col(f"`{text}`").alias("text"))
     words = materialize(_count_words(texts), "words")
     enough = F.col("n") >= min_count
-    pairs = materialize(_count_grams(texts, SIZES[:1], PackedBitmap(words.where(enough).select("h").distinct()), 1).where(enough), "pairs")
-    longer = materialize(_count_grams(texts, SIZES[1:], PackedBitmap(pairs.select(F.col("fp").alias("h"))), 2).where(enough), "longer")
-    known = PackedBitmap(pairs.unionByName(longer).select(F.col("fp").alias("h")).distinct())
-    return words, materialize(_count_phrases(texts, known).where(enough), "phrases")
+    pairs = materialize(_count_grams(texts, SIZES[:1], PackedBitmap(words.where(enough).select("h").distinct(), BITS), 1).where(enough), "pairs")
+    longer = materialize(_count_grams(texts, SIZES[1:], PackedBitmap(pairs.select(F.col("fp").alias("h")), BITS), 2).where(enough), "longer")
+    frequent = pairs.unionByName(longer)
+    # Two words with one hash would deceive both fingerprints.
+    distinct = not by_text and words.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() == 0
+    several = frequent.where("low <> high") if distinct else frequent
+    phrases = _phrases_at(texts, frequent.where("low = high")) if distinct else None
+    if several.take(1):
+        counted = _count_phrases(texts, PackedBitmap(several.select(F.col("fp").alias("h")).distinct(), BITS)).where(enough)
+        # The bitmap's false positives may have been read at their pointer as well.
+        phrases = counted if phrases is None else phrases.unionByName(counted).dropDuplicates(["lang", "phrase"])
+    return words, materialize(phrases if phrases is not None else _phrases_at(texts, frequent), "phrases")
 
 
 def _parts(c: Column, start: Column | int, size: Column) -> Column:

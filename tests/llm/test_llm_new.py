@@ -227,6 +227,12 @@ def test_collocations_tell_equal_fingerprints_apart(spark, spoken, monkeypatch):
     assert len(np.unique(x.fingerprints(1)[1])) <= 3 and len(x.codes()[0]) == 16
 
 
+def test_collocations_counted_by_text_are_the_same(spark, spoken):
+    docs = spark.createDataFrame([(i, t, x) for i, t, x in spoken], "doc_id bigint, text string, lang string").repartition(3)
+    rows = lambda by: {(r.lang, r.phrase, r.size, r.n) for r in collocations.frequent_phrases(docs, by_text=by)[1].collect()}
+    assert rows(True) == rows(False) and len(rows(True)) > 20
+
+
 def test_collocations_without_rows(spark):
     assert collocations.collocations(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
     assert collocations.collocations(spark.createDataFrame([("k", None, None), ("k", "a b", "en")], "doc_id string, text string, lang string")).count() == 0
