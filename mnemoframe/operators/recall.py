@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import index as ix
+from mnemoframe.operators import segments as sg
 from mnemoframe.operators.search import search
 
 MIN_CHARS, SHORT_REPLY_CHARS, SHOWN, SNIPPET = 15, 60, 3, 220
@@ -59,7 +59,7 @@ def build_query(prompt: str, entity: str = "") -> str:
     return rest.strip()
 
 
-def recall(index: ix.Index, prompt: str, entity: str = "") -> tuple[list[dict], int]:
+def recall(index: sg.Index, prompt: str, entity: str = "") -> tuple[list[dict], int]:
     """(up to three visible hits, how many of the first six are confidential). Confidential hits are counted, never shown."""
     hits = [r.asDict() for r in search(index, build_query(prompt, entity), limit=12, include_nda=True).collect()]
     shown = [h | {"snippet": (h["snippet"] or "")[:SNIPPET]} for h in hits if h["sensitivity"] != "nda"][:SHOWN]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import privacy, text
 from mnemoframe.operators import index as ix
+from mnemoframe.operators import segments as sg
 from mnemoframe.operators.tables import cut_lineage
 
 #: Weights of a hit by where it stands, the depth of a list and the constant of reciprocal ranks.
@@ -43,10 +44,6 @@ def weighted_hits(title: Column, turns: Column, pattern: str) -> Column:
     return F.lit(TITLE) * count(F.coalesce(title, F.lit(""))) + F.aggregate(turns, F.lit(0.0), lambda s, t: s + role_weight(t) * count(t["text"]))
 
 
-def whole(title: Column, turns: Column) -> Column:
-    return F.lower(F.concat_ws(" ", title, ix.search_text(turns)))
-
-
 def has_all(folded: Column, terms: tuple[str, ...]) -> Column:
     out = F.lit(True)
     for t in terms:
@@ -98,7 +95,7 @@ def rrf(lists: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
 
 
 def search(
-    index: ix.Index, query: str, limit: int = 10, include_nda: bool = False, since: date | None = None, source: str | None = None, project: str | None = None,
+    index: sg.Index, query: str, limit: int = 10, include_nda: bool = False, since: date | None = None, source: str | None = None, project: str | None = None,
     today: date | None = None, ranking: str = "fused", encoder: ix.Encoder | None = None,
 ) -> DataFrame:
     """(doc_id, score, matched_terms, total_terms, snippet, source, title, started_day, sensitivity), best first.
@@ -106,6 +103,8 @@ def search(
     substring: documents with all terms by weighted hits and recency; if none is visible, those with some.
     fused: reciprocal ranks of that list and of BM25's first 100; documents with all terms first.
     hybrid: reciprocal ranks of the fused list's first 100 and, at half weight, the dense list's; without vectors as fused.
+
+    Trigrams name the documents that may hold the terms, and only these are read; partial matches are looked for when a ranking needs them.
     """
     if ranking not in RANKINGS:
         raise ValueError(f"ranking is one of {', '.join(RANKINGS)}")
@@ -116,47 +115,61 @@ def search(
         return spark.createDataFrame([], shape)
     pattern, n = text.alternation(q.terms), len(q.terms)
     shown = privacy.visible(index.docs, include_nda, source, project, since)
-    # What the query asks of a text is read from it once, into a table of ids and numbers from which all lists are made.
-    seen = text.once(shown.select("doc_id", "title", "turns", "started_day"), folded=whole(F.col("title"), F.col("turns")))
-    hits = weighted_hits(F.col("title"), F.col("turns"), pattern) * text.recency(F.col("started_day"), F.lit(today or date.today()))
-    seen = text.once(seen, matched_terms=matched(F.col("folded"), q.terms)).select("doc_id", "matched_terms", has_all(F.col("folded"), q.required).alias("required"), F.when(F.col("matched_terms") > 0, hits).otherwise(F.lit(0.0)).alias("score"))
-    seen = cut_lineage(seen)
-    found = seen.where("matched_terms > 0 and score > 0").select("doc_id", "score", "matched_terms")
-    full = found.where(F.col("matched_terms") == n)
-    partial = found if n > 1 else found.where(F.lit(False))
-
+    place = ["doc_id", *sg.PLACE]
+
+    def with_matches(rows: DataFrame, *keep: str) -> DataFrame:
+        """``rows`` with matched_terms, read from their texts."""
+        rows = text.once(rows, folded=sg.whole(F.col("title"), F.col("turns")))
+        return rows.select(*keep, matched(F.col("folded"), q.terms).alias("matched_terms"))
+
+    def hits(every: bool) -> DataFrame:
+        """Visible documents with all terms, or with any: what the query asks of a text is read from it once, into a table of ids and numbers."""
+        rows = with_matches(sg.read_at(shown, sg.candidates(index, q.terms, every)), *place, "title", "turns", "started_day")
+        rows = rows.where(F.col("matched_terms") == n if every else F.col("matched_terms") > 0)
+        score = weighted_hits(F.col("title"), F.col("turns"), pattern) * text.recency(F.col("started_day"), F.lit(today or date.today()))
+        return cut_lineage(rows.select(*place, "matched_terms", score.alias("score")).where("score > 0"))
+
+    full = hits(True)
+    by_matches = [F.desc("matched_terms"), F.desc("score")]
     if ranking == "substring":
-        any_full = full.limit(1).agg((F.count("*") > 0).alias("some"))
-        either = found.crossJoin(F.broadcast(any_full)).where((F.col("some") & (F.col("matched_terms") == n)) | (~F.col("some") & F.lit(n > 1)))
-        best = top(either, limit, F.desc("matched_terms"), F.desc("score"))
-        return _present(best, index.docs, q, pattern, n).orderBy(F.desc("matched_terms"), F.desc("score"), "doc_id")
+        best = full if full.take(1) or n == 1 else hits(False)
+        return _present(top(best, limit, *by_matches), shown, q, pattern, n).orderBy(*by_matches, "doc_id")
 
     terms = spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(text.tokenize(F.col("q")))).alias("term"))
-    allowed = seen.where("required").select("doc_id", "matched_terms")
-    lexical = top(ix.bm25(index.postings, index.lengths, F.broadcast(terms)).join(allowed, "doc_id"), DEPTH, F.desc("score"))
-    lexical = ranked(lexical, F.desc("score")).select("doc_id", "rank", "matched_terms")
-    lists = cut_lineage(_by_count(full).select("doc_id", "rank", "matched_terms").unionByName(lexical))
-    if not lists.take(1):  # function words, short terms: the partial matches stand in
-        lists = ranked(top(partial, max(limit, DEPTH), F.desc("matched_terms"), F.desc("score")), F.desc("matched_terms"), F.desc("score"))
-    of = lambda rows: rows.select("doc_id", "matched_terms").distinct()
+    allowed = shown
+    if q.required:
+        quoted = text.once(sg.read_at(shown, sg.candidates(index, q.required)), folded=sg.whole(F.col("title"), F.col("turns")))
+        allowed = cut_lineage(quoted.where(has_all(F.col("folded"), q.required)).select(*place))
+
+    def told(found: DataFrame) -> DataFrame:
+        """At most DEPTH documents (place, rank) with their matches."""
+        found = cut_lineage(found.select(*place, "rank"))
+        return with_matches(sg.read_at(shown, sg.masks_of(found)), "doc_id").join(F.broadcast(found), "doc_id").select(*place, "rank", "matched_terms")
+
+    lexical = told(ranked(sg.top_bm25(index, terms, DEPTH, allowed)[0], F.desc("score")))
+    lists = cut_lineage(_by_count(full).select(*place, "rank", "matched_terms").unionByName(lexical))
+    if not lists.take(1) and n > 1:  # function words, short terms: the partial matches stand in
+        lists = ranked(top(hits(False), max(limit, DEPTH), *by_matches), *by_matches).select(*place, "rank", "matched_terms")
+    of = lambda rows: rows.select(*place, "matched_terms").distinct()
     fused = rrf([(lists, 1.0)]).join(of(lists), "doc_id")
     order = [F.desc(F.col("matched_terms") == n), F.desc("score")]
     if ranking == "fused" or index.vectors is None:
-        return _present(top(fused, limit, *order), index.docs, q, pattern, n).orderBy(*order, "doc_id")
+        return _present(top(fused, limit, *order), shown, q, pattern, n).orderBy(*order, "doc_id")
 
     if encoder is None:
         raise VectorsUnavailable("hybrid ranking needs an encoder for the query")
     vector = [float(x) for x in encoder([query], True)[0]]
-    dense = top(ix.dense_scores(index.vectors, vector).join(allowed, "doc_id"), DEPTH, F.desc("score"))
-    dense = ranked(dense, F.desc("score")).select("doc_id", "rank", "matched_terms")
-    first = ranked(top(fused, DEPTH, *order), *order).select("doc_id", "rank", "matched_terms")
+    dense = top(ix.dense_scores(index.vectors, vector).join(allowed.select(*place), "doc_id"), DEPTH, F.desc("score"))
+    dense = told(ranked(dense, F.desc("score")))
+    first = ranked(top(fused, DEPTH, *order), *order).select(*place, "rank", "matched_terms")
     both = rrf([(first, 1.0), (dense, DENSE_WEIGHT)]).join(of(first.unionByName(dense)), "doc_id")
-    return _present(top(both, limit, F.desc("score")), index.docs, q, pattern, n).orderBy(F.desc("score"), "doc_id")
+    return _present(top(both, limit, F.desc("score")), shown, q, pattern, n).orderBy(F.desc("score"), "doc_id")
 
 
 def _present(found: DataFrame, docs: DataFrame, q: Query, pattern: str, n: int) -> DataFrame:
     """A few hits with what is shown of them."""
-    rows = F.broadcast(found).join(docs, "doc_id")  # at most ``limit`` rows
+    found = cut_lineage(found.select("doc_id", *sg.PLACE, "score", "matched_terms"))  # at most ``limit`` rows
+    rows = sg.read_at(docs, sg.masks_of(found)).drop(*sg.PLACE).join(F.broadcast(found), "doc_id")
     cut = text.snippets(best_turn(F.col("turns"), pattern), q.terms)
     shown = F.when(cut == "", F.col("title")).otherwise(cut)
     return rows.select("doc_id", "score", "matched_terms", F.lit(n).alias("total_terms"), shown.alias("snippet"), "source", "title", "started_day", "sensitivity")

@@ -99,6 +99,12 @@ ORACLE: dict[str, str] = {
     "term_df": f"WITH {_POST} SELECT term, count(*) AS df FROM post GROUP BY term",
     "corpus_stats": f"WITH {_LEN}, {_STATS} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "bm25_top10": f"WITH {_BM25} SELECT item_id, rank::int AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10",
+    "bm25_top100": f"WITH {_BM25} SELECT item_id, rank::int AS rank, doc_id::varchar AS doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id::varchar) AS rank FROM scored) WHERE rank <= 100",
+    "index_totals": f"WITH {_POST} SELECT (SELECT count(*) FROM documents) AS docs, sum(tf)::bigint AS tokens, count(DISTINCT term) AS terms, count(*) AS postings FROM post",
+    "all_terms_many": f"""WITH t AS (SELECT doc_id AS query, {_tokens('text')} AS t FROM documents WHERE doc_id % 50 = 0),
+        w AS (SELECT query, term FROM (SELECT query, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM t) GROUP BY query, term QUALIFY row_number() OVER (PARTITION BY query ORDER BY min(i)) <= 3),
+        n AS (SELECT query, count(*) AS n FROM w GROUP BY query)
+        SELECT w.query, d.doc_id FROM w JOIN documents d ON contains(lower(d.text), w.term) JOIN n ON n.query = w.query GROUP BY w.query, d.doc_id, n.n HAVING count(*) = n.n""",
     "bm25_filtered_after_stats": f"""WITH {_BM25} SELECT item_id, rank::int AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
         FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')) WHERE rank <= 10""",
     "known_item_eval": f"""WITH {_BM25}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10),

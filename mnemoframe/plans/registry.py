@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 import zlib
 from collections.abc import Callable, Sequence
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import privacy, text
 from mnemoframe.operators import distill, evaluation, graph, recall, search, sync, tables
 from mnemoframe.operators import index as ix
+from mnemoframe.operators import segments as sg
 from mnemoframe.plans import views
 from mnemoframe.plans.oracles import ORACLE as ORACLE
 from mnemoframe.plans.views import table
@@ -60,7 +62,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.text_docs(spark, sf_dir)
     whole = F.array_join(F.transform("turns", lambda t: t["text"]), "\n")
     docs = docs.withColumn("sensitivity", privacy.Policy().classify(F.col("project"), whole))
-    return search.search(ix.build(docs), first_item(spark, sf_dir), limit=10, today=TODAY)
+    return search.search(sg.build(docs), first_item(spark, sf_dir), limit=10, today=TODAY)
 
 
 # ---------------------------------------------------------------- index
@@ -154,15 +156,43 @@ def recency_score(spark, sf_dir):
     return rows.groupBy("source").agg(F.round(F.sum("r"), 4).alias("recency"))
 
 
-def _index(spark: SparkSession, docs: DataFrame, vectors: DataFrame | None = None) -> ix.Index:
-    """The index written and read back, as the engine has it."""
-    path = tables.new_path(spark)
-    built = ix.build(docs)
-    ix.write(ix.Index(built.docs, built.postings, built.lengths, vectors), path)
-    return ix.load(spark, path, vectors is not None)
+_BUILT: dict[tuple[str, str], sg.Index] = {}
 
 
-def _search(spark, sf_dir, index: ix.Index, **how):
+def _index(spark: SparkSession, sf_dir: str) -> sg.Index:
+    """The index of all documents, built once a session, as an engine has it between two ingests."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = sg.build(views.text_docs(spark, sf_dir))
+    return _BUILT[key]
+
+
+@query
+def index_totals(spark, sf_dir):
+    """The index built anew: documents, their terms with repeats, different terms, and postings."""
+    index = sg.build(views.text_docs(spark, sf_dir))
+    _BUILT[spark.sparkContext.applicationId, sf_dir] = index
+    return index.posts.agg(F.lit(index.n).cast("bigint").alias("docs"), F.lit(index.tokens).cast("bigint").alias("tokens"), F.countDistinct("term").alias("terms"), F.sum("n").alias("postings"))
+
+
+@query
+def bm25_top100(spark, sf_dir):
+    """The first hundred of each item, by blocks: those whose bound is below the hundredth score aren't read."""
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.tokenize(F.col("text"))).alias("term"))
+    found, _ = sg.top_bm25(_index(spark, sf_dir), terms, search.DEPTH, by=["item_id"], decimals=6)
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return found.select("item_id", "doc_id", "score").withColumn("rank", F.row_number().over(w))
+
+
+@query
+def all_terms_many(spark, sf_dir):
+    """Documents with the first three words of each fiftieth document, found by trigrams."""
+    words = F.slice(F.array_distinct(text.tokenize(F.col("text"))), 1, 3)
+    asked = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.explode(words).alias("term"))
+    return sg.containing(_index(spark, sf_dir), asked).select("query", F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+def _search(spark, sf_dir, index: sg.Index, **how):
     words = " ".join(three_terms(spark, sf_dir))
     found = search.search(index, words, limit=20, today=TODAY, **how)
     return found.select("doc_id", F.round("score", 6).alias("score"), "matched_terms", "total_terms")
@@ -170,20 +200,19 @@ def _search(spark, sf_dir, index: ix.Index, **how):
 
 @query
 def search_substring(spark, sf_dir):
-    docs = views.text_docs(spark, sf_dir)
-    return _search(spark, sf_dir, ix.build(docs), ranking="substring")
+    return _search(spark, sf_dir, _index(spark, sf_dir), ranking="substring")
 
 
 @query
 def search_fused(spark, sf_dir):
-    return _search(spark, sf_dir, _index(spark, views.text_docs(spark, sf_dir)))
+    return _search(spark, sf_dir, _index(spark, sf_dir))
 
 
 @query
 def search_hybrid(spark, sf_dir):
     """Vectors of all documents' chunks by a deterministic encoder, then the hybrid list."""
-    docs = views.text_docs(spark, sf_dir)
-    index = _index(spark, docs, ix.update_vectors(None, docs, hashed_encoder))
+    index = _index(spark, sf_dir)
+    index = dataclasses.replace(index, vectors=tables.cut_lineage(ix.update_vectors(None, index.docs, hashed_encoder)))
     return _search(spark, sf_dir, index, ranking="hybrid", encoder=hashed_encoder).drop("total_terms")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 import pytest
@@ -8,6 +9,7 @@ from conftest import make_doc, turn
 from mnemoframe.functions import text
 from mnemoframe.operators import index as ix
 from mnemoframe.operators import search as s
+from mnemoframe.operators import segments as sg
 from mnemoframe.plans.registry import hashed_encoder
 
 TODAY = dt.date(2026, 7, 20)
@@ -28,7 +30,7 @@ def index(docs_of):
         make_doc("none", [turn(0, "user", "redis cache")], day=None, sensitivity="copyright"),
         make_doc("meta", [turn(0, "user", "c++ und 100% [x] (y)")]),
     ]
-    return ix.build(docs_of(rows).cache())
+    return sg.build(docs_of(rows).cache())
 
 
 def run(index, query, **how):
@@ -77,12 +79,12 @@ def test_title_counts(index):
 
 def test_filter_before_depth_cut(docs_of):
     rows = [make_doc(f"n{i:03}", [turn(0, "user", "seltenwort " * 5)], sensitivity="nda") for i in range(120)] + [make_doc("seen", [turn(0, "user", "seltenwort und vieles mehr davon noch dazu")])]
-    assert ids(run(ix.build(docs_of(rows)), "seltenwort")) == ["seen"]
+    assert ids(run(sg.build(docs_of(rows)), "seltenwort")) == ["seen"]
 
 
 def test_hybrid(index):
     vectors = ix.update_vectors(None, index.docs, hashed_encoder).cache()
-    both = ix.Index(index.docs, index.postings, index.lengths, vectors)
+    both = dataclasses.replace(index, vectors=vectors)
     assert "user" in ids(run(both, "postgres datenbank", ranking="hybrid", encoder=hashed_encoder))
     with pytest.raises(s.VectorsUnavailable):
         run(both, "postgres", ranking="hybrid")
