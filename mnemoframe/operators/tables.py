@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,29 +52,37 @@ def next_state(files: DataFrame, state: DataFrame, policy_version: str) -> DataF
 DERIVED = ("memory", "course")
 
 
-def longest(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Of each document of ``new`` the longer state, it or the stored one; of equals the new one, which was classified last."""
-    rows = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    best = F.max_by(F.struct(*new.columns), F.struct(F.col("ended_at"), F.size("turns"), F.col("_new")))
-    return rows.groupBy("doc_id").agg(best.alias("d")).select("d.*")
-
-
 def stale(docs: DataFrame, expected: DataFrame, sources: tuple[str, ...] = DERIVED) -> DataFrame:
     """Derived documents whose file is gone. Sources that only ever grow are never stale."""
     return docs.where(F.col("source").isin(*sources)).join(expected.select("doc_id"), "doc_id", "left_anti")
 
 
-def ingest_counts(parsed: DataFrame, old: DataFrame) -> DataFrame:
-    """(seen, empty, clean, copyright, nda, added, replaced) of one run, one row."""
-    known = old.select("doc_id").distinct().withColumn("_old", F.lit(True))
-    count = lambda level: F.count_if(F.col("sensitivity") == level).alias(level)
-    rows = parsed.join(known, "doc_id", "left")
-    return rows.agg(F.count("*").alias("seen"), F.count_if(F.size("turns") == 0).alias("empty"), count("clean"), count("copyright"), count("nda"), F.count_if(F.col("_old").isNull()).alias("added"), F.count_if(F.col("_old").isNotNull()).alias("replaced"))
-
-
-def merge_docs(old: DataFrame, new: DataFrame, gone: DataFrame | None = None) -> DataFrame:
-    """Documents after a run: new ones replace those of their id, stale ones go."""
-    kept = old.join(new.select("doc_id"), "doc_id", "left_anti")
-    if gone is not None:
-        kept = kept.join(gone.select("doc_id"), "doc_id", "left_anti")
-    return kept.unionByName(new)
+#: What a run counts of the documents that it has read.
+COUNTS = ("seen", "empty", "clean", "copyright", "nda", "added", "replaced")
+
+
+def merge(old: DataFrame, new: DataFrame, run: int, mirrored: bool = False, gone: DataFrame | None = None) -> tuple[DataFrame, Observation]:
+    """(documents after a run, what the run counts), both from one pass: the counts are there once the documents have been written.
+
+    old: documents with ``run``, the number of the run that wrote each; new: documents of this run. Of a document the longer state stays, of equals the new
+    one, which was classified last; with ``mirrored`` (a document is a file) always the new one. Stored documents in ``gone`` (doc_id) go. A document that
+    comes out as it was keeps its run.
+    """
+    cols = new.columns
+    kept = old if gone is None else old.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = kept.select(*cols, "run").withColumn("_new", F.lit(0)).unionByName(new.withColumns({"run": F.lit(run).cast("bigint"), "_new": F.lit(1)}))
+    rows = rows.withColumn("_hash", F.xxhash64(*[F.to_json(c) if c == "turns" else F.col(c) for c in cols]))
+    order = F.col("_new") if mirrored else F.struct(F.col("ended_at"), F.size("turns"), F.col("_new"))
+    one = lambda c: F.max(F.when(F.col("_new") == 1, c))
+    found = rows.groupBy("doc_id").agg(
+        F.max_by(F.struct(*cols, "run"), order).alias("d"), (F.min("_new") == 0).alias("_old"), (F.max("_new") == 1).alias("_read"), one(F.col("sensitivity")).alias("_level"), one(F.size("turns")).alias("_size"),
+        F.min("run").alias("_first"), (F.min("_hash") == F.max("_hash")).alias("_same"),
+    )
+    level = lambda name: F.count_if(F.col("_level") == name).alias(name)
+    counted = Observation()
+    found = found.observe(
+        counted, F.count_if("_read").alias("seen"), F.count_if(F.col("_size") == 0).alias("empty"), level("clean"), level("copyright"), level("nda"),
+        F.count_if(F.col("_read") & ~F.col("_old")).alias("added"), F.count_if(F.col("_read") & F.col("_old")).alias("replaced"),
+    )
+    run_of = F.when(F.col("_same"), F.col("_first")).otherwise(F.col("d.run"))
+    return found.select(*[F.col(f"d.{c}").alias(c) for c in cols], run_of.alias("run")), counted

@@ -584,8 +584,11 @@ def corpus_signature(spark, sf_dir):
 
 @query
 def ingest_counts(spark, sf_dir):
+    """Events as a run over a store that has the clicks: the counts are taken while the merged documents are written."""
     docs = views.event_docs(spark, sf_dir)
-    return tables.ingest_counts(docs, docs.where("source = 'click'"))
+    merged, counted = tables.merge(docs.where("source = 'click'").withColumn("run", F.lit(1).cast("bigint")), docs, 2)
+    merged.write.parquet(tables.new_path(spark))
+    return spark.createDataFrame([counted.get], ", ".join(f"{k} bigint" for k in tables.COUNTS))
 
 
 @query
