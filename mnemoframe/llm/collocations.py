@@ -7,10 +7,10 @@ polynomial over those a fingerprint of each n-gram, by language. Three passes co
 pair is frequent (no phrase is more frequent than its parts).
 
 What passed before is a bitmap of bounded size without false negatives, so nothing that may be frequent is left out. A row is a fingerprint with
-its occurrences, a pointer to one of them (a 64-bit name of its document and word), and the least and largest of a second fingerprint.
+a second one, which keeps phrases apart that share the first, its occurrences, and a pointer to one of them (a 64-bit name of its document and word).
 
 A last pass reads the phrase of each frequent fingerprint at its pointer, once; other texts send nothing but the bitmap's few false positives.
-Fingerprints that stand for several phrases, as the second ones or the words' hashes tell, are counted by their text instead, occurrences told apart by their words.
+If two words share a hash, which would deceive both fingerprints, phrases are counted by their text instead, occurrences told apart by their words.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ NO_LANG = "und"
 #: A-Z lower-cased; a tab is a space, and the marks that end a piece are a line feed.
 PIECE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Bytes of text that a task hashes at once, but for a longer text; distinct fingerprints and phrases that it holds at most.
-ROOM, HELD, HELD_PHRASES = 2 << 20, 1_000_000, 200_000
+ROOM, HELD, HELD_PHRASES = 1 << 20, 600_000, 150_000
 #: Parts of a language that are ranked by tasks of their own before the language is.
 SALTS = 64
 #: log2 of a bitmap's bits for each hash: one in three thousand others passes.
@@ -145,28 +145,28 @@ def _passing(x: Batch, sizes: tuple[int, ...], known: PackedBitmap, part: int) -
 
 
 def _count_grams(texts: DataFrame, sizes: tuple[int, ...], known: PackedBitmap, part: int) -> DataFrame:
-    """(fp, n, place, low, high): fingerprints of n-grams whose parts pass, their occurrences, the least name of a place, and the least and largest second fingerprint."""
-    names = ["fp", "n", "place", "low", "high"]
+    """(fp, second, n, place): both fingerprints of n-grams whose parts pass, their occurrences, and the least name of a place."""
+    names = ["fp", "second", "n", "place"]
 
     def merged(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        fp, n, place, low, high = (np.concatenate(c) for c in zip(*rows, strict=True))
+        fp = np.concatenate([r[0] for r in rows])
+        if not len(fp):
+            return rows[0]
         order = np.argsort(fp)
-        fp = fp[order]
-        starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, np.int64)
-        if not len(starts):
-            return fp, n, place, low, high
-        return fp[starts], np.add.reduceat(n[order], starts), np.minimum.reduceat(place[order], starts), np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+        fp, second = fp[order], np.concatenate([r[1] for r in rows])[order]
+        # Rows of one phrase may stay apart here where another shares its fingerprint; they are added up later.
+        starts = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (second[1:] != second[:-1])]))
+        return fp[starts], second[starts], np.add.reduceat(np.concatenate([r[2] for r in rows])[order], starts), np.minimum.reduceat(np.concatenate([r[3] for r in rows])[order], starts)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.int64),) * 5
+        none = (np.zeros(0, np.int64),) * 4
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=names)
         held = [none]
         for whole in it:
             for b in _slices(whole, 2):
                 x = Batch(b)
                 for k, at, h in _passing(x, sizes, known, part):
-                    second = x.second(at, k).view(np.int64)
-                    held.append(merged([(h.view(np.int64), np.ones(len(h), np.int64), x.place(at).view(np.int64), second, second)]))
+                    held.append(merged([(h.view(np.int64), x.second(at, k).view(np.int64), np.ones(len(h), np.int64), x.place(at).view(np.int64))]))
                 if sum(len(r[0]) for r in held) > HELD:
                     held = [merged(held)]
                     if len(held[0][0]) > HELD // 2:
@@ -174,8 +174,8 @@ def _count_grams(texts: DataFrame, sizes: tuple[int, ...], known: PackedBitmap,
                         held = [none]
         yield out(merged(held))
 
-    rows = texts.mapInArrow(run, "fp bigint, n bigint, place bigint, low bigint, high bigint")
-    return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = texts.mapInArrow(run, "fp bigint, second bigint, n bigint, place bigint")
+    return rows.groupBy("fp", "second").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
 
 
 def _phrases_at(texts: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def _phrases_at(texts: DataFrame, frequent: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*cols, first], names=["fp", "place", "lang", "phrase", "size", "first"])
 
     found = texts.mapInArrow(run, "fp bigint, place bigint, lang string, phrase string, size int, first struct<ptr:bigint, word:int>")
-    return found.join(frequent.select("fp", "place", "n"), ["fp", "place"]).dropDuplicates(["fp"]).select("lang", "phrase", "size", "n", "first")
+    return found.join(frequent.select("fp", "place", "n"), ["fp", "place"]).dropDuplicates(["fp", "place"]).select("lang", "phrase", "size", "n", "first")
 
 
 def _count_phrases(texts: DataFrame, known: PackedBitmap) -> DataFrame:
@@ -249,8 +249,8 @@ def _count_phrases(texts: DataFrame, known: PackedBitmap) -> DataFrame:
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_count: int = MIN_COUNT, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """Words (lang, word, n), all of them, and phrases of two to four words (lang, phrase, size, n, first) with at least ``min_count`` occurrences.
 
-    first: (ptr, word), an occurrence, doc_id and word index; ids that aren't whole numbers are hashed, null is the last. by_text: count all
-    frequent fingerprints by their text, as it is done for those that stand for several phrases.
+    first: (ptr, word), an occurrence, doc_id and word index; ids that aren't whole numbers are hashed, null is the last. by_text: count phrases
+    by their text, as it is done where two words share a hash.
     """
     kind = docs.schema[doc_id].dataType.typeName()
     ident = F.col(f"`{doc_id}`").cast("bigint") if kind in ("byte", "short", "integer", "long") else F.when(F.col(f"`{doc_id}`").isNotNull(), F.xxhash64(F.col(f"`{doc_id}`").cast("string")))
@@ -258,17 +258,13 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", do
     words = materialize(_count_words(texts), "words")
     enough = F.col("n") >= min_count
     pairs = materialize(_count_grams(texts, SIZES[:1], PackedBitmap(words.where(enough).select("h").distinct(), BITS), 1).where(enough), "pairs")
-    longer = materialize(_count_grams(texts, SIZES[1:], PackedBitmap(pairs.select(F.col("fp").alias("h")), BITS), 2).where(enough), "longer")
+    longer = materialize(_count_grams(texts, SIZES[1:], PackedBitmap(pairs.select(F.col("fp").alias("h")).distinct(), BITS), 2).where(enough), "longer")
     frequent = pairs.unionByName(longer)
-    # Two words with one hash would deceive both fingerprints.
-    distinct = not by_text and words.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() == 0
-    several = frequent.where("low <> high") if distinct else frequent
-    phrases = _phrases_at(texts, frequent.where("low = high")) if distinct else None
-    if several.take(1):
-        counted = _count_phrases(texts, PackedBitmap(several.select(F.col("fp").alias("h")).distinct(), BITS)).where(enough)
-        # The bitmap's false positives may have been read at their pointer as well.
-        phrases = counted if phrases is None else phrases.unionByName(counted).dropDuplicates(["lang", "phrase"])
-    return words, materialize(phrases if phrases is not None else _phrases_at(texts, frequent), "phrases")
+    if by_text or words.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
+        phrases = _count_phrases(texts, PackedBitmap(frequent.select(F.col("fp").alias("h")).distinct(), BITS)).where(enough)
+    else:
+        phrases = _phrases_at(texts, frequent)
+    return words, materialize(phrases, "phrases")
 
 
 def _parts(c: Column, start: Column | int, size: Column) -> Column:
