@@ -9,10 +9,11 @@ from datetime import date
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from mnemoframe import schema
 from mnemoframe.functions.text import join_query
-from mnemoframe.operators import graph, notes, sync
+from mnemoframe.operators import graph, notes, recall, sync
 from mnemoframe.operators.distill import Rejected, route, show_user_text
 from mnemoframe.plans.engine import Engine
 from mnemoframe.sources import files
@@ -49,6 +50,11 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("--limit", type=int, default=10)
     c.add_argument("--include-nda", action="store_true")
     c.add_argument("--ranking", default="fused")
+    c.add_argument("--encoder", help="MODULE:FUNCTION, for hybrid ranking")
+    c = sub.add_parser("recall", help="what earlier conversations say to a prompt, if it asks for it")
+    c.add_argument("prompt")
+    c.add_argument("--name", action="append", default=[], help="a known project; several may be given")
+    sub.add_parser("sweep", help="delete versions that the last two manifests don't name")
     sub.add_parser("stats")
     c = sub.add_parser("export", help="documents as Markdown files")
     c.add_argument("path")
@@ -75,6 +81,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("mnemoframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, a.data)
     show = lambda df: df.show(1000, truncate=False)
+    load = lambda name: None if name is None else getattr(importlib.import_module(name.partition(":")[0]), name.partition(":")[2])
     try:
         match a.command:
             case "ingest":
@@ -82,8 +89,7 @@ def main(args: list[str] | None = None) -> int:
             case "index":
                 engine.reindex()
             case "embed":
-                module, _, name = a.encoder.partition(":")
-                engine.reindex(getattr(importlib.import_module(module), name))
+                engine.reindex(load(a.encoder))
             case "init":
                 for path in sync.init_vault(Path(a.vault)):
                     print("new", path)
@@ -92,7 +98,13 @@ def main(args: list[str] | None = None) -> int:
                 print("new" if w.created else "kept", w.path)
             case "search":
                 since = date.fromisoformat(a.since) if a.since else None
-                show(engine.search(join_query(a.query), limit=a.limit, include_nda=a.include_nda, since=since, source=a.source, project=a.project, ranking=a.ranking))
+                show(engine.search(join_query(a.query), limit=a.limit, include_nda=a.include_nda, since=since, source=a.source, project=a.project, ranking=a.ranking, encoder=load(a.encoder)))
+            case "recall":
+                got = spark.createDataFrame([(a.prompt,)], "p string").select(recall.decide(F.col("p"), a.name).alias("d")).first().d
+                if got.fire:
+                    print(recall.context(engine.index(), a.prompt, got.entity or ""))
+            case "sweep":
+                print(engine.sweep(), "folders")
             case "export":
                 print(files.export(engine.docs(), a.path), "files")
             case "stats":

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.operators import segments as sg
 from mnemoframe.operators.search import search
+from mnemoframe.operators.tables import cut_lineage
 
 MIN_CHARS, SHORT_REPLY_CHARS, SHOWN, SNIPPET = 15, 60, 3, 220
 #: Prompts by machines, short replies, and phrases that ask for memory.
@@ -40,6 +41,29 @@ def mentioned(prompt: Column, entities: Sequence[str], repo: Column | None = Non
     return F.coalesce(*hit) if hit else F.lit(None).cast("string")
 
 
+def _quoted(name: Column) -> Column:
+    return F.concat(F.lit(r"(?<![\w-])\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\w-])"))
+
+
+def mentions(rows: DataFrame, names: DataFrame, prompt: str = "text", repo: str | None = None) -> DataFrame:
+    """``rows`` with entity, as ``mentioned`` finds it among any number of names (column name, lower case): the longest, of equals the first.
+
+    A name stands free if neither a word character nor a hyphen is next to it, so each of its own runs of these is a whole run of the text too. Names are
+    joined with texts by their longest run, or by their first character if they have none, and what meets is looked for in the text.
+    """
+    kind, left, low = r"[\w-]+|[^\w\s-]", [c for c in rows.columns if c != "entity"], F.lower(F.col(f"`{prompt}`"))
+    named = rows.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(left)], F.monotonically_increasing_id().alias("_row"), low.alias("_low"), (F.lower(F.col(f"`{repo}`")) if repo else F.lit("")).alias("_own"))
+    named = cut_lineage(named)
+    runs = F.regexp_extract_all("name", F.lit(r"[\w-]+"), 0)
+    longest = F.try_element_at(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+    known = names.where("name <> ''").select("name", F.coalesce(longest, F.regexp_extract("name", r"[^\w\s-]", 0)).alias("_key")).where("_key <> ''").distinct()
+    keys = named.select("_row", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit(kind), 0))).alias("_key"))
+    meet = keys.join(known, "_key").select("_row", "name").join(named.select("_row", "_low", "_own"), "_row")
+    free = meet.where(~F.contains("_own", F.col("name")) & F.call_function("rlike", F.col("_low"), _quoted(F.col("name"))))
+    best = free.groupBy("_row").agg(F.min(F.struct((-F.length("name")).alias("size"), "name")).alias("best"))
+    return named.join(best, "_row", "left").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(left)], F.col("best.name").alias("entity"))
+
+
 def decide(prompt: Column, entities: Sequence[str] = (), repo: Column | None = None) -> Column:
     """struct(fire, reason, entity) for each prompt."""
     own = F.trim(F.regexp_replace(prompt, SYSTEM, ""))
@@ -64,3 +88,15 @@ def recall(index: sg.Index, prompt: str, entity: str = "") -> tuple[list[dict],
     hits = [r.asDict() for r in search(index, build_query(prompt, entity), limit=12, include_nda=True).collect()]
     shown = [h | {"snippet": (h["snippet"] or "")[:SNIPPET]} for h in hits if h["sensitivity"] != "nda"][:SHOWN]
     return shown, sum(h["sensitivity"] == "nda" for h in hits[: 2 * SHOWN])
+
+
+def context(index: sg.Index, prompt: str, entity: str = "") -> str:
+    """What a prompt gets to read: a line for each hit that is shown, and how many are confidential; empty if there is nothing."""
+    shown, hidden = recall(index, prompt, entity)
+    if not shown and not hidden:
+        return ""
+    lines = ["From earlier conversations, what fits this prompt:"]
+    lines += [f"- {h['started_day'] or '?'} {h['title'] or h['doc_id']}: {h['snippet']} (doc_id {h['doc_id']})" for h in shown]
+    if hidden:
+        lines.append(f"- {hidden} more are confidential; search with include_nda to see them.")
+    return "\n".join([*lines, "Use it only where it fits the task; get_doc reads a whole conversation."])

@@ -105,6 +105,10 @@ ORACLE: dict[str, str] = {
         w AS (SELECT query, term FROM (SELECT query, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM t) GROUP BY query, term QUALIFY row_number() OVER (PARTITION BY query ORDER BY min(i)) <= 3),
         n AS (SELECT query, count(*) AS n FROM w GROUP BY query)
         SELECT w.query, d.doc_id FROM w JOIN documents d ON contains(lower(d.text), w.term) JOIN n ON n.query = w.query GROUP BY w.query, d.doc_id, n.n HAVING count(*) = n.n""",
+    "name_mentions": f"""WITH t AS (SELECT doc_id, {_tokens('text')} AS t FROM documents WHERE doc_id % 50 = 0),
+        n AS (SELECT DISTINCT term FROM (SELECT doc_id, term FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM t) GROUP BY doc_id, term QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) = 10)),
+        m AS (SELECT doc_id, min({{'a': -length(term), 'term': term}}).term AS entity FROM documents JOIN n ON contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\w-])' || term || '($|[^\\w-])') GROUP BY doc_id)
+        SELECT d.doc_id, entity FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id""",
     "bm25_filtered_after_stats": f"""WITH {_BM25} SELECT item_id, rank::int AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
         FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')) WHERE rank <= 10""",
     "known_item_eval": f"""WITH {_BM25}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10),

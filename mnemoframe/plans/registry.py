@@ -443,6 +443,15 @@ def recall_decisions(spark, sf_dir):
     return rows.select("conv_id", "turn", recall.decide(F.col("text"), nations).alias("d")).select("conv_id", "turn", "d.fire", "d.reason")
 
 
+@query
+def name_mentions(spark, sf_dir):
+    """The longest name that stands in each document; names: the tenth different term of each fiftieth document."""
+    docs = table(spark, sf_dir, "documents")
+    tenth = F.get(F.array_distinct(text.tokenize(F.col("text"))), 9)
+    names = docs.where("doc_id % 50 = 0").select(tenth.alias("name")).where("name is not null")
+    return recall.mentions(docs.select("doc_id", "text"), names).select("doc_id", "entity")
+
+
 # ---------------------------------------------------------------- claims
 
 
