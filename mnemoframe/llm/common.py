@@ -43,6 +43,17 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows, and elements of their arrays, up to which a table of numbers is broadcast (some 30 MB).
+FEW_ROWS, FEW_ELEMENTS = 500_000, 4_000_000
+
+
+def broadcast_if_few(df: DataFrame, name: str, elements: str | None = None) -> DataFrame:
+    """``df``, whose columns are numbers, written and read back, and marked for broadcasting if it is known to be small; ``elements``: an array column of numbers."""
+    df = materialize(df, name)
+    rows, inside = df.agg(F.count("*"), F.coalesce(F.sum(F.size(elements)) if elements else F.lit(0), F.lit(0))).first()
+    return F.broadcast(df) if rows <= FEW_ROWS and inside <= FEW_ELEMENTS else df
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import add_columns, batches, materialize
+from mnemoframe.llm.common import add_columns, batches, broadcast_if_few, materialize
 from mnemoframe.llm.filters import HashBitmap
 from mnemoframe.llm.hashing import words_of
 
@@ -133,6 +133,13 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their own columns."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("_t"))
-    return contamination(named, items, "_t", keep=["_doc"], **how).where("not contaminated").select("_doc.*")
+    """The rows of ``docs`` that aren't contaminated, with their own columns.
+
+    Whether a row goes follows from its text alone, so texts are known by 128 bits of hash, and what is joined back are the hashes of those that go; while
+    these are few, texts aren't shuffled. Null and empty texts stay, rows that repeat go or stay together, an empty table gives no rows.
+    """
+    body = F.col(f"`{text}`")
+    keys = [F.xxhash64(body).alias("_h1"), F.xxhash64(F.lit(1), body).alias("_h2")]
+    bad = contamination(docs.select(*keys, body.alias("_t")), items, "_t", keep=["_h1", "_h2"], **how).where("contaminated").select("_h1", "_h2").distinct()
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *keys)
+    return named.join(broadcast_if_few(bad, "contaminated"), ["_h1", "_h2"], "left_anti").select("_doc.*")

@@ -64,6 +64,14 @@ SENTENCES: dict[str, str] = {
     "cc0.notice": "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "bsl1.notice": "distributed under the boost software license version 1 0",
+    "apache2.title": "apache license version 2 0 january 2004",
+    "gpl3.title": "gnu general public license version 3 29 june 2007",
+    "gpl2.title": "gnu general public license version 2 june 1991",
+    "lgpl3.title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21.title": "gnu lesser general public license version 2 1 february 1999",
+    "agpl3.title": "gnu affero general public license version 3 19 november 2007",
+    "mpl2.title": "mozilla public license version 2 0",
+    "epl2.title": "eclipse public license v 2 0",
 }
 #: Fixed values: (licence, sequence of identifiers) in the order in which they are tried. The first that fits names the licence.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -103,8 +111,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0.notice",)),
     ("Zlib", ("zlib.grant",)),
     ("BSL-1.0", ("bsl1.notice",)),
+    ("Apache-2.0", ("apache2.title",)),
+    ("GPL-3.0", ("gpl3.title",)),
+    ("GPL-2.0", ("gpl2.title",)),
+    ("LGPL-3.0", ("lgpl3.title",)),
+    ("LGPL-2.1", ("lgpl21.title",)),
+    ("AGPL-3.0", ("agpl3.title",)),
+    ("MPL-2.0", ("mpl2.title",)),
+    ("EPL-2.0", ("epl2.title",)),
     ("proprietary", ("rights.reserved",)),
 )
+#: A text with one of these grants rights, whatever its copyright line reserves.
+GRANTS = ("bsd.redistribution", "mit.grant", "isc.grant", "apache2.use", "gpl.redistribute", "mpl2.notice", "zlib.grant", "unlicense.free")
 #: Licences that a file may name in one line; sentences and rules for them follow from the names.
 NAMED = (
     "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
@@ -127,6 +145,22 @@ WHOLE: dict[str, str] = {
     _GPL: "gpl.redistribute",
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
 }
+_ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+_IN = "(?:this [a-z]+ is |the [a-z]+ is |it is |distributed and |released and )?licensed under (?:the |a )?"
+_SEE = "(?: see (?:the )?[a-z]+(?: [a-z]+)?(?: file)?(?: for (?:more |the full )?(?:details|information|text))?)?"
+#: Sentences that name somebody, a work or a file, as patterns, and the known sentence that each stands for. ``*`` is one to twelve words.
+HOLES: tuple[tuple[str, str], ...] = (
+    (f"neither the names? of * nor the names? of (?:its|their|any|other|the|[a-z ]{{1,30}}) ?contributors {_ENDORSE}", SENTENCES["bsd3.endorse"]),
+    (f"neither the names? of * {_ENDORSE}", SENTENCES["bsd3.endorse"]),
+    ("the names? of * may not be used to endorse or promote products derived from this software without specific prior written permission", SENTENCES["bsd3.endorse"]),
+    ("this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", SENTENCES["bsd.warranty"]),
+    (f"{_IN}creative commons attribution 4 0 international(?: license)?(?: cc by 4 0)?{_SEE}", SENTENCES["ccby4.notice"]),
+    (f"{_IN}creative commons attribution sharealike 4 0 international(?: license)?(?: cc by sa 4 0)?{_SEE}", SENTENCES["ccbysa4.notice"]),
+    (f"(?:* is |{_IN[: -len('(?:the |a )?')].replace('licensed under ', '')})licensed under (?:the |a )?(?:terms of the )?mit license{_SEE}", SENTENCES["mit.work"]),
+    (f"(?:* is )licensed under (?:the |a )?(?:terms of the )?apache license (?:version |v )?2 0{_SEE}", SENTENCES["apache2.work"]),
+    (f"(?:* is )?licensed under (?:the |a )?(?:terms of the )?bsd 3 clause license{_SEE}", SENTENCES["bsd3.notice"]),
+    (f"(?:* is )licensed under (?:the |a )?(?:terms of the )?gnu general public license (?:version |v )?3(?: 0)?{_SEE}", SENTENCES["gpl3.work"]),
+)
 #: Every known sentence has one of these, so that other texts needn't be cut up.
 ANCHORS = "licen|permission|warrant|distribut|endorse|reserved|liab|public domain"
 
@@ -145,6 +179,13 @@ def marked(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, " ?([SLP]) ?", "$1"))
 
 
+def _filled(t: Column) -> Column:
+    """Marked text in which sentences with holes are the known ones that they stand for; a line may end behind each word, and a full stop stand in a hole ("Inc.")."""
+    for hole, sentence in HOLES:
+        t = F.regexp_replace(t, "(?<![^SLP])" + hole.replace("* ", "(?:[a-z0-9]+_){1,12}").replace(" ", "[ L]").replace("_", "[ LS]") + "(?![^SLP])", sentence)
+    return t
+
+
 def _pattern(sentences: Iterable[str]) -> str:
     """Any of ``sentences`` between two marks, the longest first; a line may end behind each word."""
     longest = sorted(sentences, key=lambda s: (-len(s), s))
@@ -157,7 +198,8 @@ def scan_licenses(
     """``docs`` with license_sentences (identifiers in text order, comma-joined), licenses (licences of all rules that fit,
     in rule order, each once, comma-joined), license (that of the first rule; null if none) and n_license_sentences.
 
-    A rule fits if its identifiers follow one another among the text's known sentences. A null or empty text has none.
+    A rule fits if its identifiers follow one another among the text's known sentences; reserved rights are no licence beside a sentence that grants some. A null
+    or empty text has none, a very long one is scanned whole, an empty table gives no rows.
     Sentences of ``whole`` stand for one or more identifiers of ``sentences``; a longer known sentence goes before those it
     holds. Input columns named like a new one are replaced; every row gives one row.
     """
@@ -167,12 +209,14 @@ def scan_licenses(
     cols = [c for c in docs.columns if c not in ("license_sentences", "licenses", "license", "n_license_sentences")]
     known = F.create_map(*[F.lit(x) for pair in ids_of.items() for x in pair])
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.lit(0).alias("none")).alias("r"), F.col(f"`{text}`").alias("t"))
-    found = F.regexp_extract_all(marked(F.col("t")), F.lit(_pattern(ids_of)), F.lit(0))
+    found = F.regexp_extract_all(_filled(marked(F.col("t"))), F.lit(_pattern(ids_of)), F.lit(0))
     ids = F.flatten(F.transform(found, lambda s: F.split(F.element_at(known, F.translate(s, "L", " ")), ",")))
     rows = rows.select("r", F.when(F.lower("t").rlike(ANCHORS), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     rows = rows.withColumn("seq", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     fits = [F.when(F.contains(F.col("seq"), F.lit("," + ",".join(seq) + ",")), F.lit(name)) for name, seq in rules]
     rows = rows.withColumn("found", F.when(F.size("ids") > 0, F.array_distinct(F.array_compact(F.array(*fits)))).otherwise(F.array().cast("array<string>")))
+    granted = F.arrays_overlap("ids", F.array(*[F.lit(g) for g in GRANTS]))
+    rows = rows.withColumn("found", F.when(granted, F.array_remove("found", "proprietary")).otherwise(F.col("found")))
     return rows.select(
         *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)],
         F.array_join("ids", ",").alias("license_sentences"),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from mnemoframe.llm.common import batches, materialize
+from mnemoframe.llm.common import batches, broadcast_if_few, materialize
 from mnemoframe.llm.filters import HashBitmap
 from mnemoframe.llm.hashing import _BASE, _BASE_INV, mix, powers
 
@@ -242,7 +242,7 @@ def dedup_lines(
         # What repeats a line that goes here has gone already: it isn't the earliest of its equals.
         drops = drops.unionByName(_fuzzy_drops(_near_lines(texts, shared, segments, min_fuzzy), segments))
     gone = drops.groupBy(F.col("place.order").alias("_order"), F.col("place.text_hash").alias("_hash")).agg(F.collect_set("place.line").alias("_gone"))
-    rows = named.join(gone, ["_order", "_hash"], "left")
+    rows = named.join(broadcast_if_few(gone, "gone", "_gone") if whole else gone, ["_order", "_hash"], "left")
     parts = F.split(F.col(at), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     new = {c: F.col(f"_c{i}") for i, c in enumerate(cols)}

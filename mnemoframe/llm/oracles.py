@@ -80,7 +80,8 @@ ORACLE["op9_license_scan"] = f"""
 WITH known(sentence, id) AS (VALUES {_KNOWN}), rules(n, name, seq) AS (VALUES {_RULES}),
 s AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]+\\s+|\\n+') AS parts FROM documents)),
 ids AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM s JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence GROUP BY doc_id),
-fits AS (SELECT doc_id, name, min(n) AS n FROM (SELECT doc_id, rules.name, rules.n FROM ids JOIN rules ON contains(',' || ids || ',', seq)) GROUP BY doc_id, name),
+fits AS (SELECT doc_id, name, min(n) AS n FROM (SELECT doc_id, rules.name, rules.n FROM ids JOIN rules ON contains(',' || ids || ',', seq)
+  WHERE NOT (rules.name = 'proprietary' AND regexp_matches(',' || ids || ',', ',({"|".join(licenses.GRANTS)}),'))) GROUP BY doc_id, name),
 lic AS (SELECT doc_id, string_agg(name, ',' ORDER BY n) AS licenses, min_by(name, n) AS license FROM fits GROUP BY doc_id)
 SELECT d.doc_id, coalesce(ids, '') AS license_sentences, coalesce(licenses, '') AS licenses, license, coalesce(ids.n, 0)::bigint AS n_license_sentences
 FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN lic ON d.doc_id = lic.doc_id

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import add_columns, materialize
+from mnemoframe.llm.common import add_columns, broadcast_if_few, materialize
 from mnemoframe.llm.graphs import components
 
 SHINGLE = 4
@@ -245,6 +245,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component, with the columns of ``docs``."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{doc_id}`").alias("_i"), F.col(f"`{text}`").alias("_t"))
-    return near_duplicates(named, "_t", "_i", ["_doc"], max_bits).where("is_first").select("_doc.*")
+    """One row of each component, with the columns of ``docs``: that with the smallest doc_id, the first of rows that repeat it.
+
+    Rows are written with their number and fingerprint; what is joined back are the numbers of those that go, so that texts aren't shuffled while these are few.
+    Null and empty texts are alike and leave one row; an empty table gives no rows.
+    """
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{doc_id}`").alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(f"`{text}`").alias("_text"))
+    rows = materialize(with_fingerprints(named, "_text", ["_doc", "_id", "_row"]), "fingerprints")
+    narrow = rows.select("_id", "_row", "fingerprint")
+    least = _components(narrow, "_id", max_bits).select("fingerprint", F.col("least.row").alias("_first"))
+    gone = narrow.join(least, "fingerprint").where("_row <> _first").select("_row")
+    return rows.join(broadcast_if_few(gone, "gone"), "_row", "left_anti").select("_doc.*")

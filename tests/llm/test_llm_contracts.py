@@ -703,6 +703,43 @@ def test_wrapped_licenses(spark, mark):
     assert got == {k + i: w[1:] for i, w in enumerate(wants) for k in (0, 100)}
 
 
+HELD = """Copyright (c) 2003, {who}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. {clause}
+
+THIS SOFTWARE IS PROVIDED BY {by} "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+
+
+def test_licenses_with_other_holders(spark):
+    end = "may be used to endorse\n   or promote products derived from this software without specific prior written\n   permission."
+    clauses = [
+        f"Neither the name of the University nor the names of its contributors\n   {end}", f"Neither the name of Foo, Inc. nor the names of its\n   contributors {end}",
+        f"Neither the name of the copyright holder nor the names of its contributors {end}", "The name of the author may not be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    ]
+    rows = [(i, HELD.format(who="X", clause=c, by=by)) for i, (c, by) in enumerate(zip(clauses, ["THE REGENTS AND CONTRIBUTORS", "FOO, INC.", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE AUTHOR"], strict=True))]
+    plain = {
+        10: ("The book is licensed under the Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), 11: ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        12: ("Our tool is licensed under the Apache License, Version 2.0.", "Apache-2.0"), 13: ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", "GPL-3.0"),
+        14: ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0"), 15: ("we talked about the mit license and what it allows", None),
+        16: ("word " * 50_000 + ".\nReleased under the MIT License.\n" + "word " * 50_000, "MIT"),
+    }
+    rows += [(k, v[0]) for k, v in plain.items()] + [(20, HELD.format(who="X", clause="Have fun.", by="THE AUTHOR"))]
+    got = {r.doc_id: (r.license, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i][0] == "BSD-3-Clause" and "proprietary" not in got[i][1] for i in range(4)), got
+    assert {k: got[k][0] for k in plain} == {k: v[1] for k, v in plain.items()} and got[20][0] == "BSD-2-Clause"
+
+
 # ---------------------------------------------------------------- 10 quality
 
 
@@ -716,6 +753,26 @@ def test_quality_counts(docs, texts):
         assert quality.text_counts(t)[:5] == brute.quality_counts(t), repr(t)
 
 
+def test_each_quality_rule_can_reject_alone(spark):
+    """A text that stands out in one respect, among texts of a few short lines, falls by that rule and no other."""
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("wo", "ta", "ri", "mel", "don") for b in ("ra", "nis", "ko", "tu", "per", "lo")]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, "\n".join(line(rng.randint(15, 30)) for _ in range(rng.randint(3, 6)))) for i in range(300)]
+    own = [line(12) for _ in range(10)]
+    rows += [(900, line(80) + " #" * 60 + "\n" + line(60)), (901, " ".join(w * 4 for w in line(90).split())), (902, "\n".join([*own, *[x for x in own for _ in range(2)]])), (903, line(120) + "\n" + " ".join([line(8)] * 8))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' lang", "'s' source")
+    counts = quality.with_counts(docs).cache()
+    limits = quality.fences(quality.sketches(counts))
+    judged = quality.judge(counts, limits).cache()
+    got = {r.doc_id: r.reasons for r in judged.where("reasons <> ''").collect()}
+    assert got[900].split(",")[0] == "symbol_rate" and got[901] == "word_len" and "dup_line_rate" in got[902] and "repeat_rate" in got[903], got
+    assert {r.feature for r in quality.rejections(judged.where("not base_failed or true").withColumn("base_failed", F.lit(False))).collect()} == {"symbol_rate", "word_len", "dup_line_rate", "repeat_rate"}
+    assert sum(k < 900 for k in got) <= 6
+    top = limits.first()
+    assert top.tail_dup_line_rate <= 500 and top.tail_repeat_rate <= 500
+
+
 def test_quality_filter(spark, docs, empty):
     rng = random.Random(11)
     vocab = [f"w{i}x" for i in range(500)]
