@@ -148,9 +148,14 @@ def route(claims: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(levels, "topic").withColumns({"layer": layer, "error": error}).drop("_levels")
 
 
+def foreign_claims(batch: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Claims of a batch whose source isn't a candidate."""
+    return batch.join(candidates.select(F.col("doc_id").alias("source_doc_id")), "source_doc_id", "left_anti")
+
+
 def add_claims(store: DataFrame, batch: DataFrame, candidates: DataFrame) -> DataFrame:
     """The store with a batch of claims (with seq); the whole batch is rejected if a source isn't a candidate."""
-    foreign = batch.join(candidates.select(F.col("doc_id").alias("source_doc_id")), "source_doc_id", "left_anti").select("source_doc_id").distinct().limit(10).collect()
+    foreign = foreign_claims(batch, candidates).select("source_doc_id").distinct().limit(10).collect()
     if foreign:
         raise Rejected("sources that aren't candidates: " + ", ".join(r[0] for r in foreign))
     return upsert(store, batch, CLAIM_KEYS)

@@ -109,6 +109,7 @@ ORACLE: dict[str, str] = {
         n AS (SELECT DISTINCT term FROM (SELECT doc_id, term FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM t) GROUP BY doc_id, term QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) = 10)),
         m AS (SELECT doc_id, min({{'a': -length(term), 'term': term}}).term AS entity FROM documents JOIN n ON contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\w-])' || term || '($|[^\\w-])') GROUP BY doc_id)
         SELECT d.doc_id, entity FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id""",
+    "added_claims": "SELECT lang AS entity, CASE WHEN lang = 'es' THEN 't' ELSE 'new' END AS text, count(*) AS claims FROM documents WHERE lang IN ('de', 'fr', 'es') GROUP BY lang",
     "bm25_filtered_after_stats": f"""WITH {_BM25} SELECT item_id, rank::int AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
         FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')) WHERE rank <= 10""",
     "known_item_eval": f"""WITH {_BM25}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10),

@@ -455,6 +455,15 @@ def name_mentions(spark, sf_dir):
 # ---------------------------------------------------------------- claims
 
 
+@query
+def added_claims(spark, sf_dir):
+    """A store of the French documents' claims, then a batch of all German and French ones, whose sources are candidates: one row for each identity."""
+    claims = _doc_claims(spark, sf_dir).withColumns({"confidence": F.lit("medium"), "rationale": F.lit("")})
+    candidates = views.text_docs(spark, sf_dir).select("doc_id")
+    batch = claims.where("entity in ('de', 'fr')").withColumns({"text": F.lit("new"), "seq": F.lit(1).cast("bigint")})
+    return distill.add_claims(claims.where("entity in ('fr', 'es')"), batch, candidates).groupBy("entity", "text").agg(F.count("*").alias("claims"))
+
+
 @query
 def latest_wins(spark, sf_dir):
     return distill.resolve(views.order_claims(spark, sf_dir))[0].select("topic", "key", "text", "stated_on", "source_doc_id")
@@ -729,8 +738,7 @@ def removed_sources(spark, sf_dir):
 def rejected_claims(spark, sf_dir):
     """Claims of a batch whose source isn't a candidate: documents under 2,000 characters."""
     candidates = distill.select(views.text_docs(spark, sf_dir), min_prose=0.0, today=TODAY).select("doc_id")
-    batch = _doc_claims(spark, sf_dir)
-    return batch.join(candidates.select(F.col("doc_id").alias("source_doc_id")), "source_doc_id", "left_anti").select("source_doc_id")
+    return distill.foreign_claims(_doc_claims(spark, sf_dir), candidates).select("source_doc_id")
 
 
 @query

@@ -153,3 +153,41 @@ def test_sessions_are_the_same_by_any_ranges(spark, tmp_path):
     assert len(seen) == 1
     (turns,) = {tuple(t.idx for t in r.turns) for r in rows if r.conv_id == "s1"}
     assert turns == tuple(range(len(turns)))
+
+
+def test_repositories_are_read_from_the_folders(spark, tmp_path):
+    from mnemoframe.sources.repos import repos_of
+
+    main = tmp_path / "shop"
+    (main / ".git/worktrees/fix").mkdir(parents=True)
+    (main / "src").mkdir()
+    tree = tmp_path / "elsewhere/neutral"
+    tree.mkdir(parents=True)
+    (tree / ".git").write_text(f"gitdir: {main}/.git/worktrees/fix\n")
+    (tmp_path / "plain").mkdir()
+    folders = [str(main), str(main / "src"), str(tree), str(tmp_path / "plain"), str(tmp_path / "gone"), "", "relative"]
+    got = {r.cwd: r.repo for r in repos_of(spark.createDataFrame([(f,) for f in folders], "cwd string")).collect()}
+    assert got == {str(main): "shop", str(main / "src"): "shop", str(tree): "shop"}
+    put(tmp_path / "logs" / "neutral" / "s1.jsonl", said("user", "hallo", cwd=str(tree)))
+    assert [r.project for r in sources.read(spark, "claude-code", f"file://{tmp_path}/logs", Policy()).collect()] == ["shop"]
+
+
+def test_many_names_by_a_join_are_those_one_by_one(spark):
+    from mnemoframe.operators import recall
+
+    rng = random.Random(9)
+    names = ["shop", "shop-admin", "new york", "c++", "über", "übersicht", "日本", "a.b", "x\\Ey", "teamco", "team"]
+    texts = [f"{rng.choice(['', 'x', '-', ' ', '('])}{rng.choice(names).upper()}{rng.choice(['', 's', '-1', ' ', '.'])} und {rng.choice(names)}" for _ in range(150)] + ["", None, "nichts"]
+    rows = spark.createDataFrame([(i, t, rng.choice(["", "Shop", None])) for i, t in enumerate(texts)], "i int, text string, repo string")
+    one = {r.i: r.e for r in rows.select("i", recall.mentioned(F.col("text"), names, F.coalesce("repo", F.lit(""))).alias("e")).collect()}
+    got = recall.mentions(rows.na.fill({"repo": ""}), spark.createDataFrame([(n,) for n in [*names, "", "team"]], "name string"), repo="repo").collect()
+    assert {r.i: r.entity for r in got} == one and len(got) == len(texts)
+
+
+def test_context_of_a_prompt(spark, docs_of):
+    from mnemoframe.operators import recall
+
+    index = sg.build(docs_of([make_doc("a", [turn(0, "user", "teamco nimmt die neuen preise")]), make_doc("b", [turn(0, "user", "teamco preise geheim")], sensitivity="nda")]))
+    told = recall.context(index, "weißt du noch, die preise von teamco", "teamco")
+    assert "2026-07-01 a: " in told and "1 more are confidential" in told and "geheim" not in told
+    assert recall.context(index, "ganz etwas anderes", "") == ""
