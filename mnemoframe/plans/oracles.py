@@ -134,6 +134,7 @@ ORACLE: dict[str, str] = {
         SELECT r.doc_id::varchar AS doc_id, round(r.score, 6) AS score, m.matched_terms::int AS matched_terms, m.n::int AS total_terms FROM rrf r JOIN m USING (doc_id)
         ORDER BY (m.matched_terms = m.n) DESC, r.score DESC, r.doc_id::varchar LIMIT 20""",
     "dense_topk": f"{_DENSE} SELECT query, vec_id, score, rank::int AS rank FROM ranked WHERE rank <= 10 AND query % 50 = 0",
+    "dense_topk_cells": f"{_DENSE} SELECT query, vec_id, score, rank::int AS rank FROM ranked WHERE rank <= 10 AND query % 50 = 0",
     "dense_best_per_owner": f"{_DENSE} SELECT query, label, max(score) AS score FROM ranked JOIN embeddings USING (vec_id) WHERE query % 50 = 0 GROUP BY query, label",
     "rrf_hybrid": f"{_DENSE} SELECT query - query % 50 AS query, vec_id, round(sum((CASE WHEN query % 50 = 0 THEN 1.0::double ELSE 0.5::double END) / (60 + rank)), 9) AS score FROM ranked WHERE rank <= 100 GROUP BY 1, 2",
     "chunk_windows": r"""WITH b AS (SELECT doc_id, source, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents),

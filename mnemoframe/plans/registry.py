@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import privacy, text
-from mnemoframe.operators import distill, evaluation, graph, recall, search, sync, tables
+from mnemoframe.operators import cells, distill, evaluation, graph, recall, search, sync, tables
 from mnemoframe.operators import index as ix
 from mnemoframe.operators import segments as sg
 from mnemoframe.plans import views
@@ -233,6 +233,15 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir, "vec_id % 50 = 0", 10).select("query", F.col("owner").alias("vec_id"), "score", "rank")
 
 
+@query
+def dense_topk_cells(spark, sf_dir):
+    """The same lists, by cells of which those out of reach are skipped."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    found, _ = cells.nearest(cells.assign(vectors, owner="vec_id"), asked, 10)
+    return found.select("query", F.col("owner").alias("vec_id"), "score", "rank")
+
+
 @query
 def dense_best_per_owner(spark, sf_dir):
     """Labels by their best vector, for each query."""

@@ -191,3 +191,22 @@ def test_context_of_a_prompt(spark, docs_of):
     told = recall.context(index, "weißt du noch, die preise von teamco", "teamco")
     assert "2026-07-01 a: " in told and "1 more are confidential" in told and "geheim" not in told
     assert recall.context(index, "ganz etwas anderes", "") == ""
+
+
+def test_nearest_by_cells_equals_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from mnemoframe.operators import cells
+
+    rng = np.random.default_rng(1)
+    middle = rng.normal(size=(6, 16))
+    points = [(f"o{i % 170}", (middle[i % 6] + rng.normal(size=16) * 0.2).tolist()) for i in range(400)]
+    vectors = spark.createDataFrame([*points, ("none", None)], "doc_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, (middle[i % 6] * (1 + i)).tolist()) for i in range(9)] + [(9, None)], "query int, embedding array<double>")
+    monkeypatch.setattr(cells, "QUERIES", 4)
+    for k in (3, 40):
+        got, share = cells.nearest(cells.assign(vectors, centroids=24), asked, k)
+        want = ix.dense_lists(vectors.where("embedding is not null"), asked.where("embedding is not null"), k)
+        key = lambda df: sorted((r.query, r.owner, round(r.score, 5), r["rank"]) for r in df.select("query", F.col(df.columns[1]).alias("owner"), "score", "rank").collect())
+        assert key(got) == key(want) and 0 < share < (0.6 if k == 3 else 1.01)
+    assert cells.nearest(cells.assign(vectors.where("false")), asked, 3)[0].count() == 0
