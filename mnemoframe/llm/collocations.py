@@ -39,7 +39,7 @@ NO_LANG = "und"
 #: A-Z lower-cased; a tab is a space, and the marks that end a piece are a line feed.
 PIECE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Bytes of text that a task hashes at once, but for a longer text; distinct fingerprints and phrases that it holds at most.
-ROOM, HELD, HELD_PHRASES = 1 << 20, 600_000, 150_000
+ROOM, HELD, HELD_PHRASES = 1 << 20, 200_000, 100_000
 #: Parts of a language that are ranked by tasks of their own before the language is.
 SALTS = 64
 #: log2 of a bitmap's bits for each hash: one in three thousand others passes.
