@@ -123,3 +123,36 @@ def test_pipeline_stages(spark):
     survivors = [(r.doc_id, r.text) for r in rows["near-dedup"]]
     assert {r.doc_id for r in rows["decontamination"]} == {d for d, *_, bad in brute.contamination(survivors, items) if not bad}
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in rows["sentencepiece"]) and len(rows["sentencepiece"]) == len(rows["decontamination"]) and kept
+
+
+def test_stages_take_any_rows(spark):
+    """Each stage by itself: nulls in any column, empty and very long texts, repeated rows, names that clash, and no rows."""
+    import corpus_pipeline as cp
+    from mnemoframe.llm.common import table
+
+    base = "\n".join(" ".join(f"w{i * 12 + k}ord" for k in range(12)) + f" end{i}" for i in range(9))
+    item = table(spark, SMALL, "benchmark").orderBy("item_id").first().text
+    texts = [base, base, base.replace("end3", "end4"), None, "", " \n\t", "x", base + "\n" + " ".join(f"w{i}" for i in range(40_000)), f"before {item} behind", "é▁é " * 30, base.upper()]
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", len(t or ""), "c", 1, "c", "c") for i, t in enumerate(texts)]
+    rows += [rows[0], (None, base, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, _doc string, _row int, `a b` string, _hash string"
+    docs = spark.createDataFrame(rows, names).repartition(3)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SMALL)
+        got = out.collect()
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
+        if name == "sentencepiece":
+            assert out.columns == [c for c in docs.columns if c != "text"] + ["ids", "n_pieces", "round_trip"] and len(got) == len(rows)
+            continue
+        assert out.columns == docs.columns, name
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in got)
+        if name == "quality rules":
+            assert all(r.text for r in got) and len(got) >= 5
+        elif name == "line dedup":
+            assert len(got) == len(rows) and sum(r.text is None for r in got) == 2
+            kept = [r.text for r in got if r.doc_id == 0]
+            assert kept == [base, base]  # a row that repeats id and text keeps what it was
+        elif name == "near-dedup":
+            assert [i for _, i in ids if i in (0, 1, 3, 4, 5)] == [0, 3] and len(ids) == len(set(ids))
+        else:
+            assert len(got) == len(rows) - 1 and 8 not in {r.doc_id for r in got}
