@@ -210,3 +210,32 @@ def test_nearest_by_cells_equals_all_pairs(spark, monkeypatch):
         key = lambda df: sorted((r.query, r.owner, round(r.score, 5), r["rank"]) for r in df.select("query", F.col(df.columns[1]).alias("owner"), "score", "rank").collect())
         assert key(got) == key(want) and 0 < share < (0.6 if k == 3 else 1.01)
     assert cells.nearest(cells.assign(vectors.where("false")), asked, 3)[0].count() == 0
+
+
+def test_growing_sessions_are_read_from_where_they_ended(spark, tmp_path):
+    from mnemoframe.streaming import landing, tail
+
+    log = tmp_path / "in/p/s1.jsonl"
+    line = lambda kind, said_, n: __import__("json").dumps(said(kind, said_, sessionId="s1", timestamp=f"2026-05-01T10:0{n}:00.000Z")) + "\n"
+    log.parent.mkdir(parents=True)
+    log.write_text(line("user", "eins", 0) + line("assistant", "zwei", 1) + line("user", "drei mit ü", 2)[:30])
+    (tmp_path / "in/p/deep").mkdir()
+    (tmp_path / "in/p/deep/sub.jsonl").write_text(line("user", "unteragent", 0))
+
+    def trigger():
+        q = landing.write_documents(tail.read_sessions(spark, f"file://{tmp_path}/in", range_bytes=100), f"{tmp_path}/out", f"{tmp_path}/cp")
+        q.awaitTermination(120)
+        return sum(p["numInputRows"] for p in q.recentProgress)
+
+    def turns():
+        return [(t.idx, t.role, t.text) for t in tail.documents_of(spark.read.parquet(f"{tmp_path}/out")).where("conv_id = 's1'").first().turns]
+
+    trigger()
+    assert turns() == [(0, "user", "eins"), (1, "assistant", "zwei")]  # a line that isn't whole yet waits
+    with log.open("w") as f:
+        f.write(line("user", "eins", 0) + line("assistant", "zwei", 1) + line("user", "drei mit ü", 2) + line("assistant", "acme vier", 3))
+    assert trigger() == 2  # the tail alone
+    assert turns()[2:] == [(2, "user", "drei mit ü"), (3, "assistant", "acme vier")]
+    got = tail.documents_of(spark.read.parquet(f"{tmp_path}/out")).collect()
+    assert [(r.conv_id, r.sensitivity, str(r.ended_at)[:16]) for r in got] == [("s1", "nda", "2026-05-01 10:03")]
+    assert trigger() == 0 and len(turns()) == 4
