@@ -236,6 +236,39 @@ def test_boosting_held_out():
     assert boosting.threshold(np.array([0.9, 0.8, 0.2]), np.array([1, 0, 0]), 0.9) == 0.9
 
 
+def labelled(spark, forms, parts):
+    """Scanned rows of a candidate each: (features, its candidates, those of label 1)."""
+    rows = [(i, [(0, i % 97, 0, [float(v) for v in x], int(j < pos), 0.0)]) for i, (x, j, pos) in enumerate((x, j, pos) for x, n, pos in forms for j in range(n))]
+    return spark.createDataFrame(rows, "id bigint, _cand array<struct<kind:int, a:int, z:int, x:array<float>, y:int, r:float>>").repartition(parts, "id")
+
+
+def test_detector_is_fitted_on_all_candidates(spark):
+    forms = [([0, 1, 5], 15_000, 14_999), ([0, 2, 5], 12_000, 30), ([3, 2, 7], 3_000, 2_995), ([3, 3, 7], 1_111, 0), ([3, 4, 7], 3, 3)]
+    n, pos = sum(f[1] for f in forms), sum(f[2] for f in forms)
+    some, other = (pii.train(labelled(spark, forms, parts)) for parts in (2, 7))
+    assert some.trees.base == pytest.approx(np.log(pos / (n - pos)), abs=1e-12)
+    assert [t.tolist() for t in some.trees.leaf] == [t.tolist() for t in other.trees.leaf] and some.limit == other.limit
+    p = some.trees.probability(np.array([f[0] for f in forms], float))
+    assert (p[[0, 2]] > 0.98).all() and (p[[1, 3]] < 0.02).all() and p[0] >= some.limit[0] > p[1] and p[2] >= some.limit[3] > p[3]
+
+
+def test_trees_of_a_table_are_those_of_its_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, size=(2500, 3)).astype(float)
+    y = (rng.random(2500) < np.where((x[:, 0] > 5) ^ (x[:, 1] > 3), 0.9, 0.2)).astype(int)
+    rows = spark.createDataFrame([(a, i % 3, 1, b) for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))], "x array<float>, fold int, n bigint, pos bigint")
+    trees, tally = boosting.fit_table(rows.groupBy("x", "fold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).repartition(5), 3, rounds=12)
+    # numpy keeps every fourth row aside, so each fourth is one that the table hasn't.
+    spread = np.flatnonzero(np.arange(len(y) * 4 // 3) % 4 != 3)
+    tx, ty = np.zeros((spread[-1] + 1, 3)), np.zeros(spread[-1] + 1, int)
+    tx[spread], ty[spread], ty[3] = x[: len(spread)], y[: len(spread)], 1
+    assert len(spread) == len(y)
+    plain = boosting.fit(tx, ty, rounds=12)
+    np.testing.assert_allclose(trees.margin(x), plain.margin(x), atol=1e-9)
+    assert tally["n"].sum() == 2500 and tally["pos"].sum() == y.sum()
+    assert boosting.fit_table(rows.where("pos = 1"), 3) is None and boosting.fit_table(rows.limit(0), 3) is None
+
+
 # ---------------------------------------------------------------- 4 SentencePiece
 
 
