@@ -154,10 +154,10 @@ def short_id(conv_id: Column, length: int = 8) -> Column:
     return F.substring(F.sha1(conv_id), 1, length)
 
 
-def doc_path(source: Column, day: Column, title: Column, project: Column, conv_id: Column) -> Column:
-    """source/year/day--source--slug--id.md; a document without a day has 0000-00-00."""
+def doc_path(source: Column, day: Column, title: Column, project: Column, conv_id: Column, slug: Callable[[Column], Column] = slugify) -> Column:
+    """source/year/day--source--slug--id.md; a document without a day has 0000-00-00. The slug is that of the title, or of the project where there is none."""
     d = F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("0000-00-00"))
-    name = slugify(F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(project))
+    name = slug(F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(project))
     return F.concat(source, F.lit("/"), F.substring(d, 1, 4), F.lit("/"), F.concat_ws("--", d, source, name, short_id(conv_id)), F.lit(".md"))
 
 
