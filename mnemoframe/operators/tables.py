@@ -31,6 +31,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes what ``cut_lineage`` wrote; ``df`` can't be read any more."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001  the public Hadoop file system is behind it
+    for p in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path(p).getFileSystem(conf).delete(path(p), True)
+
+
 def changed_files(files: DataFrame, state: DataFrame, policy_version: str) -> DataFrame:
     """Files to be read: new ones, those whose size or times differ, and all where the policy has changed."""
     same = state.where(F.col("policy_version") == policy_version).select("path", "size", "mtime_ns", "ctime_ns")
